@@ -106,3 +106,19 @@ def score_order(score: str, *, descending: bool = True) -> list:
     """The ranking contract: score first, equal scores by series id ascending."""
     s = F.col(score)
     return [s.desc_nulls_last() if descending else s.asc_nulls_last(), F.col("series_id").asc()]
+
+
+def ordinal_rank(df: DataFrame, keys, score: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """Full 1-based ranking by score descending, equal scores by series id.
+
+    The number of better rows comes from ``value_ranks``; only rows with the same
+    score are ordered among themselves.
+    """
+    ranks = value_ranks(df, keys, score, buckets).select(
+        *keys, F.col(score).alias("_v"), (F.col("n_all") - F.col("n_below") - F.col("n_eq")).alias("_better")
+    )
+    tie = Window.partitionBy(*keys, score).orderBy(F.col("series_id").asc())
+    d = df.withColumn("_t", F.row_number().over(tie))
+    cond = [d[k] == ranks[k] for k in keys] + [d[score] == ranks["_v"]]
+    j = d.join(ranks, cond, "left")
+    return j.select(*[d[c] for c in df.columns], (ranks["_better"] + d["_t"]).alias(out))

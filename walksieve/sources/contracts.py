@@ -102,15 +102,13 @@ def split_outcomes(scores: DataFrame, inputs: list[str], outcomes: list[str], sc
     Only ready rows are ranked; equal scores are ranked by series id.
     """
     keys = [*by, "position", "series_id"]
-    from ..functions.ordering import score_order
+    from ..functions.ordering import ordinal_rank
 
     clash = set(inputs) & set(outcomes)
     if clash:
         raise ContractError(f"outcome columns allowed as inputs: {sorted(clash)}")
-    w = Window.partitionBy(*by, "position").orderBy(*score_order(score))
-    ranked = scores.where(F.col("ready") & F.col(score).isNotNull()).select(
-        *keys, F.row_number().over(w).alias("base_up_rank")
-    )
+    pool = scores.where(F.col("ready") & F.col(score).isNotNull()).select(*keys, score)
+    ranked = ordinal_rank(pool, [*by, "position"], score, "base_up_rank").drop(score)
     left = scores.select(*keys, *inputs).join(ranked, keys, "left")
     return left, scores.select(*keys, *outcomes)
 
