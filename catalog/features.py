@@ -64,8 +64,8 @@ cte("t_roll_supplier", f"""
 select s, pos, lag(v) over w as src, {R('avg($)', 'v', 12, 6, 1)} as mean, {R('stddev_samp($)', 'v', 12, 6, 1)} as sd,
        {R('mad($)', 'v', 12, 6, 1)} as mad, {R('avg($)', 'v', 6, 3, 1)} as mean6 from t_supplier {W}""")
 
-query("c05_rolling_mean_std", f"{KEY}, {q6('mean', 3)} as rolling_mean_12, {q6('sd', 3)} as rolling_std_12 from t_roll_supplier")(
-    lambda s, d: pick(X.rolling_level(supplier(s, d)), ["rolling_mean_12", "rolling_std_12"], 3))
+query("c05_rolling_mean_std", f"{KEY}, {q6('mean', 6)} as rolling_mean_12, {q6('sd', 4)} as rolling_std_12 from t_roll_supplier")(
+    lambda s, d: out(pick(X.rolling_level(supplier(s, d)), ["rolling_mean_12"], raw=["rolling_std_12"]), ["rolling_std_12"], 4))
 query("c06_rolling_mad", f"{KEY}, {q6('mad', 3)} as rolling_mad_12 from t_roll_supplier")(
     lambda s, d: pick(X.rolling_level(supplier(s, d)), ["rolling_mad_12"], 3))
 query("c07_robust_z", f"{KEY}, {q6('(src - mean) / nullif(1.4826 * mad, 0)')} as robust_z_12 from t_roll_supplier")(
@@ -180,7 +180,7 @@ with d as (select s, pos, v - lag(v) over w as d from t_part {W}),
 k as (select s, pos, list(d) over w as ds, stddev_pop(d) over w as sd, avg((d > 0)::int) over w as up from d where d is not null
       window w as (partition by s order by pos rows between 35 preceding and current row)),
 n as (select p.s, p.pos, max(k.pos) as last from t_part p left join k on k.s = p.s and k.pos < p.pos group by 1, 2)
-select n.s as series_id, n.pos as "position", array_to_string(list_transform(ds, x -> case when x > 0 then 'U' when x < 0 then 'D' else '=' end), '') as directions,
+select n.s as series_id, n.pos as "position", array_to_string(list_transform(ds, lambda x: case when x > 0 then 'U' when x < 0 then 'D' else '=' end), '') as directions,
        round(up, 3) as share_rising, len(ds)::integer as n from n left join k on k.s = n.s and k.pos = n.last""")(
     lambda s, d: X.context(part(s, d)).select("series_id", "position", "directions", "share_rising",
                                               F.size("standardised_changes").alias("n")).withColumn(

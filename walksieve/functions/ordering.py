@@ -60,11 +60,9 @@ def with_average_rank(df, keys, value, out, *, pct=False, descending=False, buck
     if descending:
         r = F.col("n_all") + 1 - r
     ranks = value_ranks(df, keys, value, buckets).select(
-        *keys, F.col(value).alias("_v"), (r / F.col("n_all") if pct else r).alias(out)
+        *keys, value, (r / F.col("n_all") if pct else r).alias(out)
     )
-    cond = [df[k] == ranks[k] for k in keys] + [df[value] == ranks["_v"]]
-    joined = df.join(ranks, cond, "left")
-    return joined.select(*[df[c] for c in df.columns], ranks[out])
+    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
 
 
 def pct_rank(df, keys, value, out, buckets: int = BUCKETS):
@@ -115,10 +113,8 @@ def ordinal_rank(df: DataFrame, keys, score: str, out: str, buckets: int = BUCKE
     score are ordered among themselves.
     """
     ranks = value_ranks(df, keys, score, buckets).select(
-        *keys, F.col(score).alias("_v"), (F.col("n_all") - F.col("n_below") - F.col("n_eq")).alias("_better")
+        *keys, score, (F.col("n_all") - F.col("n_below") - F.col("n_eq")).alias("_better")
     )
     tie = Window.partitionBy(*keys, score).orderBy(F.col("series_id").asc())
-    d = df.withColumn("_t", F.row_number().over(tie))
-    cond = [d[k] == ranks[k] for k in keys] + [d[score] == ranks["_v"]]
-    j = d.join(ranks, cond, "left")
-    return j.select(*[d[c] for c in df.columns], (ranks["_better"] + d["_t"]).alias(out))
+    d = df.withColumn("_t", F.row_number().over(tie)).join(ranks, [*keys, score], "left")
+    return d.select(*df.columns, (F.col("_better") + F.col("_t")).alias(out))

@@ -20,18 +20,18 @@ def calendar_rate(targets: DataFrame, *, n: int | None = 48, lag: int = 2, min_l
 
 
 def available_rate(targets: DataFrame, *, n: int = 48, lag: int = 2, min_labels: int = 24,
-                   y: str = "y_true", out: str = "prior", by=BY) -> DataFrame:
+                   y: str = "y_true", out: str = "prior", by=BY, keys=("series_id",)) -> DataFrame:
     """Up-rate of the newest ``n`` existing labels at positions <= t-lag; gaps are skipped.
 
     The rate is formed on the label rows alone (a row frame over existing labels)
     and then carried forward to every later position.
     """
     has = F.col(y).isNotNull()
-    w = Window.partitionBy(*by, "series_id", has).orderBy("position").rowsBetween(-(n - 1), 0)
+    w = Window.partitionBy(*by, *keys, has).orderBy("position").rowsBetween(-(n - 1), 0)
     t = targets.withColumns({
         "_rate": F.when(has, F.avg(y).over(w)), "_used": F.when(has, F.count(y).over(w)),
     })
-    known = Window.partitionBy(*by, "series_id").orderBy("position").rangeBetween(UNB, -lag)
+    known = Window.partitionBy(*by, *keys).orderBy("position").rangeBetween(UNB, -lag)
     used = F.coalesce(F.last("_used", ignorenulls=True).over(known), F.lit(0))
     return t.withColumns({
         f"{out}_rows": used,
