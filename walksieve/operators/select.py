@@ -192,7 +192,7 @@ def controller(scores: DataFrame, *, risk: float, down: float, role: float, k: i
                score: str = "p_select", by=BY) -> DataFrame:
     """Score minus risk for Up, plus risk for Down, plus a bonus for listed roles under stress."""
     r = clip(F.coalesce("risk_percentile", F.lit(1.0)), 0.0, 1.0)
-    roles = F.transform(F.split("role_list", ","), F.trim)
+    roles = F.transform(F.split("role_list", ","), lambda x: F.trim(x))
     up = F.col("direction") == "Up"
     bonus = F.when(truth(F.col("context_stress")) & F.array_contains(roles, F.col("series_id")) & up, role).otherwise(0.0)
     s = scores.withColumn("controller_score", F.col(score) + F.when(up, -risk * r).otherwise(down * r) + bonus)
