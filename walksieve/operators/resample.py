@@ -115,14 +115,14 @@ def shift_permutation(months: DataFrame, score: str, y: str, *, reps: int = 2000
     m = _numbered(months.where(F.col(score).isNotNull() & F.col(y).isNotNull()), by)
     n = m.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * min_shift)
     reps_ = months.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    shifts = n.crossJoin(reps_).select(*by, (min_shift + draw(F.col("rep"), F.lit(0).cast("bigint"), seed, F.col("_n") - 2 * min_shift + 1)).alias("_s"))
-    weight = shifts.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_w"))
-    zero = n.select(*by, F.lit(0).cast("bigint").alias("_s"), F.lit(0).cast("bigint").alias("_w"))
+    shifts = n.crossJoin(reps_).select(*by, (min_shift + draw(F.col("rep"), F.lit(0).cast("bigint"), seed, F.col("_n") - 2 * min_shift + 1)).alias("shift"))
+    weight = shifts.groupBy(*by, "shift").agg(F.count(F.lit(1)).alias("_w"))
+    zero = n.select(*by, F.lit(0).cast("bigint").alias("shift"), F.lit(0).cast("bigint").alias("_w"))
     all_s = weight.unionByName(zero)
-    a = m.select(*by, "_i", "_n", F.col(score).alias("_x")).join(all_s, list(by)).withColumn("_j", F.pmod(F.col("_i") + F.col("_s"), F.col("_n")))
+    a = m.select(*by, "_i", "_n", F.col(score).alias("_x")).join(all_s, list(by)).withColumn("_j", F.pmod(F.col("_i") + F.col("shift"), F.col("_n")))
     b = m.select(*by, F.col("_i").alias("_j"), F.col(y).cast("double").alias("_y"))
-    v = auc(a.join(b, [*by, "_j"]), "_x", "_y", [*by, "_s"]).join(all_s, [*by, "_s"])
-    obs = v.where("_s = 0").select(*by, F.col("auc").alias("observed"))
+    v = auc(a.join(b, [*by, "_j"]), "_x", "_y", [*by, "shift"]).join(all_s, [*by, "shift"])
+    obs = v.where("shift = 0").select(*by, F.col("auc").alias("observed"))
     return v.where("_w > 0").join(obs, list(by)).groupBy(*by, "observed").agg(
         ((1 + F.sum(F.when(F.col("auc") >= F.col("observed"), F.col("_w")).otherwise(0))) / F.lit(1.0 + reps)).alias("p_value"))
 
