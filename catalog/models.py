@@ -64,7 +64,7 @@ cte("t_ctx", f"select s, pos, d from (select s, pos, {D(0)} as d from t_supplier
 query("f24_drift_quantiles", f"""
 with n as (select s, pos, (last_value(d) over w) as lst, first_value(d) over w as fst, count(*) over w as n, stddev_pop(d) over w as sc from t_ctx window w as (partition by s order by pos rows between unbounded preceding and current row)),
 q as (select *, lst + case when n >= 2 then (lst - fst) / (n - 1) else 0 end * 2 as c from n)
-select s as series_id, pos as "position", {q6('1.6::double * sc', 2)} as width, {q6('c / (1.6::double * sc)')} as centre from q where n >= 2 and sc > 0""")(
+select s as series_id, pos as "position", {q6('1.6::double * sc', 1)} as width, {q6('c / (1.6::double * sc)', 5)} as centre from q where n >= 2 and sc > 0""")(
     lambda s, d: _shape(quantiles(s, d)))
 
 
@@ -72,15 +72,15 @@ def _shape(df):
     q = lambda i: F.get("quantiles", F.lit(i))
     w = (q(8) - q(0)).alias("width")
     x = df.select("series_id", "position", w, (q(4) / F.nullif(q(8) - q(0), F.lit(0.0))).alias("centre")).where("width > 0")
-    return out(out(x, ["width"], 2), ["centre"])
+    return out(out(x, ["width"], 1), ["centre"], 5)
 
 
 def quantiles(s, d):
     p = X.diff_context(supplier(s, d))
-    known = F.col("value").isNotNull()
-    newest = F.lag("value", 1).over(X.series_window()).isNotNull() & F.lag("value", 2).over(X.series_window()).isNotNull()
-    p = p.withColumn("_now", newest).where("_now and size(filter(context, x -> x is not null)) >= 2")
-    return Z.drift_forecaster(p, LV)
+    back = lambda k: F.lag("value", k).over(X.series_window())
+    p = p.withColumns({"_now": back(1).isNotNull() & back(2).isNotNull(), "_d": back(1) - back(2)})
+    p = p.withColumn("_n", F.count("_d").over(X.series_window(X.UNB, 0))).where("_now and _n >= 2")
+    return Z.drift_forecaster(p.select("panel_id", "series_id", "position", "context"), LV)
 
 
 query("f22_quantiles_to_p", f"""

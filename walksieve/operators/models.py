@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.columns import BY, clip, div, flag, lag, logit, market_window, roll, truth
 from .targets import origins_frame
@@ -478,20 +478,27 @@ def quantiles_to_p(df: DataFrame, levels: list[float], q: str = "quantiles") ->
 
 
 def drift_forecaster(contexts: DataFrame, levels: list[float], *, step: int = 2, context: str = "context") -> DataFrame:
-    """Deterministic forecaster: last value plus drift, spread evenly around it."""
-    xs = F.filter(context, lambda x: x.isNotNull())
-    d = contexts.withColumn("_x", xs)
-    n = F.size("_x")
-    last, first = F.get("_x", n - 1), F.get("_x", F.lit(0))
-    mean = F.aggregate("_x", F.lit(0.0), lambda a, b: a + b) / n
-    d = d.withColumn("_drift", F.when(n >= 2, (last - first) / (n - 1)).otherwise(0.0)).withColumn("_m", mean)
-    scale = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, b: a + (b - F.col("_m")) * (b - F.col("_m"))) / n)
-    d = d.withColumn("_sc", scale)
-    q = F.array(*[last + F.col("_drift") * step + F.col("_sc") * (2.0 * (x - 0.5)) for x in levels])
-    return d.withColumn("quantiles", F.when(n >= 1, q)).drop("_x", "_drift", "_m", "_sc")
-
-
-def forecast(contexts: DataFrame, forecaster, schema: str) -> DataFrame:
+    """Deterministic forecaster: last value plus drift, spread evenly around it.
+
+    It runs as any user forecaster does, on Arrow batches of contexts.
+    """
+    offsets = 2.0 * (np.asarray(levels) - 0.5)
+    schema = StructType([*contexts.schema.fields, StructField("quantiles", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for c in pdf[context]:
+                x = np.asarray([] if c is None else c, dtype=float)
+                x = x[np.isfinite(x)]
+                drift = (x[-1] - x[0]) / (len(x) - 1) if len(x) >= 2 else 0.0
+                out.append((x[-1] + drift * step + x.std() * offsets).tolist() if len(x) else None)
+            yield pdf.assign(quantiles=out)
+
+    return forecast(contexts, run, schema)
+
+
+def forecast(contexts: DataFrame, forecaster, schema) -> DataFrame:
     """Run a user forecaster on batches of contexts: an iterator of frames in, frames out."""
     return contexts.mapInPandas(forecaster, schema)
 
