@@ -137,11 +137,11 @@ def eb_rate(df: DataFrame, *, rate: str = "prior", rows: str = "prior_rows", out
     """Shrink rates to their cross-section mean; the between-series variance is a moment estimate."""
     keys = [*by, "position"]
     ok = F.col(rate).isNotNull() & (F.col(rows) > 0)
-    m = df.where(ok).groupBy(*keys).agg(F.avg(rate).alias("_m"), F.var_samp(rate).alias("_v"), F.avg(1.0 / F.col(rows)).alias("_i"))
+    m = df.where(ok).groupBy(*keys).agg(F.avg(rate).alias("_m"), F.var_samp(rate).alias("_v"), F.avg(div(F.lit(1.0), F.col(rows))).alias("_i"))
     d = df.join(m, keys, "left")
     pq = F.col("_m") * (1 - F.col("_m"))
     tau2 = F.greatest(F.lit(0.0), F.coalesce(F.col("_v"), F.lit(0.0)) - pq * F.col("_i"))
-    w = F.when(tau2 > 0, tau2 / (tau2 + pq / F.col(rows))).otherwise(0.0)
+    w = F.when(tau2 > 0, tau2 / (tau2 + div(pq, F.col(rows)))).otherwise(0.0)
     return d.withColumn(out, F.when(ok, F.col("_m") + w * (F.col(rate) - F.col("_m")))).drop("_m", "_v", "_i")
 
 
@@ -163,7 +163,7 @@ def seasonal_dev(targets: DataFrame, *, lag: int = 2, min_cell: int = 3, min_lab
 
     def cell(n, k):
         dev = div(k, n) - F.col("_b")
-        smp = pq * (div(F.lit(1.0), n) - 1.0 / F.col("_c"))
+        smp = pq * (div(F.lit(1.0), n) - div(F.lit(1.0), F.col("_c")))
         ok = truth((n >= min_cell) & (F.col("_c") >= min_labels) & (pq > 0) & (smp > 0))
         return dev, smp, ok
 
