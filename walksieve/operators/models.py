@@ -161,7 +161,8 @@ def fit_pooled(rows: DataFrame, cols: list[str], *, y: str = "y_true", lo: int,
                         h = (z * (w * mu * (1 - mu))[:, None]).T @ z
                         g = z.T @ (w * (yy[use] - mu))
                         acc[o] = acc.get(o, 0.0) + np.concatenate([h.ravel(), g])
-                yield pd.DataFrame({"origin": list(acc), "sums": [v.tolist() for v in acc.values()]})
+                if acc:
+                    yield pd.DataFrame({"origin": list(acc), "sums": [v.tolist() for v in acc.values()]})
 
             parts = data.mapInPandas(add, "origin int, sums array<double>")
             one = parts.select("origin", F.posexplode("sums").alias("i", "v")).groupBy("origin", "i").agg(F.sum("v").alias("v"))
