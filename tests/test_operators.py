@@ -158,11 +158,9 @@ def test_insertion_equals_the_month_loop(spark):
             ups = [v[0] for v in base.values() if v[1] == "Up"]
             if used >= 3 - flips or not ups:
                 break
-            weak = min(ups, key=lambda r: (r.up_cal, [-ord(x) for x in ""], ))
-            ties = [r for r in ups if r.up_cal == weak.up_cal]
-            if c.down_cal < weak.up_cal + 0.05:
+            victim = min(ups, key=lambda r: (r.up_cal, r.series_id))
+            if c.down_cal < victim.up_cal + 0.05:
                 break
-            victim = sorted(ties, key=lambda r: r.series_id)[0]
             del base[victim.series_id]
             base[c.series_id] = [c, "Down"]
             used += 1

@@ -31,7 +31,7 @@ def block_draws(months: DataFrame, *, block: int, reps: int, seed: int, scheme:
     spark = months.sparkSession
     n = months.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
     b = F.least(F.lit(block).cast("bigint"), F.col("_n"))
-    r = n.join(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))) if not by else n.crossJoin(spark.range(reps).withColumnRenamed("id", "rep"))
+    r = n.crossJoin(spark.range(reps).withColumnRenamed("id", "rep"))
     blocks = F.ceil(F.col("_n") / b)
     r = r.withColumn("_b", b).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     if scheme == "circular":
