@@ -194,3 +194,29 @@ def test_wide_csv_reads_as_a_panel(spark, tmp_path):
     p = P.read_panel(spark, str(tmp_path / "w.csv"), time_col="Dates", fmt="csv", header=True)
     got = {(r["series_id"], r["position"]): r["value"] for r in p.collect()}
     assert got == {("X1", 1): 1.0, ("X1", 2): 2.0, ("X1", 3): None, ("X1", 4): 4.0, ("X2", 1): None, ("X2", 2): 5.0, ("X2", 3): None, ("X2", 4): 7.0}
+
+
+def test_normalized_selection_equals_the_month_loop(spark):
+    s, df = months(spark, seed=21)
+    df = df.assign(p_down=df["down_cal"], stress=np.where(df["position"] % 2 == 0, 0.7, 0.2))
+    sdf = spark.createDataFrame(df.rename(columns={"stress": "regime_stress"}))
+    got = H.normalized(sdf, cap=6, core=4, down_threshold=0.5, stress_trigger=0.5, hard_threshold=0.9, margin=0.05).toPandas()
+    for t, m in df.groupby("position"):
+        m = m.assign(u=m["p_select"].rank(pct=True), d=m["p_down"].rank(pct=True))
+        m["guard"] = (m["p_down"] >= 0.5) & ((m["stress"] >= 0.5) | (m["p_down"] >= 0.9))
+        m["adv"] = m["d"] - m["u"]
+        m = m.sort_values(["p_select", "series_id"], ascending=[False, True])
+        pool, outside = m.head(6), m.iloc[6:]
+        core = pool.head(4)
+        want = {x: "Up" for x in pool["series_id"]}
+        flips = core[core["guard"] & (core["adv"] >= 0.05)].sort_values(["adv", "d", "series_id"], ascending=[False, False, True])
+        weak = core.sort_values(["u", "series_id"]).iloc[0]
+        new = outside[outside["guard"] & (outside["d"] - weak["u"] >= 0.05)].sort_values(["d", "series_id"], ascending=[False, True])
+        best = flips["adv"].iloc[0] if len(flips) else -np.inf
+        if len(new) and new["d"].iloc[0] - weak["u"] > best:
+            del want[weak["series_id"]]
+            want[new["series_id"].iloc[0]] = "Down"
+        elif len(flips):
+            want[flips["series_id"].iloc[0]] = "Down"
+        g = got[got["position"] == t]
+        assert dict(zip(g["series_id"], g["direction"])) == want
