@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, urlfilter
-from .common import table
+from . import bpe, licenses, pivot_search, urlfilter, warc
+from .common import new_path, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -19,6 +19,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, d, "documents"), coverage=0.8))
+
+
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.revisits(table(spark, d, "pages")), path)
+    read = warc.read(spark, path, verify="true")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,8 +41,27 @@ def op6_url_cascade(spark: SparkSession, d: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, d, "pages"), URL_RULES)
 
 
+def op7_pivot_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, d, "embeddings"))
+
+
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 SQL: dict[str, str] = {
+    "op2_warc": """
+with p as (select page_id, url, coalesce(html, '') as body from pages),
+r as (select page_id, url, octet_length(encode(body)) as n, sha1(body) as digest from p),
+f as (select digest, max(page_id) as first from r where n >= 1000 group by 1)
+select page_id, n as payload_bytes, r.digest as payload_digest,
+       case when n >= 1000 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id <> first then first end as refers_to, url
+from r left join f on f.digest = r.digest""",
+    "op7_pivot_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v::double[], c.v::double[]) as bigint) as score
+      from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as "rank" from s)
+select query_id, "rank", vec_id, score from r where "rank" <= 20""",
     "op6_url_cascade": f"""
 with u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 b as (select page_id, regexp_extract(coalesce(rest, ''), '^([^?#]*)', 1) as bare from u),
