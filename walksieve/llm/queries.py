@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, pivot_search, urlfilter, warc
+from . import bpe, jaccard_join, licenses, pivot_search, urlfilter, warc
 from .common import new_path, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -37,6 +37,10 @@ def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.join(table(spark, d, "documents"), k=3, percent=90)
+
+
 def op6_url_cascade(spark: SparkSession, d: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, d, "pages"), URL_RULES)
 
