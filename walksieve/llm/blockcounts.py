@@ -147,7 +147,8 @@ def totals(blocks: DataFrame, extract: Callable, bits: int, widths: tuple[int, .
         sums = np.zeros((parts, len(found)), np.int64)
         spans = np.cumsum([0, *map(len, keys)])
         for i, c in enumerate(counts):
-            np.add.at(sums[of[i]], where[spans[i]:spans[i + 1]], c)
+            if c.any():
+                np.add.at(sums[of[i]], where[spans[i]:spans[i + 1]], c)
         blocks_, answers = t["block"].to_pylist(), []
         for i in range(len(keys)):
             answers.append(_squeeze(sums[:, where[spans[i]:spans[i + 1]]].T.ravel()))

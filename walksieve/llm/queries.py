@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licenses, pivot_search, urlfilter, warc
-from .common import new_path, table
+from . import bpe, jaccard_join, licenses, lm, pivot_search, urlfilter, warc
+from .common import fold, new_path, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -37,6 +38,13 @@ def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op4_deleted_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    at = fold("doc_id", 5)
+    part = F.when(at == 1, lm.SCORE_ONLY).when(at == 2, lm.FIT).otherwise(lm.TRAIN)
+    scored = lm.score(table(spark, d, "documents"), part=part)
+    return scored.select("doc_id", (F.col("part") == lm.SCORE_ONLY).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.join(table(spark, d, "documents"), k=3, percent=90)
 
