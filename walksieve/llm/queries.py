@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licenses, lm, pivot_search, urlfilter, warc
+from . import bpe, jaccard_join, licenses, lm, packing, pivot_search, urlfilter, warc
 from .common import fold, new_path, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -57,6 +57,10 @@ def op7_pivot_top_k(spark: SparkSession, d: str) -> DataFrame:
     return pivot_search.top_k(table(spark, d, "embeddings"))
 
 
+def op8_cutting_stock(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048, end_id=1)
+
+
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 SQL: dict[str, str] = {
     "op2_warc": """
