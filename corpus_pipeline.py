@@ -1,8 +1,73 @@
-"""The corpus pipeline: classify, filter outliers, drop near duplicates, pack."""
+"""The corpus pipeline: low quality and outlying documents go, one of each group of near duplicates stays, the rest is packed.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
+read again as the next stage's docs; all but the last return the columns of docs. Decisions are
+made on narrow tables and reach the texts by a semi-join on doc_id and a hash of the text, so
+repeated rows are not multiplied and null ids are matched with themselves.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from walksieve.llm import jaccard_join, outliers, packing, rule_ensemble
+from walksieve.llm.common import fold, staged, table
+from walksieve.llm.queries import tokenizer_path
+
+_MARK = "_text_mark"
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_MARK, F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()))
+
+
+def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs whose id and text are among the chosen ones."""
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col(_MARK).alias("_mark"))
+    marked = _marked(docs)
+    return marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked[_MARK] == chosen["_mark"]), "left_semi")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble finds likelier good than bad. It learns from the labels of two thirds of the ids."""
+    scored = rule_ensemble.classify(_marked(docs), table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1, keep=(_MARK,))
+    return _only(docs, scored.where("predicted = 1")).drop(_MARK)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    judged = outliers.judge(_marked(docs), keep=("doc_id", _MARK))
+    return _only(docs, judged.where("kept")).drop(_MARK)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of the n-gram Jaccard join connect, the document with the smallest id (of equal ids, one).
+
+    Texts without words are alone. A row without an id cannot stand for a group: it stays if its group has no id at all.
+    """
+    joined = jaccard_join.join(_marked(docs), k=3, percent=90, keep=(_MARK,))
+    named = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min(_MARK).alias(_MARK))
+    unnamed = joined.where("component_id is null").select("doc_id", _MARK).distinct()
+    return _only(docs, named.unionByName(unnamed)).dropDuplicates(["doc_id", _MARK]).drop(_MARK)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), size=2048, end_id=1)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("packing", pack)]
+
+#: Fitted models and tokenizers are beyond SQL; tests compare with a plain version in Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs, name)
+    return docs

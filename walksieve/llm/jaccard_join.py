@@ -40,10 +40,11 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def profile(df: DataFrame, *, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """One row per row of `df`: key, n (set size), sig (digest of the set), rare (shingles of one document), and for
+def profile(df: DataFrame, *, key: str, text: str, k: int, percent: int, keep=()) -> DataFrame:
+    """One row per row of `df`: key, the `keep` columns, n (set size), sig (digest of the set), rare (shingles of one document), and for
     rows that can have a partner also items (sorted hashes) and prefix (hashes to meet by)."""
-    blocks = B.pack(df, [key], text)
+    carried = list(dict.fromkeys([key, *keep]))
+    blocks = B.pack(df, carried, text)
     bits = B.bucket_bits(blocks)
 
     def sets(t):
@@ -72,12 +73,13 @@ def profile(df: DataFrame, *, key: str, text: str, k: int, percent: int) -> Data
                 items.append(None)
                 prefix.append(None)
         longs = pa.list_(pa.int64())
-        return pa.table([t[key], pa.array(n, pa.int64()), pa.array(sig, pa.string()), pa.array(rare, pa.int64()), pa.array(items, longs), pa.array(prefix, longs)],
-                        names=[key, "n", "sig", "rare", "items", "prefix"])
+        return pa.table([*(t[c] for c in carried), pa.array(n, pa.int64()), pa.array(sig, pa.string()), pa.array(rare, pa.int64()), pa.array(items, longs), pa.array(prefix, longs)],
+                        names=[*carried, "n", "sig", "rare", "items", "prefix"])
 
     # hashes keep the bucket's bits and four bytes more: a rare collision only makes a shingle look less rare, alike for all
     answers = B.totals(blocks, extract, bits, (4,), name="shingles")
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n long, sig string, rare long, items array<bigint>, prefix array<bigint>"
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carried)
+    schema = f"{kept}n long, sig string, rare long, items array<bigint>, prefix array<bigint>"
     return staged(B.with_totals(blocks, answers, make, schema), "profiles")
 
 
@@ -158,8 +160,8 @@ def links(profiles: DataFrame, *, percent: int, tile_sets: int = 256, tile_items
     return stars.unionByName(pairs.groupBy("component", "p", "q").applyInArrow(product, "a string, b string"))
 
 
-def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of `df`: key, n_shingles, component_id, set_id (digest of the shingle set).
+def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, keep=()) -> DataFrame:
+    """One row per row of `df`: key, the `keep` columns, n_shingles, component_id, set_id (digest of the shingle set).
 
     Rows link when 100 * overlap >= percent * union of their sets of k-word shingles; component_id is the smallest key
     that links reach. Null and empty texts have an empty set and stand alone, with their own key. Equal sets always
@@ -167,8 +169,9 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3,
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie in 50..100")
-    rows = profile(df.select(key, text), key=key, text=text, k=k, percent=percent)
-    narrow = rows.select(key, "n", "sig")
+    carried = list(dict.fromkeys([key, *keep]))
+    rows = profile(df.select(*dict.fromkeys([*carried, text])), key=key, text=text, k=k, percent=percent, keep=keep)
+    narrow = rows.select(*carried, "n", "sig")
     whole = components(links(rows, percent=percent), "a", "b")
     classes = narrow.where("n > 0").groupBy("sig").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("m"))
     classes = staged(classes.join(whole.withColumnRenamed("node", "sig"), "sig", "left").where("m > 1 or component is not null")
@@ -177,4 +180,4 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3,
     named = classes.join(lows, "component").select("sig", "component_id")
     out = narrow.withColumn("sig_key", F.when(F.col("n") > 0, F.col("sig")))
     out = out.join(named.withColumnRenamed("sig", "sig_key"), "sig_key", "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), F.col("sig").alias("set_id"))
+    return out.select(*carried, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), F.col("sig").alias("set_id"))

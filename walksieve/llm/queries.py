@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licenses, lm, outliers, packing, pivot_search, urlfilter, warc
+from . import bpe, jaccard_join, licenses, lm, outliers, packing, pivot_search, rule_ensemble, urlfilter, warc
 from .common import fold, new_path, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -61,6 +61,11 @@ def op8_cutting_stock(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048, end_id=1)
 
 
+def op9_rule_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    scored = rule_ensemble.classify(table(spark, d, "documents"), table(spark, d, "labels"), fold("doc_id", 3) != 1)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "score", "predicted")
+
+
 def op10_robust_outliers(spark: SparkSession, d: str) -> DataFrame:
     return outliers.judge(table(spark, d, "documents"))
 
