@@ -15,30 +15,33 @@ from walksieve.llm import jaccard_join, outliers, packing, rule_ensemble
 from walksieve.llm.common import fold, staged, table
 from walksieve.llm.queries import tokenizer_path
 
-_MARK = "_text_mark"
 
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of the text, and the name of that column, which docs has not."""
+    name = "_mark"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())), name
 
-def _marked(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_MARK, F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()))
 
-
-def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose id and text are among the chosen ones."""
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col(_MARK).alias("_mark"))
-    marked = _marked(docs)
-    return marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked[_MARK] == chosen["_mark"]), "left_semi")
+def _only(docs: DataFrame, chosen: DataFrame, mark: str) -> DataFrame:
+    """The marked rows whose id and mark are among the chosen ones."""
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_chosen"))
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (docs[mark] == chosen["_chosen"]), "left_semi")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble finds likelier good than bad. It learns from the labels of two thirds of the ids."""
-    scored = rule_ensemble.classify(_marked(docs), table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1, keep=(_MARK,))
-    return _only(docs, scored.where("predicted = 1")).drop(_MARK)
+    marked, mark = _marked(docs)
+    scored = rule_ensemble.classify(marked, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1, keep=(mark,))
+    return _only(marked, scored.where("predicted = 1"), mark).drop(mark)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    judged = outliers.judge(_marked(docs), keep=("doc_id", _MARK))
-    return _only(docs, judged.where("kept")).drop(_MARK)
+    marked, mark = _marked(docs)
+    judged = outliers.judge(marked, keep=("doc_id", mark))
+    return _only(marked, judged.where("kept"), mark).drop(mark)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are alone. A row without an id cannot stand for a group: it stays if its group has no id at all.
     """
-    joined = jaccard_join.join(_marked(docs), k=3, percent=90, keep=(_MARK,))
-    named = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min(_MARK).alias(_MARK))
-    unnamed = joined.where("component_id is null").select("doc_id", _MARK).distinct()
-    return _only(docs, named.unionByName(unnamed)).dropDuplicates(["doc_id", _MARK]).drop(_MARK)
+    marked, mark = _marked(docs)
+    joined = jaccard_join.join(marked, k=3, percent=90, keep=(mark,))
+    named = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min(mark).alias(mark))
+    unnamed = joined.where("component_id is null").select("doc_id", mark).distinct()
+    return _only(marked, named.unionByName(unnamed), mark).dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
