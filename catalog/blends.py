@@ -23,8 +23,8 @@ KEY = 'select s as series_id, pos as "position"'
 lg = lambda p, e="1e-6": f"ln(least(1 - {e}, greatest({e}, {p})) / (1 - least(1 - {e}, greatest({e}, {p}))))"
 
 
-def show(df, *cols, raw=()):
-    return out(df, list(cols)).select("series_id", "position", *cols, *raw)
+def show(df, *cols, raw=(), places=6):
+    return out(df, list(cols), places).select("series_id", "position", *cols, *raw)
 
 
 query("g02_pattern_prior", f"{KEY}, pn as p_down_pattern_rows, {q6('p_down_pattern')} as p_down_pattern from t_scores")(
@@ -44,8 +44,8 @@ query("g13_joint_score", f"{KEY}, {q6('0.5::double * (p_select + 1 - p_down)')}
 query("g14_active_probability", f"{KEY}, {q6('0.75::double * coalesce(p_up, p_up_raw) + 0.25::double * prior')} as p_blend from t_scores where ready")(
     lambda s, d: show(scores(s, d).where("ready").withColumn("p_blend", 0.75 * F.coalesce("p_up", "p_up_raw") + 0.25 * F.col("prior")), "p_blend"))
 for _k, _sc in (("raw_max", "greatest(p_up, p_down)"), ("margin", "abs(p_up - p_down)")):
-    query(f"g17_unified_{_k}", f"{KEY}, {q6(_sc)} as unified_score, case when p_down > p_up then 'Down' else 'Up' end as unified_direction from t_scores where ready")(
-        lambda s, d, k=_k: show(G.unify(scores(s, d).where("ready"), k), "unified_score", raw=["unified_direction"]))
+    query(f"g17_unified_{_k}", f"{KEY}, {q6(_sc, 11)} as unified_score, case when p_down > p_up then 'Down' else 'Up' end as unified_direction from t_scores where ready")(
+        lambda s, d, k=_k: show(G.unify(scores(s, d).where("ready"), k), "unified_score", raw=["unified_direction"], places=11))
 query("g17_unified_percentile_max")(lambda s, d: show(G.unify(scores(s, d).where("ready"), "percentile_max"), "unified_score", raw=["unified_direction"]))
 
 

@@ -25,7 +25,7 @@ from .targets import SHOCK
 K = 5
 cte("t_mkt_brand", market_sql("t_ret_brand"))
 cte("t_rev_brand", reversal_sql("t_ret_brand"))
-_lg = lambda p: f"ln(least(0.9999::double, greatest(0.0001::double, {p})) / (1 - least(0.9999::double, greatest(0.0001::double, {p}))))"
+_lg = lambda p: f"case when ({p}) is not null then ln(least(0.9999::double, greatest(0.0001::double, {p})) / (1 - least(0.9999::double, greatest(0.0001::double, {p})))) end"
 cte("t_rate_brand", """
 with l as (select s, pos, y, row_number() over (partition by s order by pos) as c from t_brand_y where y is not null),
 k as (select p.s, p.pos, max(l.c) as c from t_brand_y p left join l on l.s = p.s and l.pos <= p.pos - 2 group by 1, 2)
@@ -50,9 +50,9 @@ select *, coalesce(case when ex_flag = 1 and pn >= 2 then (ph + 2) / (pn + 4.0::
 from (select *, count(case when ex_flag = 1 and y is not null then 1 - y end) over w as pn, sum(case when ex_flag = 1 and y is not null then 1 - y end) over w as ph
  from t_base_brand window w as (partition by s order by pos range between unbounded preceding and 2 preceding))""")
 cte("t_score_brand", f"""
-select b.*, round(0.5::double * prior + 0.5::double * coalesce(p_up_raw, prior), 9) as p_up,
- round(1 / (1 + exp(-({_lg('0.5::double * prior + 0.5::double * coalesce(p_up_raw, prior)')} + 0.25::double * coalesce(rel, 0)))), 9) as p_select,
- round((p_down_global + p_down_local + p_down_pattern + p_down_prior) / 4, 9) as p_down, prior is not null and p_up_raw is not null as ready,
+select b.*, round(0.5::double * prior + 0.5::double * coalesce(p_up_raw, prior), 10) as p_up,
+ round(1 / (1 + exp(-({_lg('0.5::double * prior + 0.5::double * coalesce(p_up_raw, prior)')} + 0.25::double * coalesce(rel, 0)))), 11) as p_select,
+ round((p_down_global + p_down_local + p_down_pattern + p_down_prior) / 4, 11) as p_down, prior is not null and p_up_raw is not null as ready,
  round(0.35::double * 0.5 + 0.65::double * coalesce(p_up_raw, 0.5), 9) as p_graph, k.ps, k.pss
 from t_pat_brand b left join t_known_brand k on k.s = b.s and k.pos = b.pos""")
 cte("t_ranked_brand", f"""
@@ -79,7 +79,7 @@ cte("t_fb_brand", """
 select pos, case when count(b) over w >= 6 then avg(b) over w end as fb from (select pos, avg(y) as b from t_brand_y group by 1) window w as (order by pos rows between 13 preceding and 2 preceding)""")
 cte("t_scores", """
 select r.*, round(t.regime_stress, 9) as regime_stress, case when t.regime_stress < 0.35 then 'calm' when t.regime_stress > 0.65 then 'stressed' else 'mixed' end as regime_label,
- round(f.fb, 9) as forecast_breadth, 'Up' as direction from t_ranked_brand r join t_stress_brand t on t.pos = r.pos join t_fb_brand f on f.pos = r.pos where r.pos between 30 and 81""")
+ round(f.fb, 9) as forecast_breadth, 'Up' as direction from t_ranked_brand r join t_stress_brand t on t.pos = r.pos join t_fb_brand f on f.pos = r.pos""")
 
 _CACHE = {}
 BYK = ["panel_id", "position"]
@@ -104,8 +104,8 @@ def base_scores(spark, d):
     k = T.known_outcome(T.sudden_drops(t, **SHOCK))
     s = s.join(k, [*BYK, "series_id"], "left")
     s = s.withColumns({
-        "p_select": r9("p_select"), "p_up": r9("p_up"),
-        "p_down": r9((F.col("p_down_global") + F.col("p_down_local") + F.col("p_down_pattern") + F.col("p_down_prior")) / 4),
+        "p_select": F.round("p_select", 11), "p_up": F.round("p_up", 10),  # half of a nine-digit number has ten
+        "p_down": F.round((F.col("p_down_global") + F.col("p_down_local") + F.col("p_down_pattern") + F.col("p_down_prior")) / 4, 11),
         "p_graph": r9(0.35 * 0.5 + 0.65 * F.coalesce("p_up_raw", F.lit(0.5))),
         "ready": F.col("prior").isNotNull() & F.col("p_up_raw").isNotNull(),
     })
@@ -116,13 +116,20 @@ def base_scores(spark, d):
     return s.withColumn("accepted", F.coalesce(F.col("base_up_rank") <= K, F.lit(False)))
 
 
+def _version(spark, d):
+    """Names, sizes and times of the files of a folder: rewritten data is another version."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def memo(key, spark, d, build):
     """Write a shared intermediate once per session and read it back.
 
     The table lies in the folder the cluster names in spark.checkpoint.dir, so it
     survives lost executors and later plans start from a plain scan.
     """
-    k = (key, spark.sparkContext.applicationId, d)
+    k = (key, spark.sparkContext.applicationId, d, _version(spark, d))
     if k not in _CACHE:
         path = f"{scratch(spark)}/{key}"
         build().write.parquet(path)
@@ -160,7 +167,7 @@ def scores(spark, d):
     def build():
         m = market(spark, d).select(*BYK, F.round("regime_stress", 9).alias("regime_stress"), "regime_label",
                                     F.round("forecast_breadth", 9).alias("forecast_breadth"))
-        return ranked(spark, d).join(m, BYK).withColumn("direction", F.lit("Up")).where("position between 30 and 81")
+        return ranked(spark, d).join(m, BYK).withColumn("direction", F.lit("Up"))
     return memo("scores", spark, d, build)
 
 
@@ -168,9 +175,9 @@ from .registry import query  # noqa: E402
 
 _S = {"prior": "prior", "p_up_raw": "p_up_raw", "p_up": "p_up", "p_select": "p_select", "p_down": "p_down", "p_down_pattern": "p_down_pattern",
       "group_relative_logit": "rel", "regime_stress": "regime_stress", "forecast_breadth": "forecast_breadth"}
-query("g01_prior_blend_scores", 'select s as series_id, pos as "position", ' + ", ".join(f"{q6(e)} as {n}" for n, e in _S.items())
+query("g01_prior_blend_scores", 'select s as series_id, pos as "position", ' + ", ".join(f"{q6(e, 11)} as {n}" for n, e in _S.items())
       + ", ready, base_up_rank, accepted, regime_label from t_scores")(
-    lambda s, d: out(scores(s, d), list(_S)).select("series_id", "position", *_S, "ready", "base_up_rank", "accepted", "regime_label"))
+    lambda s, d: out(scores(s, d), list(_S), 11).select("series_id", "position", *_S, "ready", "base_up_rank", "accepted", "regime_label"))
 query("d14_peer_summary", 'select pos as "position", peer_count, peer_available, ' + ", ".join(f"{q6(c)} as {c}" for c in [*_peer, "peer_mean_return", "peer_median_return", "peer_dispersion", "peer_mean_momentum_3"]) + " from t_peer_brand")(
     lambda s, d: out(M.peer_summary(ranked(s, d).drop("accepted"), ranked(s, d)), [*_peer, "peer_mean_return", "peer_median_return", "peer_dispersion", "peer_mean_momentum_3"]).drop("panel_id"))
 _fl = {"negative_return": "case when r < 0 then 1 when r >= 0 then 0 end", "weak_momentum": "case when m3 < 0 then 1 when m3 >= 0 then 0 end",

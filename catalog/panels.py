@@ -32,12 +32,14 @@ for _name, _fn in [("brand", brand), ("supplier", supplier), ("part", part), ("n
 
 
 def scratch(spark):
-    """A folder the whole cluster sees, if it names one; a temporary one otherwise (tests)."""
+    """A new folder below the one that the whole cluster sees. Only a local session without one gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         import uuid
 
         return f"{shared.rstrip('/')}/walksieve-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 

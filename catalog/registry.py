@@ -9,7 +9,7 @@ from typing import Callable
 
 _QUERIES: dict[str, "Query"] = {}
 _CTES: dict[str, str] = {}
-_MODULES = ["base", "panels", "targets", "features", "market", "graphs", "priors", "fixtures",
+_MODULES = ["base", "panels", "targets", "features", "market", "graphs", "fixtures",
             "selectors", "metrics", "resampling", "search", "models", "audits", "blends"]
 
 
@@ -57,9 +57,5 @@ def with_ctes(sql: str) -> str:
 
 def load() -> dict[str, Query]:
     for m in _MODULES:
-        try:
-            importlib.import_module(f"catalog.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"catalog.{m}":
-                raise
+        importlib.import_module(f"catalog.{m}")
     return dict(_QUERIES)

@@ -71,7 +71,7 @@ x as (select c.rep, t.s, c.m, count(*) as n, avg(y) as r from t join c on c.pos
 st as (select rep, sum(n * (r - b) * (r - b) / (b * (1 - b))) as v from x join b on b.s = x.s where n >= 3 and b * (1 - b) > 0 group by 1)
 select {q6('o.v', 4)} as observed, {q6('median(st.v)', 4)} as null_median, {q6('(1 + sum((st.v >= o.v)::int)) / (1.0::double + count(*))')} as p_value from st, (select v from st where rep = 0) o where rep > 0 group by o.v""")(
     lambda s, d: out(out(J.label_permutation(target_table(s, d), reps=100), ["observed", "null_median"], 4), ["p_value"]).drop("panel_id"))
-query("j11_spread_null")(lambda s, d: out(J.spread_null(scores(s, d), "p_up_raw", "prior", reps=200), ["observed", "null_mean", "p_value"]).drop("panel_id"))
+query("j11_spread_null")(lambda s, d: out(J.spread_null(scores(s, d), "p_up_raw", "prior", reps=200), ["observed", "null_median", "null_p95", "p_value"]).drop("panel_id"))
 query("j12_signal_contribution")(lambda s, d: out(_contribution(s, d), ["accuracy"]))
 
 

@@ -220,3 +220,106 @@ def test_normalized_selection_equals_the_month_loop(spark):
             want[flips["series_id"].iloc[0]] = "Down"
         g = got[got["position"] == t]
         assert dict(zip(g["series_id"], g["direction"])) == want
+
+
+def _two_panels():
+    r = np.random.default_rng(11)
+    d = pd.DataFrame({"series_id": [f"s{i % 9}" for i in range(540)], "position": [i // 9 + 1 for i in range(540)], "a": r.normal(size=540)})
+    one = d.assign(panel_id="one", y_true=(d["a"] + 0.3 * r.normal(size=540) > 0).astype(float))
+    two = d.assign(panel_id="two", y_true=1 - one["y_true"])
+    return pd.concat([one, two])[["panel_id", "series_id", "position", "a", "y_true"]]
+
+
+def test_panels_are_fitted_apart(spark):
+    d = _two_panels()
+    schema = "panel_id string, series_id string, position int, a double, y_true double"
+    both = Z.fit_pooled(spark.createDataFrame(d.values.tolist(), schema), ["a"], lo=50, hi=50)
+    assert both.fits["one", 50][1] > 1 and np.isclose(both.fits["one", 50][1], -both.fits["two", 50][1])
+    alone = Z.fit_pooled(spark.createDataFrame(d[d["panel_id"] == "two"].values.tolist(), schema), ["a"], lo=50, hi=50)
+    assert np.allclose(alone.beta[50], both.fits["two", 50], atol=1e-8)
+    assert all(x.converged and x.gradient < 1e-4 for x in both.report(spark).collect())
+    with pytest.raises(ValueError):
+        both.beta
+    p = Z.score_pooled(spark.createDataFrame(d.values.tolist(), schema).where("position = 50"), both)
+    wide = p.groupBy("series_id").pivot("panel_id", ["one", "two"]).agg(F.first("p")).toPandas()
+    assert np.allclose(wide["one"] + wide["two"], 1, atol=1e-6)
+
+
+def test_spread_of_a_feature_with_a_high_level(spark):
+    d = _two_panels().query("panel_id == 'one'")
+    high = d.assign(a=1e7 + 1e-3 * d["a"])
+    schema = "panel_id string, series_id string, position int, a double, y_true double"
+    fit = Z.fit_pooled(spark.createDataFrame(high.values.tolist(), schema), ["a"], lo=50, hi=50)
+    sd = fit.prep["one", 50][2][0]
+    assert np.isclose(sd, high[high["position"] <= 48]["a"].std(ddof=0), rtol=1e-3)
+
+
+def test_separable_scores_do_not_run_away(spark):
+    d = _two_panels().query("panel_id == 'one'")
+    d = d.assign(y_true=(d["a"] > 0).astype(float))
+    fit = Z.fit_pooled(spark.createDataFrame(d.values.tolist(), "panel_id string, series_id string, position int, a double, y_true double"), ["a"], lo=50, hi=50, c=1.0)
+    assert fit.report(spark).first().converged and np.all(np.isfinite(fit.beta[50]))
+
+
+def test_changed_snapshot_is_refused_and_a_missing_one_built(spark, tmp_path):
+    root, params = str(tmp_path), {"a": 1}
+    df = spark.range(5).withColumnRenamed("id", "x")
+    assert S.load_or_build(spark, root, params, lambda: df).count() == 5
+    key = S.params_key(spark, params)
+    spark.range(7).withColumnRenamed("id", "x").write.mode("overwrite").parquet(f"{root}/{key}/data")
+    with pytest.raises(ValueError, match="manifest"):
+        S.load_or_build(spark, root, params, lambda: df)
+    assert spark.read.parquet(f"{root}/{key}/data").count() == 7
+
+
+def test_content_hash_holds_beyond_64_bits(spark):
+    big = spark.range(9).select(F.lit(2**62).alias("h"))
+    assert big.agg(S.total_hash(F.col("h"))).first()[0] == 9 * 2**62 % (2**61 - 1)
+
+
+def test_every_period_is_shuffled_by_its_own_map(spark):
+    from walksieve.operators import resample as J
+
+    rows = [("main", t, f"s{i}", float(i)) for t in (1, 2, 3) for i in range(40)]
+    got = J.shuffle_within(spark.createDataFrame(rows, "panel_id string, position int, series_id string, v double"), "v").toPandas()
+    maps = [tuple(g.sort_values("series_id")["shuffled"]) for _, g in got.groupby("position")]
+    assert len(set(maps)) == 3 and all(sorted(m) == sorted(float(i) for i in range(40)) for m in maps)
+
+
+def test_spread_null_counts_every_series(spark):
+    from walksieve.operators import resample as J
+
+    r = np.random.default_rng(4)
+    rows = [("main", t, f"s{i}", float(r.random()), float(r.random()), float(r.random() < 0.5)) for t in range(30) for i in range(12)] + [("main", 1, "lone", 0.9, 0.1, 1.0)]
+    df = spark.createDataFrame(rows, "panel_id string, position int, series_id string, a double, b double, y_true double")
+    got = J.spread_null(df, "a", "b", reps=50).first()
+    d = df.toPandas()
+    gain = ((d["a"] >= 0.5) == (d["y_true"] == 1)).astype(int) - ((d["b"] >= 0.5) == (d["y_true"] == 1)).astype(int)
+    assert got.series == 13 and np.isclose(got.observed, gain.groupby(d["series_id"]).mean().std(ddof=1))
+    assert 0 < got.null_median <= got.null_p95
+
+
+def test_cells_that_are_no_numbers_are_errors(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Dates,X1\n2000-01-31,1.5\n2000-02-29,oops\n")
+    with pytest.raises(Exception, match="X1"):
+        P.read_panel(spark, str(tmp_path / "p.csv"), time_col="Dates", fmt="csv", header=True).collect()
+
+
+def test_a_cap_beyond_its_bound_is_an_error(spark):
+    rows = [("main", 1, f"s{i}", i / 10, True, 7) for i in range(9)]
+    df = spark.createDataFrame(rows, "panel_id string, position int, series_id string, p double, ready boolean, cap int")
+    assert H.top_k(df, "p", "cap", hi=7).count() == 7
+    with pytest.raises(Exception, match="cap exceeds its bound"):
+        H.top_k(df, "p", "cap", hi=5).collect()
+
+
+def test_ranks_with_many_nulls_and_ties(spark):
+    rows = [("main", 1, f"s{i:04d}", None if i % 10 else float(i // 100)) for i in range(2000)] + [("main", 2, f"s{i:04d}", 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "panel_id string, position int, series_id string, v double")
+    d = df.toPandas()
+    keys = ["panel_id", "position"]
+    got = O.pct_rank(df, keys, "v", "r").toPandas().merge(d.assign(w=d.groupby("position")["v"].rank(pct=True)), on=["position", "series_id"])
+    assert np.allclose(got["r"], got["w"], equal_nan=True) and len(got) == len(d)
+    o = O.ordinal_rank(df, keys, "v", "r").toPandas()
+    own = o[o["v"].notna()].sort_values(["position", "v", "series_id"], ascending=[True, False, True])
+    assert (own.groupby("position").cumcount() + 1).tolist() == own["r"].tolist() and o[o["v"].isna()]["r"].isna().all()

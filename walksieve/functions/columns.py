@@ -43,6 +43,11 @@ def truth(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def within(c, most: int, what: str) -> Column:
+    """The column, or an error where it exceeds a bound that a result was built for."""
+    return F.when(col(c) > most, F.raise_error(F.concat(F.lit(f"{what} exceeds its bound {most}: "), col(c).cast("string")))).otherwise(col(c))
+
+
 def logit(p, eps: float = 1e-6) -> Column:
     q = clip(p, eps, 1.0 - eps)
     return F.ln(q / (1.0 - q))
@@ -136,15 +141,11 @@ def correct(direction="direction", y="y_true") -> Column:
 
 def wilson_bounds(hits, calls, z: float):
     """Lower and upper Wilson score bounds for ``hits`` out of ``calls``."""
-    h, n = col(hits).cast("double"), col(calls).cast("double")
-    rate, z2 = div(h, n), z * z
-    centre = rate + z2 / (2.0 * n)
-    radius = z * F.sqrt(rate * (1.0 - rate) / n + z2 / (4.0 * n * n))
-    scale = 1.0 + z2 / n
-    return (
-        F.when(n > 0, (centre - radius) / scale),
-        F.when(n > 0, (centre + radius) / scale),
-    )
+    # both roots p of calls * (hits / calls - p)^2 = z^2 * p * (1 - p), as a p^2 - b p + c = 0
+    successes, trials = col(hits).cast("double"), col(calls).cast("double")
+    a, b, c = trials + z * z, 2.0 * successes + z * z, div(successes * successes, trials)
+    root = F.sqrt(F.greatest(b * b - 4.0 * a * c, F.lit(0.0)))
+    return tuple(F.when(trials > 0, (b + sign * root) / (2.0 * a)) for sign in (-1.0, 1.0))
 
 
 Z_ONE_SIDED_95 = 1.6448536269514722

@@ -62,7 +62,14 @@ def with_average_rank(df, keys, value, out, *, pct=False, descending=False, buck
     ranks = value_ranks(df, keys, value, buckets).select(
         *keys, value, (r / F.col("n_all") if pct else r).alias(out)
     )
-    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
+    return _rejoin(df, ranks, keys, value).select(*df.columns, out)
+
+
+def _rejoin(df, ranks, keys, value):
+    """Left join of rows with their value's rank. Rows without a value match nothing and are dealt out over many tasks."""
+    rest = [c for c in df.columns if c not in (*keys, value)]
+    salt = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(*rest), F.lit(256)) if rest else F.lit(0)).otherwise(F.lit(-1))
+    return df.withColumn("_salt", salt.cast("int")).join(ranks.withColumn("_salt", F.lit(-1)), [*keys, value, "_salt"], "left").drop("_salt")
 
 
 def pct_rank(df, keys, value, out, buckets: int = BUCKETS):
@@ -115,6 +122,8 @@ def ordinal_rank(df: DataFrame, keys, score: str, out: str, buckets: int = BUCKE
     ranks = value_ranks(df, keys, score, buckets).select(
         *keys, score, (F.col("n_all") - F.col("n_below") - F.col("n_eq")).alias("_better")
     )
-    tie = Window.partitionBy(*keys, score).orderBy(F.col("series_id").asc())
-    d = df.withColumn("_t", F.row_number().over(tie)).join(ranks, [*keys, score], "left")
+    # only values that several rows share are ordered by series; rows without a score are in no order
+    shared = F.when(F.col(score).isNull(), F.xxhash64("series_id")).otherwise(F.lit(0))
+    tie = Window.partitionBy(*keys, score, shared).orderBy(F.col("series_id").asc())
+    d = _rejoin(df.withColumn("_t", F.row_number().over(tie)), ranks, keys, score)
     return d.select(*df.columns, (F.col("_better") + F.col("_t")).alias(out))

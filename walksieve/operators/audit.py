@@ -73,7 +73,7 @@ def training_audit(targets: DataFrame, *, lag: int = 2, min_rows: int = 48, min_
                                           F.sum(ok.cast("int")).alias("series_ready"))
 
 
-def coef_stability(coefficients: DataFrame, keys=("term",)) -> DataFrame:
+def coef_stability(coefficients: DataFrame, keys=(*BY, "term")) -> DataFrame:
     return coefficients.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("fits"), F.avg("coefficient").alias("mean"), F.stddev_samp("coefficient").alias("std"),
         F.greatest(F.avg((F.col("coefficient") > 0).cast("double")), F.avg((F.col("coefficient") < 0).cast("double"))).alias("sign_agreement"))

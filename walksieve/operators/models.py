@@ -45,27 +45,59 @@ def causal_medians(rows: DataFrame, cols: list[str], lo: int, hi: int, *, lag: i
         F.avg("x").alias("median"))
 
 
-def _moments(rows, cols, lo, hi, lag, by):
-    """Known count, sum and sum of squares per (origin, feature) by prefix sums over periods."""
-    per = rows.groupBy("position").agg(F.count(F.lit(1)).alias("_rows"), *[
-        e for c in cols for e in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}"))])
-    t = per.orderBy("position").toPandas()  # one row per period
-    return {o: t[t["position"] <= o - lag - 1].sum(numeric_only=True) for o in range(lo, hi + 1)}
+def _panel(by) -> "F.Column":
+    """The key of a row's panel as one string."""
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in by])
+
+
+def _moments(data, cols, lo, hi, lag):
+    """Per (panel, origin): rows known, and per feature their count and the sums of x - c and (x - c)^2 about the panel's mean c.
+
+    Sums about a centre near the mean keep the variance of a feature with a high level. One row per panel and period
+    reaches the driver.
+    """
+    mean = {r["_k"]: [r[f"c_{c}"] or 0.0 for c in cols] for r in data.groupBy("_k").agg(*[F.avg(c).alias(f"c_{c}") for c in cols]).collect()}
+    centre = F.create_map(*[x for k, v in mean.items() for x in (F.lit(k), F.array(*[F.lit(float(y)) for y in v]))]) if mean else F.lit(None).cast("map<string,array<double>>")
+    at = data.withColumn("_c", centre[F.col("_k")])
+    shift = lambda i, c: F.col(c) - F.col("_c")[i]
+    per = at.groupBy("_k", "position").agg(F.count(F.lit(1)).alias("_rows"), *[
+        e for i, c in enumerate(cols) for e in (F.count(c).alias(f"n_{c}"), F.sum(shift(i, c)).alias(f"s_{c}"), F.sum(shift(i, c) * shift(i, c)).alias(f"q_{c}"))])
+    t = per.orderBy("_k", "position").toPandas()
+    out = {}
+    for k, own in t.groupby("_k"):
+        for o in range(lo, hi + 1):
+            out[k, o] = own[own["position"] <= o - lag - 1].drop(columns="_k").sum(numeric_only=True)
+    return out, {k: np.array(v) for k, v in mean.items()}
 
 
 class PooledFit:
-    """Parameters of all origins: preprocessing and coefficients."""
+    """Parameters of all panels and origins: preprocessing, coefficients and how each fit ended."""
 
-    def __init__(self, cols, missing, levels, effect, prep, beta, lag):
-        self.cols, self.missing, self.levels, self.effect, self.prep, self.beta, self.lag = cols, missing, levels, effect, prep, beta, lag
+    def __init__(self, cols, missing, levels, effect, prep, beta, lag, by=BY, report=None):
+        self.cols, self.missing, self.levels, self.effect, self.prep, self.fits, self.lag, self.by = cols, missing, levels, effect, prep, beta, lag, by
+        self.ended = report or {}
+
+    @property
+    def beta(self) -> dict:
+        """Coefficients per origin, where there is one panel."""
+        if len({k for k, _ in self.fits}) > 1:
+            raise ValueError("several panels were fitted; read `fits` by (panel, origin)")
+        return {o: b for (_, o), b in self.fits.items()}
 
     def names(self):
         return ["intercept", *self.cols, *[f"missing_{c}" for c in self.missing], *[f"{self.effect}[{v}]" for v in self.levels]]
 
+    def _keys(self, k):
+        return tuple(k.split("\x1f"))
+
     def coefficients(self, spark) -> DataFrame:
-        names = self.names()
-        rows = [(int(o), n, float(v)) for o, b in self.beta.items() for n, v in zip(names, b)]
-        return spark.createDataFrame(rows, "origin int, term string, coefficient double")
+        rows = [(*self._keys(k), int(o), n, float(v)) for (k, o), b in self.fits.items() for n, v in zip(self.names(), b)]
+        return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in self.by) + ", origin int, term string, coefficient double")
+
+    def report(self, spark) -> DataFrame:
+        """Newton steps, largest entry of the last gradient and whether the fit converged, per panel and origin."""
+        rows = [(*self._keys(k), int(o), int(n), float(g), bool(ok)) for (k, o), (n, g, ok) in self.ended.items()]
+        return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in self.by) + ", origin int, steps int, gradient double, converged boolean")
 
 
 def _design(x, med, mean, sd, missing_at, onehot):
@@ -94,14 +126,16 @@ def _onehot(values, levels):
 
 def fit_pooled(rows: DataFrame, cols: list[str], *, y: str = "y_true", lo: int, hi: int, lag: int = 1, c: float = 0.25, balanced: bool = False,
                missing_flags: bool = True, standardize: bool = True, effect: str | None = None, max_levels: int = 500,
-               min_rows: int = 1, max_iter: int = 25, tol: float = 1e-8, by=BY) -> PooledFit:
+               min_rows: int = 1, max_iter: int = 40, tol: float = 1e-8, by=BY) -> PooledFit:
     """Ridge-logistic models for origins lo..hi, each on rows at positions <= origin - lag - 1.
 
-    The penalty is 1/(2C)|w|^2 without the intercept; ``balanced`` weighs classes
-    equally.  Missing values are filled with the causal median and may add a flag.
+    Every panel (``by``) has fits of its own.  The penalty is 1/(2C)|w|^2 without the
+    intercept; ``balanced`` weighs classes equally.  Missing values are filled with the
+    causal median and may add a flag.  A Newton step that raises the loss is halved;
+    ``PooledFit.report`` says how each fit ended.
     """
-    need = [*cols, *([effect] if effect else [])]
-    data = rows.where(F.col(y).isNotNull()).select("position", F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in cols],
+    by = tuple(by)
+    data = rows.where(F.col(y).isNotNull()).select(*by, _panel(by).alias("_k"), "position", F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in cols],
                                                    *([F.col(effect).cast("string").alias(effect)] if effect else [])).where(F.col("position") <= hi - lag - 1).persist()
     try:
         levels = []
@@ -109,99 +143,116 @@ def fit_pooled(rows: DataFrame, cols: list[str], *, y: str = "y_true", lo: int,
             levels = sorted(r[0] for r in data.select(effect).distinct().limit(max_levels + 1).collect())
             if len(levels) > max_levels:
                 raise ValueError(f"{effect} has more than {max_levels} levels; use fit_local or group effects")
-        mom = _moments(data, cols, lo, hi, lag, by)
-        cls = data.groupBy("position", "_y").agg(F.count(F.lit(1)).alias("n")).toPandas()  # two rows per period
+        mom, centre = _moments(data, cols, lo, hi, lag)
+        cls = data.groupBy("_k", "position", "_y").agg(F.count(F.lit(1)).alias("n")).toPandas()  # two rows per panel and period
         med = {}
         if standardize:
-            for r in causal_medians(data.withColumn("panel_id", F.lit("main")), cols, lo, hi, lag=lag).collect():  # origins x features
-                med[(r["origin"], r["feature"])] = r["median"]
+            for r in causal_medians(data.drop(*by), cols, lo, hi, lag=lag, by=("_k",)).collect():  # panels x origins x features
+                med[(r["_k"], r["origin"], r["feature"])] = r["median"]
         missing = [x for x in cols if missing_flags and any(m["_rows"] > m[f"n_{x}"] for m in mom.values())]
         mi = [cols.index(x) for x in missing]
         prep, beta, classw = {}, {}, {}
-        for o in range(lo, hi + 1):
-            m = mom[o]
-            k = cls[cls["position"] <= o - lag - 1].groupby("_y")["n"].sum()
+        for (key, o), m in mom.items():
+            k = cls[(cls["_k"] == key) & (cls["position"] <= o - lag - 1)].groupby("_y")["n"].sum()
             if m["_rows"] < min_rows or len(k) < 2:
                 continue
             n = float(m["_rows"])
             if standardize:
-                md = np.array([med.get((o, x), 0.0) for x in cols])
+                md = np.array([med.get((key, o, x), 0.0) for x in cols])
                 cnt = np.array([m[f"n_{x}"] for x in cols])
-                s = np.array([m[f"s_{x}"] for x in cols]) + (n - cnt) * md
-                q = np.array([m[f"q_{x}"] for x in cols]) + (n - cnt) * md * md
-                mean = s / n
-                sd = np.sqrt(np.maximum(q / n - mean * mean, 0.0))
-                sd = np.where(sd > 1e-12, sd, 1.0)
+                s = np.array([m[f"s_{x}"] for x in cols]) + (n - cnt) * (md - centre[key])
+                q = np.array([m[f"q_{x}"] for x in cols]) + (n - cnt) * (md - centre[key]) ** 2
+                mean = centre[key] + s / n
+                sd = np.sqrt(np.maximum(q / n - (s / n) ** 2, 0.0))
+                sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mean)), sd, 1.0)
                 mr = 1.0 - cnt[mi] / n
                 ms = np.sqrt(mr * (1 - mr))
                 miss = (mi, mr, np.where(ms > 0, ms, 1.0))
             else:
                 md, mean, sd, miss = np.zeros(len(cols)), np.zeros(len(cols)), np.ones(len(cols)), None
-            prep[o] = (md, mean, sd, miss)
-            classw[o] = {v: n / (2.0 * float(k[v])) if balanced else 1.0 for v in k.index}
-            beta[o] = np.zeros(1 + len(cols) + (len(mi) if standardize else 0) + len(levels))
-        live = set(beta)
-        for _ in range(max_iter):
+            prep[key, o] = (md, mean, sd, miss)
+            classw[key, o] = {v: n / (2.0 * float(k[v])) if balanced else 1.0 for v in k.index}
+            beta[key, o] = np.zeros(1 + len(cols) + (len(mi) if standardize else 0) + len(levels))
+        live, ended = set(beta), {}
+        last: dict = {}  # loss, coefficients and step of the round before
+        for turn in range(1, max_iter + 1):
             if not live:
                 break
-            now = {o: beta[o] for o in live}
+            now = {f: beta[f] for f in live}
 
             def add(batches, now=now):
                 acc = {}
                 for pdf in batches:
-                    x, yy, p = pdf[cols].to_numpy(dtype=float), pdf["_y"].to_numpy(), pdf["position"].to_numpy()
+                    x, yy, p, panel = pdf[cols].to_numpy(dtype=float), pdf["_y"].to_numpy(), pdf["position"].to_numpy(), pdf["_k"].to_numpy()
                     hot = _onehot(pdf[effect].to_numpy(), levels) if effect else None
-                    for o, bt in now.items():
-                        use = p <= o - lag - 1
+                    for f, bt in now.items():
+                        use = (panel == f[0]) & (p <= f[1] - lag - 1)
                         if not use.any():
                             continue
-                        z = _design(x[use], *prep[o], None if hot is None else hot[use])
-                        mu = 1.0 / (1.0 + np.exp(-np.clip(z @ bt, -35, 35)))
-                        w = np.where(yy[use] > 0.5, classw[o].get(1.0, 1.0), classw[o].get(0.0, 1.0))
+                        z = _design(x[use], *prep[f], None if hot is None else hot[use])
+                        e = z @ bt
+                        mu = 1.0 / (1.0 + np.exp(-np.clip(e, -35, 35)))
+                        w = np.where(yy[use] > 0.5, classw[f].get(1.0, 1.0), classw[f].get(0.0, 1.0))
                         h = (z * (w * mu * (1 - mu))[:, None]).T @ z
                         g = z.T @ (w * (yy[use] - mu))
-                        acc[o] = acc.get(o, 0.0) + np.concatenate([h.ravel(), g])
+                        loss = float((w * (np.logaddexp(0, e) - yy[use] * e)).sum())
+                        # the matrix is symmetric: its upper triangle is sent
+                        acc[f] = acc.get(f, 0.0) + np.concatenate([h[np.triu_indices(len(bt))], g, [loss]])
                 if acc:
-                    yield pd.DataFrame({"origin": list(acc), "sums": [v.tolist() for v in acc.values()]})
-
-            parts = data.mapInPandas(add, "origin int, sums array<double>")
-            one = parts.select("origin", F.posexplode("sums").alias("i", "v")).groupBy("origin", "i").agg(F.sum("v").alias("v"))
-            got = one.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select("origin", F.col("s.v").alias("s")).collect()
-            for r in got:  # one parameter-sized row per origin
-                o, v = r["origin"], np.asarray(r["s"])
-                d = len(beta[o])
+                    yield pd.DataFrame({"_k": [f[0] for f in acc], "origin": [f[1] for f in acc], "sums": [v.tolist() for v in acc.values()]})
+
+            parts = data.mapInPandas(add, "_k string, origin int, sums array<double>")
+            # one row per fit and task in, one per fit out
+            got = parts.groupBy("_k", "origin").agg(F.collect_list("sums").alias("s")).select(
+                "_k", "origin", F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), lambda t, v: F.zip_with(t, v, lambda m, n: m + n)).alias("s")).collect()
+            for r in got:  # one parameter-sized row per fit
+                f, v = (r["_k"], r["origin"]), np.asarray(r["s"])
+                d = len(beta[f])
                 pen = np.full(d, 1.0 / c)
                 pen[0] = 1e-10
-                h, g = v[: d * d].reshape(d, d) + np.diag(pen), v[d * d:] - pen * beta[o]
+                loss = v[-1] + 0.5 * float(pen @ beta[f] ** 2)
+                if f in last and loss > last[f][0] + 1e-9 * (1 + abs(last[f][0])):
+                    # the step overshot: half of it from where it began
+                    last[f] = (last[f][0], last[f][1], last[f][2] / 2)
+                    beta[f] = last[f][1] + last[f][2]
+                    ended[f] = (turn, ended[f][1], False)
+                    continue
+                h = np.zeros((d, d))
+                h[np.triu_indices(d)] = v[: d * (d + 1) // 2]
+                h = h + np.triu(h, 1).T + np.diag(pen)
+                g = v[d * (d + 1) // 2:-1] - pen * beta[f]
                 step = np.linalg.solve(h, g)
-                beta[o] = beta[o] + step
-                if np.max(np.abs(step)) < tol:
-                    live.discard(o)
-        return PooledFit(cols, missing if standardize else [], levels, effect, prep, beta, lag)
+                last[f] = (loss, beta[f], step)
+                beta[f] = beta[f] + step
+                done = bool(np.max(np.abs(step)) < tol)
+                ended[f] = (turn, float(np.max(np.abs(g))), done)
+                if done:
+                    live.discard(f)
+        return PooledFit(cols, missing if standardize else [], levels, effect, prep, beta, lag, by, ended)
     finally:
         data.unpersist()
 
 
 def score_pooled(rows: DataFrame, fit: PooledFit, *, out: str = "p", at: int | None = None) -> DataFrame:
-    """Score each row with the model of its own origin (or of the fixed origin ``at``)."""
-    cols, levels, effect, prep, beta, flag_lag = fit.cols, fit.levels, fit.effect, fit.prep, fit.beta, fit.lag
+    """Score each row with the model of its own panel and origin (or of the fixed origin ``at``)."""
+    cols, levels, effect, prep, beta, flag_lag = fit.cols, fit.levels, fit.effect, fit.prep, fit.fits, fit.lag
     schema = StructType([*rows.schema.fields, StructField(out, DoubleType())])
 
     def task(batches):
         for pdf in batches:
             p = np.full(len(pdf), np.nan)
             pos = np.full(len(pdf), at) if at is not None else pdf["position"].to_numpy()
-            x = pdf[cols].to_numpy(dtype=float)
+            panel, x = pdf["_k"].to_numpy(), pdf[cols].to_numpy(dtype=float)
             hot = _onehot(pdf[effect].astype(str).to_numpy(), levels) if effect else None
-            for o in np.unique(pos):
-                if o in beta:
-                    use = pos == o
-                    z = _design(x[use], *prep[o], None if hot is None else hot[use])
-                    p[use] = np.clip(1.0 / (1.0 + np.exp(-(z @ beta[o]))), 1e-6, 1 - 1e-6)
+            for f in set(zip(panel.tolist(), pos.tolist())):
+                if f in beta:
+                    use = (panel == f[0]) & (pos == f[1])
+                    z = _design(x[use], *prep[f], None if hot is None else hot[use])
+                    p[use] = np.clip(1.0 / (1.0 + np.exp(-(z @ beta[f]))), 1e-6, 1 - 1e-6)
             pdf[out] = p
-            yield pdf
+            yield pdf.drop(columns="_k")
 
-    d = rows.mapInPandas(task, schema)
+    d = rows.withColumn("_k", _panel(fit.by)).mapInPandas(task, schema)
     through = F.lit(at) if at is not None else F.col("position")
     return d.withColumn(out, F.nanvl(out, F.lit(None).cast("double"))).withColumn("fit_through", F.when(F.col(out).isNotNull(), through - flag_lag - 1))
 
@@ -398,11 +449,11 @@ def prequential(rows: DataFrame, score: str, y: str, *, lo: int, hi: int, min_or
     """
     d = rows.withColumn("_lo", logit(score))
     last = hi if frozen_after is None else min(hi, frozen_after + 1)
-    fit = fit_pooled(d.where(F.col("position") >= lo), ["_lo"], y=y, lo=lo + lag + min_origins, hi=last, c=c, standardize=False, missing_flags=False, lag=lag)
+    fit = fit_pooled(d.where(F.col("position") >= lo), ["_lo"], y=y, lo=lo + lag + min_origins, hi=last, c=c, standardize=False, missing_flags=False, lag=lag, by=by)
     if frozen_after is not None:
         for o in range(last + 1, hi + 1):
-            if last in fit.beta:
-                fit.beta[o], fit.prep[o] = fit.beta[last], fit.prep[last]
+            for k in {k for k, x in fit.fits if x == last}:
+                fit.fits[k, o], fit.prep[k, o] = fit.fits[k, last], fit.prep[k, last]
     s = score_pooled(d.where(F.col("position").between(lo, hi)), fit, out="_cal")
     done = F.col("_cal").isNotNull() & F.col(score).isNotNull()
     through = F.least(F.col("position"), F.lit(last)) - lag - 1

@@ -152,19 +152,29 @@ def label_permutation(targets: DataFrame, *, reps: int = 200, seed: int = 1, min
         ((1 + F.sum((F.col("stat") >= F.col("observed")).cast("int"))) / (1.0 + F.count(F.lit(1)))).alias("p_value"))
 
 
-def spread_null(df: DataFrame, a: str, b: str, *, reps: int = 500, seed: int = 1, min_rows: int = 5, by=BY) -> DataFrame:
-    """Spread over series of "a beats b" on disagreements, against fair coins of the same sizes."""
-    d = df.where(F.col("y_true").isNotNull() & ((F.col(a) >= 0.5) != (F.col(b) >= 0.5)))
-    win = ((F.col(a) >= 0.5) == (F.col("y_true") == 1)).cast("double")
-    per = d.groupBy(*by, "series_id").agg(F.count(F.lit(1)).alias("_n"), F.avg(win).alias("_w")).where(F.col("_n") >= min_rows)
+def spread_null(df: DataFrame, a: str, b: str, *, reps: int = 500, seed: int = 1, by=BY) -> DataFrame:
+    """Spread over series of the accuracy difference a - b, against fair coins on the rows where they disagree.
+
+    All labelled rows and all series count. Under the null each disagreeing row goes to a with probability one half;
+    a series then differs by (coins - disagreements where b is right) / rows. Coins of a series are one integer draw
+    per disagreement from the generator that SQL can repeat, numbered in the order of positions.
+    """
+    right = lambda p: ((F.col(p) >= 0.5) == (F.col("y_true") == 1)).cast("int")
+    d = df.where(F.col("y_true").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_a": right(a), "_b": right(b)})
+    per = d.groupBy(*by, "series_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum((F.col("_a") != F.col("_b")).cast("int")).alias("_k"),
+        F.sum((F.col("_b") > F.col("_a")).cast("int")).alias("_lost"), F.avg(F.col("_a") - F.col("_b")).alias("_w"))
     obs = per.groupBy(*by).agg(F.stddev_samp("_w").alias("observed"), F.count(F.lit(1)).alias("series"))
-    r = df.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    # a coin per (replicate, series, row) as an array, so nothing is joined
-    bits = F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")),
-                       lambda i: F.pmod(F.xxhash64(F.col("rep"), F.col("series_id"), i, F.lit(seed)), F.lit(2)).cast("double"))
-    s = per.crossJoin(r).withColumn("_c", F.aggregate(bits, F.lit(0.0), lambda x, y: x + y) / F.col("_n"))
-    null = s.groupBy(*by, "rep").agg(F.stddev_samp("_c").alias("v")).join(obs, list(by))
-    return null.groupBy(*by, "observed", "series").agg(F.avg("v").alias("null_mean"), ((1 + F.sum((F.col("v") >= F.col("observed")).cast("int"))) / (1.0 + reps)).alias("p_value"))
+    # replicates lie in an array beside each series: sums of coins, no row per replicate before the series are added up
+    code = F.pmod(F.crc32(F.col("series_id").cast("binary")), F.lit(MODULUS).cast("bigint"))
+    coins = lambda rep: F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("_k").cast("bigint")), F.lit(0).cast("bigint"),
+                                    lambda x, i: x + F.when(i == 0, F.lit(0)).otherwise(draw(rep * 7919 + i * 31, code, seed, F.lit(2).cast("bigint"))))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: coins(r.cast("bigint")))
+    s = per.select(*by, "_n", "_lost", F.posexplode(sums).alias("rep", "_c"))
+    null = s.groupBy(*by, "rep").agg(F.stddev_samp((F.col("_c") - F.col("_lost")) / F.col("_n")).alias("v")).join(obs, list(by))
+    return null.groupBy(*by, "observed", "series").agg(
+        F.percentile("v", F.lit(0.5)).alias("null_median"), F.percentile("v", F.lit(0.95)).alias("null_p95"),
+        F.avg((F.col("v") >= F.col("observed")).cast("double")).alias("p_value"))
 
 
 def shuffle_within(df: DataFrame, col: str, *, seed: int = 1, out: str = "shuffled", by=BY) -> DataFrame:
@@ -172,7 +182,8 @@ def shuffle_within(df: DataFrame, col: str, *, seed: int = 1, out: str = "shuffl
     keys = [*by, "position"]
     from ..functions.ordering import ordinal_rank
 
-    k = df.withColumns({"_k1": F.xxhash64("series_id", F.lit(seed)).cast("double"), "_k2": F.xxhash64("series_id", F.lit(seed + 1)).cast("double")})
+    # the position is hashed too: every period has a pairing of its own
+    k = df.withColumns({f"_k{i + 1}": F.xxhash64("series_id", "position", F.lit(seed + i)).cast("double") for i in (0, 1)})
     a = ordinal_rank(k.select(*keys, "series_id", "_k1"), keys, "_k1", "_r").drop("_k1")
     b = ordinal_rank(k.select(*keys, "series_id", "_k2", col), keys, "_k2", "_r").select(*keys, "_r", F.col(col).alias(out))
     return df.join(a, [*keys, "series_id"]).join(b, [*keys, "_r"]).drop("_r")

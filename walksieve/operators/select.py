@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import BY, clip, col, correct, div, flag, logit, sigmoid, truth
+from ..functions.columns import BY, clip, col, correct, div, flag, logit, sigmoid, truth, within
 from ..functions.ordering import group_quantiles, pct_rank, score_order, top_k as _top_k
 
 
@@ -25,14 +25,14 @@ def _w(by, *order):
 
 
 def top_k(scores: DataFrame, score: str, k, *, hi: int | None = None, direction: str | None = "Up", by=BY) -> DataFrame:
-    """Best ``k`` ready rows per period; ``k`` is a number or a cap column bounded by ``hi``."""
+    """Best ``k`` ready rows per period; ``k`` is a number or a cap column. A cap above ``hi`` is an error, never a cut."""
     limit = k if isinstance(k, int) else hi
     if not limit or limit < 1:
         raise ValueError("a positive cap, or a cap column with its upper bound, is required")
     pool = scores.where(truth(F.col("ready")) & F.col(score).isNotNull())
     c = _top_k(pool, _keys(by), score_order(score), limit)
     if not isinstance(k, int):
-        c = c.where(F.col("rank") <= col(k))
+        c = c.where(F.col("rank") <= within(k, limit, "cap"))
     c = c.withColumn("score", F.col(score))
     return c if direction is None else c.withColumn("direction", F.lit(direction))
 
@@ -89,18 +89,24 @@ def fixed_coverage(scores: DataFrame, k: int, w, *, p: str = "p_graph", signal:
 
 def regime_adaptive(scores: DataFrame, *, cap, hi: int, min_cap: int | None = None, down_threshold=0.55, down_margin=0.0,
                     stress_trigger=0.5, max_down_share=0.3, regime_bonus=0.0, shock_bonus=0.0, hard_threshold=0.8,
-                    replacement_margin=0.0, max_replacements=0, replacement_hi: int = 5, allow_down: bool = True, by=BY) -> DataFrame:
+                    replacement_margin=0.0, max_replacements=0, replacement_hi: int | None = None, allow_down: bool = True, by=BY) -> DataFrame:
     """Up pool by score, Down flips inside its core, Down replacements of its weakest rows.
 
     Numeric parameters may be columns, so one job can replay a whole grid.
     ``min_cap`` limits flips to the first rows of the pool when the cap exceeds it.
+    ``hi`` bounds the caps and ``replacement_hi`` the replacements of a column (a plain number bounds itself);
+    a row beyond its bound is an error.
     """
     c = F.col
+    if replacement_hi is None:
+        if not isinstance(max_replacements, int):
+            raise ValueError("replacement_hi is required where max_replacements is a column")
+        replacement_hi = max_replacements
     num = lambda x: x if not isinstance(x, (int, float)) else F.lit(float(x))
     trigger = num(stress_trigger)
     excess = F.coalesce(clip((c("regime_stress") - trigger) / F.greatest(F.lit(1e-6), 1.0 - trigger), 0.0, 1.0), F.lit(0.0))
     up = clip(F.coalesce(c("p_graph"), c("p_up")), 1e-6, 1 - 1e-6)
-    s = scores.withColumns({"cap": cap if not isinstance(cap, int) else F.lit(cap), "_excess": excess, "p_up_base": up,
+    s = scores.withColumns({"cap": within(cap if not isinstance(cap, int) else F.lit(cap), hi, "cap"), "_excess": excess, "p_up_base": up,
                             "_sel": clip(F.coalesce(c("p_select"), up), 1e-6, 1 - 1e-6)})
     shock = 0.75 * F.coalesce(c("previous_shock"), F.lit(0.0)) + 0.25 * F.coalesce(c("previous_shock_share"), F.lit(0.0))
     s = s.withColumn("p_down_adj", clip(F.coalesce(c("p_down"), F.lit(0.5)) + num(regime_bonus) * c("_excess") + num(shock_bonus) * shock, 1e-6, 1 - 1e-6))
@@ -109,7 +115,7 @@ def regime_adaptive(scores: DataFrame, *, cap, hi: int, min_cap: int | None = No
     s = s.withColumns({
         "_hard": truth(hard), "_cand": truth(cand | hard),
         "risk_adjusted_score": clip(c("_sel") * (1.0 - 0.25 * c("_excess")) - 0.15 * c("p_down_adj"), 1e-6, 1.0),
-        "confidence": F.greatest("p_down_adj", "p_up_base"), "_repl": num(max_replacements).cast("int"),
+        "confidence": F.greatest("p_down_adj", "p_up_base"), "_repl": within(num(max_replacements).cast("int"), replacement_hi, "max_replacements"),
     }).where(truth(c("ready")) & c("_sel").isNotNull())
     keys, sid = _keys(by), c("series_id").asc()
     pool = _top_k(s, keys, [c("_sel").desc(), sid], hi, "_pool").where(c("_pool") <= c("cap"))
@@ -272,7 +278,7 @@ def flexible(scores: DataFrame, *, floor: float, margin: float, extra: float, op
     s = s.withColumn("_d", F.row_number().over(part)).where(c("_d") <= F.lit(max(hi, max_down)))
     s = s.where((c("direction") == "Up") | (c("_d") <= max_down))
     s = s.withColumn("rank", F.row_number().over(_w(by, c("call_score").desc(), sid)))
-    limit = F.least(F.lit(hi), col(cap)) if not isinstance(cap, int) else F.lit(min(hi, cap))
+    limit = within(cap if not isinstance(cap, int) else F.lit(cap), hi, "cap")
     keep = c("rank") <= limit
     if optional:
         keep = keep & ((c("rank") <= base) | (c("call_score") >= extra))
@@ -297,7 +303,7 @@ def insert_down(scores: DataFrame, *, cap, hi: int, margin: float, floor: float,
     sequences are monotone, so the first pair that fails ends the rest.
     """
     keys, c, sid = _keys(by), F.col, F.col("series_id").asc()
-    s = scores.where(truth(c("ready")) & c(score).isNotNull()).withColumn("_cap", cap if not isinstance(cap, (int, str)) else (F.lit(cap) if isinstance(cap, int) else c(cap)))
+    s = scores.where(truth(c("ready")) & c(score).isNotNull()).withColumn("_cap", within(F.lit(cap) if isinstance(cap, int) else cap, hi, "cap"))
     s = s.withColumn("_base_dir", F.coalesce(c("base_direction"), F.lit("Up")))
     pool = _top_k(s, keys, [c(score).desc(), sid], hi, "_pool").where(c("_pool") <= c("_cap"))
     strong = truth((c("down_cal") >= c("up_cal") + margin) & (c("down_cal") >= floor))
@@ -330,9 +336,9 @@ def designs(scores: DataFrame, production: DataFrame, *, cap: int, threshold: fl
     cols = [*keys, "series_id", "y_true", "direction"]
     ready = scores.where(truth(c("ready")))
     pool = _top_k(ready, keys, [c("p_select").desc(), sid], cap, "_pool")
-    outside = _top_k(ready.where(c("p_down") >= threshold), keys, [c("p_down").desc(), sid], 2 * cap, "_try").join(
+    # at most cap + the insertions wanted are looked at, of which at most cap lie in the pool
+    outside = _top_k(ready.where(c("p_down") >= threshold), keys, [c("p_down").desc(), sid], cap + max(insert_cap, cap), "_try").join(
         pool.select(*keys, "series_id"), [*keys, "series_id"], "left_anti").withColumn("_k", F.row_number().over(_w(by, c("_try"))))
-    # at most cap // 2 insertions are ever used
     n = outside.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(cap)).cast("int").alias("_n"))
     tag = lambda d, name: d.select(*cols).withColumn("design", F.lit(name))
     a = tag(production, "A")

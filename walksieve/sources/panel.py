@@ -108,7 +108,8 @@ def read_panel(
     """Scan a wide table (one column per series) or a long one into a panel.
 
     ``max_position`` bounds the scan itself: the cut is a literal comparison on
-    ``time_col`` so later rows are skipped in the files.
+    ``time_col`` so later rows are skipped in the files. A cell that is no number is an error that names its column;
+    facts of one series and period add up.
     """
     df = read_table(spark, path, fmt, **options)
     df = df.withColumn(time_col, F.to_timestamp(time_col))
@@ -121,7 +122,9 @@ def read_panel(
         if start is not None:
             stop = _period_at(F.lit(max_position + 1), F.lit(start), unit)
             df = df.where(F.col(time_col) < stop)
-    number = F.expr(f"try_cast(`{value_col}` as double)")
+    cell, number = F.col(f"`{value_col}`"), F.expr(f"try_cast(`{value_col}` as double)")
+    bad = cell.isNotNull() & number.isNull()
+    number = F.when(bad, F.raise_error(F.concat(F.lit(f"column {value_col} holds a cell that is no number: "), cell.cast("string")))).otherwise(number)
     return panel_from_facts(
         df, time=time_col, series=series_col, value=number, unit=unit, panel_id=panel_id,
         max_position=max_position,
@@ -131,7 +134,12 @@ def read_panel(
 def to_long(df: DataFrame, ids, columns: list[str], name="series_id", value="value") -> DataFrame:
     """One row per (id, column)."""
     ids = [ids] if isinstance(ids, str) else list(ids)
-    wide = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    def number(c):
+        made = F.expr(f"try_cast(`{c}` as double)")
+        bad = F.col(f"`{c}`").isNotNull() & made.isNull()
+        return F.when(bad, F.raise_error(F.concat(F.lit(f"column {c} holds a cell that is no number: "), F.col(f"`{c}`").cast("string")))).otherwise(made).alias(c)
+
+    wide = df.select(*ids, *[number(c) for c in columns])
     return wide.unpivot(ids, columns, name, value)
 
 

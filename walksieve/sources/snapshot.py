@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def total_hash(h):
+    """Sum of hashes modulo 2^61 - 1. The sum has 38 digits, so it holds for any number of rows."""
+    return (F.sum(h.cast("decimal(38,0)")) % F.lit(2**61 - 1).cast("decimal(38,0)")).cast("bigint")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: row count, schema and an order-insensitive content hash.
 
-    Hashes add up modulo 2^64 in every task, so nothing but one row is shuffled.
+    Hashes add up as decimals in every task, so nothing but one row is shuffled and no row count overflows.
     """
     cols = sorted(df.columns)
     h = F.xxhash64(*[F.col(c) for c in cols])
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.pmod(h, F.lit(2147483647))), F.lit(0)).cast("bigint").alias("content_hash"),
+        F.coalesce(total_hash(h), F.lit(0)).cast("bigint").alias("content_hash"),
         F.coalesce(F.expr(f"bit_xor(xxhash64({','.join('`' + c + '`' for c in cols)}))"), F.lit(0)).alias("content_xor"),
     ).select(
         F.lit(",".join(f"{c}:{dict(df.dtypes)[c]}" for c in cols)).alias("schema"),
@@ -72,13 +78,13 @@ def read_snapshot(spark: SparkSession, root: str, params: dict, *, fmt: str = "p
 
 
 def load_or_build(spark, root, params, build, **kw) -> DataFrame:
-    """Reuse a verified snapshot, otherwise build and publish it."""
+    """Reuse a verified snapshot, or build and publish it where there is none. One that was changed is an error."""
     try:
         return read_snapshot(spark, root, params, **kw)
-    except Exception as e:  # noqa: BLE001 - any unreadable snapshot is rebuilt
-        if "PATH_NOT_FOUND" not in str(e) and "manifest" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    write_snapshot(build(), root, params, **kw)
+    write_snapshot(build(), root, params, **{k: v for k, v in kw.items() if k == "fmt"})
     return read_snapshot(spark, root, params, **kw)
 
 
