@@ -155,9 +155,11 @@ def judge(df: DataFrame, *, text: str = "text", keep=("doc_id",), alpha: float =
     found = estimates(made.where("not base_failed"), alpha=alpha, min_rows=min_rows, starts=starts, steps=steps, broadcast_rows=broadcast_rows)
     # every (language, source) gets the finest estimate there is
     groups = made.select("lang", "source").distinct()
-    for level in (1, 2, 3):
+    for level in (1, 2):
         groups = groups.withColumn("key", _key(level)).join(found.select("key", F.struct(*_PARAMETERS, "scale").alias(f"e{level}")), "key", "left").drop("key")
-    params = groups.select(_key(1).alias("group"), F.coalesce("e1", "e2", "e3").alias("e")).select("group", "e.*")
+    rest = found.where(F.col("key") == _key(3)).first()  # one row of parameters
+    whole = F.struct(*[F.lit(None if rest is None else rest[c]).cast("double").alias(c) for c in (*_PARAMETERS, "scale")])
+    params = groups.select(_key(1).alias("group"), F.coalesce("e1", "e2", whole).alias("e")).select("group", "e.*")
     params = staged(params, "parameters")
     out = _with_distance(_beside(made.withColumn("group", _key(1)), params, ["group"], broadcast_rows, "left"))
     distance = F.col("distance") / F.col("scale")
