@@ -61,7 +61,10 @@ select "window", count(*) as months, sum((stress >= thr)::int) as tail_months, {
 query("l13_or_unavailable", """
 select p.pos as "position", c.calls, c.calls is not null as available, case when c.calls is null then 'no calls in this month' end as reason from (select distinct pos from t_brand) p left join (select pos, count(*) as calls from t_calls group by 1) c on c.pos = p.pos""")(
     lambda s, d: A.or_unavailable(brand_table(s, d).select("position").distinct(), calls(s, d).groupBy("position").agg(F.count(F.lit(1)).alias("calls")), ["position"], "no calls in this month"))
-query("l14_score_answers")(lambda s, d: A.score_answers(scores(s, d).where("ready"), scores(s, d).select(*BYK, "series_id", F.col("p_up_raw").alias("p_up")), calls(s, d), hi=HI + 2).drop("panel_id"))
+query("l14_score_answers", """
+with k as (select pos, count(*) as k, sum(hit) as h from t_calls group by 1),
+r as (select *, row_number() over (partition by pos order by abs(p_up_raw - 0.5) desc, s) as place from t_scores where ready and y is not null and p_up_raw is not null)
+select k.pos as "position", count(*) as calls, sum(case when p_up_raw >= 0.5 then y else 1 - y end) as answer_hits, max(h) as production_hits from k join r on r.pos = k.pos and r.place <= k.k group by 1""")(lambda s, d: A.score_answers(scores(s, d).where("ready"), scores(s, d).select(*BYK, "series_id", F.col("p_up_raw").alias("p_up")), calls(s, d), hi=HI + 2).drop("panel_id"))
 query("n01_uptrend_baseline")(lambda s, d: N.uptrend_baseline(brand_table(s, d), LEAN, lo=66, hi=80, graph_upto=48, k=5, n_prior=24, min_labels=12, train=frame(s, d)).select("series_id", "position", "rank", rnd("p_up", 5).alias("p_up")))
 query("n10_next_periods")(lambda s, d: N.next_periods(brand_table(s, d)).select("horizon", "month", F.to_json("selections").alias("selections")))
 query("n12_shock_clustering", f"""

@@ -88,6 +88,12 @@ def q6(x, n=6):
     return f"(0.0::double + round({x}, {n}))"
 
 
+def pct_sql(c, by="pos"):
+    """SQL text of the share of an average-tie rank among the values of a period."""
+    return (f"case when {c} is not null then (rank() over (partition by {by}, {c} is null order by {c}) + "
+            f"(count(*) over (partition by {by}, {c}) - 1) / 2.0::double) / count({c}) over (partition by {by}) end")
+
+
 def out(df, cols, places=6):
     return round_cols(df, cols, places)
 

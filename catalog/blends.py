@@ -12,7 +12,7 @@ from walksieve.operators import models as Z
 from walksieve.operators import priors as G
 from walksieve.operators import targets as T
 
-from .base import out, q6
+from .base import out, pct_sql, q6
 from .fixtures import BYK, brand_table, market, memo, scores, target_table
 from .models import LEAN, frame
 from .registry import query
@@ -46,7 +46,8 @@ query("g14_active_probability", f"{KEY}, {q6('0.75::double * coalesce(p_up, p_up
 for _k, _sc in (("raw_max", "greatest(p_up, p_down)"), ("margin", "abs(p_up - p_down)")):
     query(f"g17_unified_{_k}", f"{KEY}, {q6(_sc, 11)} as unified_score, case when p_down > p_up then 'Down' else 'Up' end as unified_direction from t_scores where ready")(
         lambda s, d, k=_k: show(G.unify(scores(s, d).where("ready"), k), "unified_score", raw=["unified_direction"], places=11))
-query("g17_unified_percentile_max")(lambda s, d: show(G.unify(scores(s, d).where("ready"), "percentile_max"), "unified_score", raw=["unified_direction"]))
+query("g17_unified_percentile_max", f"""
+select {KEY[7:]}, {q6('greatest(u, d)')} as unified_score, case when d > u then 'Down' else 'Up' end as unified_direction from (select *, {pct_sql('p_up')} as u, {pct_sql('p_down')} as d from t_scores where ready)""")(lambda s, d: show(G.unify(scores(s, d).where("ready"), "percentile_max"), "unified_score", raw=["unified_direction"]))
 
 
 def local(s, d):

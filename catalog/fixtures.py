@@ -137,6 +137,11 @@ def memo(key, spark, d, build):
     return spark.read.parquet(_CACHE[k])
 
 
+def forget():
+    """Shared intermediates are built anew from here on."""
+    _CACHE.clear()
+
+
 def brand_table(spark, d):
     return memo("brand", spark, d, lambda: brand(spark, d))
 

@@ -12,7 +12,7 @@ from walksieve.operators import models as Z
 from walksieve.operators import priors as G
 from walksieve.operators import targets as T
 
-from .base import WINDOWS, brand, out, part, q6, supplier
+from .base import GROUP_SQL, WINDOWS, brand, out, part, pct_sql, q6, supplier
 from .features import D, L, M as MOM, R, W, KEY
 from .fixtures import BYK, brand_table, group_table, market, memo, scores, target_table
 from .market import timing
@@ -97,14 +97,35 @@ select s as series_id, pos as "position", {_ge('avg(y) over k >= 0.5')} as major
     lambda s, d: Z.naive_direction(target_table(s, d)).select("series_id", "position", *[c for c in Z.NAIVE_RULES if c != "ar1"]))
 query("f26_vote")(lambda s, d: Z.vote(Z.naive_direction(target_table(s, d)), {"majority": 1.0, "momentum_12": 0.5, "mean_reversion": 0.5, "ar1": 0.5}).select("series_id", "position", rnd("p_vote").alias("p_vote")))
 query("g09_eb_rate")(lambda s, d: out(G.eb_rate(G.available_rate(T.direction_targets(part(s, d)), n=24, min_labels=6)), ["eb_prior"]).select("series_id", "position", "eb_prior"))
-query("g08_group_reliability")(lambda s, d: out(G.group_reliability(scores(s, d).where("ready"), n=24), ["raw_weight", "reliability_weight"], 5).drop("panel_id"))
+query("g08_group_reliability", f"""
+with m as (select pos, avg(rel * (y - p_graph)) - avg(rel) * avg(y - p_graph) as a, avg(rel * rel) - avg(rel) * avg(rel) as b from t_scores
+           where ready and p_graph is not null and rel is not null and y is not null group by 1),
+e as (select distinct pos from t_scores where ready),
+w as (select e.pos, coalesce(sum(a) over z / nullif(coalesce(sum(b) over z, 0) + 1, 0), 0) as raw, count(a) over z as n from e left join m on m.pos = e.pos
+      window z as (order by e.pos range between 25 preceding and 2 preceding))
+select pos as "position", {q6('raw', 5)} as raw_weight, n as history_months, {q6('least(0.75::double, greatest(0.0::double, raw))', 5)} as reliability_weight from w""")(lambda s, d: out(G.group_reliability(scores(s, d).where("ready"), n=24), ["raw_weight", "reliability_weight"], 5).drop("panel_id"))
 query("g10_seasonal_deviation")(lambda s, d: out(G.seasonal_dev(target_table(s, d)), ["seasonal_tau2", "seasonal_shrunk", "seasonal_raw"]).drop("panel_id"))
-query("g11_rank_ensemble")(lambda s, d: out(G.rank_ensemble(scores(s, d).where("ready"), ["prior", "p_up_raw", "p_up", "p_select"]), ["window_ensemble"]).select("series_id", "position", "window_ensemble"))
+_KS = ["prior", "p_up_raw", "p_up", "p_select"]
+query("g11_rank_ensemble", f"""
+with k as (select s, pos, {", ".join(f"{pct_sql(c)} as k{i}" for i, c in enumerate(_KS))} from t_scores where ready)
+select s as series_id, pos as "position", case when {" + ".join(f"(k{i} is not null)::int" for i in range(4))} >= 3 then
+ {q6("(" + " + ".join(f"coalesce(k{i}, 0)" for i in range(4)) + ") / (" + " + ".join(f"(k{i} is not null)::int" for i in range(4)) + ")")} end as window_ensemble from k""")(lambda s, d: out(G.rank_ensemble(scores(s, d).where("ready"), ["prior", "p_up_raw", "p_up", "p_select"]), ["window_ensemble"]).select("series_id", "position", "window_ensemble"))
 query("g04_group_strength", f"""select g as group_id, pos as "position", {q6('gp')} as group_prior, {q6('mp')} as market_prior from t_group_brand""")(
     lambda s, d: out(G.group_strength(target_table(s, d), group_table(s, d)), ["group_prior", "market_prior"]).select("group_id", "position", "group_prior", "market_prior"))
 query("g18_hierarchical_prior", f"""select g as group_id, pos as "position", {q6('(coalesce(gs, 0) + 24 * mp) / (coalesce(gn, 0) + 24)')} as group_prior from t_group_brand""")(
     lambda s, d: out(G.group_strength(target_table(s, d), group_table(s, d), tau=24.0), ["group_prior"]).select("group_id", "position", "group_prior"))
-query("g15_miss_overlay")(lambda s, d: out(_overlay(s, d), ["p_overlay"]).select("series_id", "position", "p_overlay"))
+query("g15_miss_overlay", f"""
+with a as (select s, pos + 2 as pos, case when n >= 2 then m end as miss, case when n >= 2 then n end as cnt from (
+  select s, pos, count(y) over w as n, avg(1 - y) over w as m from t_brand_y where y is not null window w as (partition by s order by pos rows between 6 preceding and 1 preceding))),
+b as (select g, pos + 2 as pos, case when n >= 2 then m end as rate, case when n >= 2 then d end as sd from (
+  select g, pos, count(u) over w as n, avg(u) over w as m, stddev_samp(u) over w as d from (select {GROUP_SQL} as g, pos, avg(y) as u from t_brand_y where y is not null group by 1, 2)
+  window w as (partition by g order by pos rows between 6 preceding and 1 preceding))),
+c as (select t.s, t.pos, t.p_select as p, a.miss, b.rate, b.sd, coalesce(a.cnt, 0) as n, least(1.0::double, greatest(0.0::double, (coalesce(a.cnt, 0) - 1) / 3.0::double)) as h
+      from t_scores t left join a on a.s = t.s and a.pos = t.pos left join b on b.g = t.g and b.pos = t.pos where t.ready),
+d as (select *, 0.45::double - 0.10::double * h as thr, least(0.5::double, greatest(-0.5::double, coalesce(rate, 0.5) - 0.5 - 0.5::double * coalesce(sd, 0.2))) as steady,
+      least(1 - 1e-6, greatest(1e-6, p)) as q from c),
+e as (select *, case when miss is not null and n >= 1 then least(1.0::double, greatest(0.0::double, greatest(miss - thr, 0.0::double) / greatest(1 - thr, 1e-3))) else 0 end * h as fault from d)
+select s as series_id, pos as "position", {q6('least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-(ln(q / (1 - q)) - 0.4::double * fault + 0.3::double * steady)))))')} as p_overlay from e""")(lambda s, d: out(_overlay(s, d), ["p_overlay"]).select("series_id", "position", "p_overlay"))
 
 
 def _overlay(s, d):
@@ -113,5 +134,20 @@ def _overlay(s, d):
     return G.miss_overlay(x)
 
 
-query("d20_origin_quality")(lambda s, d: out(M.origin_quality(scores(s, d), k=5), ["top_score_mean", "top_score_min", "top_score_dispersion", "cutoff_margin", "cutoff_slope", "down_disagreement", "ready_share", "graph_adjustment", "group_concentration"]).drop("panel_id", "forecast_breadth", "regime_stress", "regime_uncertainty"))
-query("d21_historical_quality")(lambda s, d: out(M.historical_quality(T.band_target(scores(s, d), 6, 8), "quality_6_8"), ["quality_6_8", "historical_quality"]).drop("panel_id"))
+_PARTS = ["p_down_global", "p_down_local", "p_down_pattern", "p_down_prior"]
+_TOP = "case when base_up_rank <= 5 then {} end"
+_AT = "max(case when base_up_rank = {} then p_select end)"
+query("d20_origin_quality", f"""
+with a as (select *, {" + ".join(f"({p} is not null)::int" for p in _PARTS)} as n, {" + ".join(f"coalesce({p}, 0)" for p in _PARTS)} as t from t_scores),
+b as (select *, t / nullif(n, 0) as m from a), c as (select *, sqrt(({" + ".join(f"coalesce(({p} - m) * ({p} - m), 0)" for p in _PARTS)}) / nullif(n, 0)) as sd from b),
+g as (select pos, max(n) / sum(n) as conc from (select pos, g, count(*) as n from t_scores where base_up_rank <= 5 group by 1, 2) group by 1)
+select c.pos as "position", max(forecast_breadth) as forecast_breadth, max(regime_stress) as regime_stress, {q6(f"avg({_TOP.format('p_select')})")} as top_score_mean, {q6(f"min({_TOP.format('p_select')})")} as top_score_min,
+ {q6(f"stddev_pop({_TOP.format('p_select')})")} as top_score_dispersion, {q6(f"{_AT.format(5)} - {_AT.format(6)}")} as cutoff_margin, {q6(f"({_AT.format(4)} - {_AT.format(7)}) / 3")} as cutoff_slope,
+ {q6(f"avg({_TOP.format('sd')})")} as down_disagreement, {q6("avg(case when ready and base_up_rank is not null then 1.0::double else 0.0::double end)")} as ready_share,
+ {q6(f"avg({_TOP.format('abs(p_graph - p_up)')})")} as graph_adjustment, {q6("max(conc)")} as group_concentration, 1.0::double - 2.0::double * abs(max(regime_stress) - 0.5) as regime_uncertainty
+from c left join g on g.pos = c.pos group by c.pos""")(lambda s, d: out(M.origin_quality(scores(s, d), k=5), ["top_score_mean", "top_score_min", "top_score_dispersion", "cutoff_margin", "cutoff_slope", "down_disagreement", "ready_share", "graph_adjustment", "group_concentration"]).drop("panel_id"))
+query("d21_historical_quality", f"""
+with q as (select pos, avg(case when base_up_rank between 6 and 8 then y end) as q from t_scores group by 1),
+k as (select pos, q, row_number() over (order by pos) as c from q where q is not null),
+m as (select q.pos, q.q, max(k.c) as c from q left join k on k.pos <= q.pos - 2 group by 1, 2)
+select m.pos as "position", {q6("m.q")} as quality_6_8, {q6("(select avg(k.q) from k where k.c <= m.c and k.c > m.c - 24)")} as historical_quality from m""")(lambda s, d: out(M.historical_quality(T.band_target(scores(s, d), 6, 8), "quality_6_8"), ["quality_6_8", "historical_quality"]).drop("panel_id"))

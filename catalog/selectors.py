@@ -9,7 +9,7 @@ from walksieve.operators import priors as G
 from walksieve.operators import select as H
 from walksieve.operators import targets as T
 
-from .base import WINDOWS, groups, out, q6
+from .base import WINDOWS, groups, out, pct_sql, q6
 from .fixtures import BYK, K, brand_table, group_table, market, scores, target_table
 from .registry import cte, query
 
@@ -104,7 +104,17 @@ def controller_input(s, d):
 
 query("h09_controller", ranked_sql("round(p_select + case when p_down > p_up then 0.1::double * rp else -0.2::double * rp end + case when regime_stress > 0.5 and s in ('Brand#7', 'Brand#2', 'Brand#19') and not coalesce(p_down > p_up, false) then 0.05::double else 0 end, 12)", 5, "t_risk", "ready and rp is not null"))(
     lambda s, d: show(H.controller(controller_input(s, d), risk=0.2, down=0.1, role=0.05, k=5)))
-query("h10_normalized")(lambda s, d: show(H.normalized(scores(s, d), cap=8, core=5, down_threshold=0.5, stress_trigger=0.45, hard_threshold=0.6), "direction", "replacement"))
+query("h10_normalized", f"""
+with a as (select *, {pct_sql('p_select')} as u, {pct_sql('p_down')} as d from t_scores where ready and p_select is not null and p_down is not null),
+b as (select *, p_down >= 0.5 and (coalesce(regime_stress >= 0.45, false) or p_down >= 0.6) as guard, d - u as adv, row_number() over (partition by pos order by p_select desc, s) as pool from a),
+f as (select pos, s, adv, row_number() over (partition by pos order by adv desc, d desc, s) as r from b where pool <= 5 and guard and adv >= 0.05),
+w as (select pos, s, u, row_number() over (partition by pos order by u, s) as r from b where pool <= 5),
+o as (select pos, s, d, row_number() over (partition by pos order by d desc, s) as r from b where guard and pool > 8),
+c as (select w.pos, w.s as victim, f.s as fs, f.adv as fa, o.s as ns, o.d - w.u as oa from w left join f on f.pos = w.pos and f.r = 1 left join o on o.pos = w.pos and o.r = 1 and o.d - w.u >= 0.05 where w.r = 1),
+e as (select *, coalesce(oa > coalesce(fa, '-infinity'::double), false) as nw from c),
+x as (select b.s, b.pos, case when not nw and b.s = fs then 'Down' else 'Up' end as dir, false as rep, u, d from b join e on e.pos = b.pos where pool <= 8 and not (nw and b.s = victim)
+      union all select b.s, b.pos, 'Down', true, u, d from b join e on e.pos = b.pos and e.nw and e.ns = b.s)
+select s as series_id, pos as "position", row_number() over (partition by pos order by case when dir = 'Down' then d else u end desc, s) as rank, dir as direction, rep as replacement from x""")(lambda s, d: show(H.normalized(scores(s, d), cap=8, core=5, down_threshold=0.5, stress_trigger=0.45, hard_threshold=0.6), "direction", "replacement"))
 query("h11_guarded", f"""
 with a as (select a.*, x.p_down_local as risk, x.forecast_breadth as fb, quantile_cont(x.p_down_local, 0.7) over (partition by a.pos) as thr from t_adaptive a join t_scores x on x.s = a.s and x.pos = a.pos),
 b as (select *, sum((risk >= thr)::int) over (partition by pos) as nr, coalesce(dir = 'Up' and pu < 0.6, false) as weak from a),
@@ -140,7 +150,15 @@ select s as series_id, pos as "position", rk as rank, case when jd > ju then 'Do
  select *, {CAP_SQL['graduated']} as cap, round(0.5::double * (p_select + 1 - p_down), 12) as ju, 1 - round(0.5::double * (p_select + 1 - p_down), 12) as jd from t_scores where ready and p_down is not null)) where rk <= cap""")(
     lambda s, d: show(H.compete(G.joint_score(arms(s, d)).withColumn("joint_p_up", F.round("joint_p_up", 12)).withColumn("joint_p_down", 1 - F.col("joint_p_up")), "cap", HI), "direction"))
 query("h16_insert_down")(lambda s, d: H.insert_down(arms(s, d), cap="cap", hi=HI, margin=0.0, floor=0.5, max_down=3).select("series_id", "position", "direction", "source", "victim_id", "call_correct"))
-query("h17_designs")(lambda s, d: H.designs(scores(s, d), H.top_k(scores(s, d), "p_select", 6), cap=6, threshold=0.52, insert_cap=2).drop("panel_id"))
+query("h17_designs", """
+with p as (select *, row_number() over (partition by pos order by p_select desc, s) as pool from t_scores where ready),
+o as (select *, row_number() over (partition by pos order by p_down desc, s) as k from p where pool > 6 and p_down >= 0.52),
+n as (select p.pos, least(count(o.s), 6) as n from (select distinct pos from p) p left join o on o.pos = p.pos group by 1),
+u as (select *, row_number() over (partition by pos order by greatest(p_down, p_up) desc, s) as place from p)
+select pos as "position", s as series_id, y as y_true, 'Up' as direction, 'A' as design from p where pool <= 6
+union all select p.pos, s, y, 'Up', 'B' from p join n on n.pos = p.pos where pool <= 6 - least(2, n) union all select pos, s, y, 'Down', 'B' from o where k <= 2
+union all select p.pos, s, y, 'Up', 'C' from p join n on n.pos = p.pos where pool <= 6 - least(3, n) union all select pos, s, y, 'Down', 'C' from o where k <= 3
+union all select pos, s, y, case when p_down > p_up then 'Down' else 'Up' end, 'D' from u where place <= 6""")(lambda s, d: H.designs(scores(s, d), H.top_k(scores(s, d), "p_select", 6), cap=6, threshold=0.52, insert_cap=2).drop("panel_id"))
 query("h18_matched", """
 select s as series_id, x.pos as "position", rk as rank, case when p_up >= 0.5 then 'Up' else 'Down' end as direction from (
  select *, row_number() over (partition by pos order by abs(p_up - 0.5) desc, s) as rk from t_scores where ready and y is not null) x
