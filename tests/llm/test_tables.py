@@ -155,6 +155,15 @@ def test_column_generation_beats_first_fit():
     assert sum(t for _, t in cutting.plan(counts, 100, gap=0.0)) <= 455
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abCÉe\u0301İßΣ1.'$ \t\n\x1c\x85\u3000😀<|>", max_size=25), min_size=1, max_size=5))
+def test_ids_word_by_word(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, counts = packing.WordIds(path, most=4)([t.encode() for t in texts])
+    want = [e.ids for e in packing.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tk = packing.tokenizer(path)

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import cutting
+from . import wordhash as H
 from .common import staged
 
 
@@ -36,62 +37,79 @@ def tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of texts, word by word, for a tokenizer that drops white space and never reaches across it.
+    """Ids of texts, word by word, for a tokenizer that drops white space, ignores case and never reaches across a space.
 
-    Distinct words are encoded once and kept up to `most` words; then the store starts anew, so memory is bounded.
+    Distinct words, told apart by 64-bit hashes, are encoded once and kept as arrays. Beyond `most` words those used
+    least are forgotten, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
-        self.encode, self.most, self.longest = tokenizer(path).encode_batch, most, longest
-        self.clear()
-
-    def clear(self):
-        self.codes: dict[bytes, int] = {}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]):
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            made = [e.ids for e in self.encode([w.decode() for w in part], add_special_tokens=False)]
-            self.codes.update(zip(part, range(len(self.codes), len(self.codes) + len(part))))
-            sizes = np.cumsum([len(m) for m in made]) + self.starts[-1]
-            self.ids = np.concatenate([self.ids, np.array([i for m in made for i in m], np.uint32)])
-            self.starts = np.concatenate([self.starts, sizes])
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()  # at ASCII white space only
-        new = {w for w in words if w not in self.codes}
-        if len(self.codes) + len(new) > self.most:
-            self.clear()
-            new = set(words)
-        self._learn(list(new))
-        out = self._gather(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
-        if len(self.codes) > self.most or any(len(w) > self.longest for w in new):
-            self.clear()  # long words or a text of very many words are not kept
-        return out
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(size)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
-        return self.ids[where]
+    def __init__(self, path: str, most: int = 1 << 20):
+        self.encode, self.most = tokenizer(path).encode_batch_fast, most
+        self.keys, self.first, self.size, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        made = [e.ids for at in range(0, len(words), 20_000) for e in self.encode([w.decode() for w in words[at:at + 20_000]], add_special_tokens=False)]
+        size = np.array([len(m) for m in made], np.int64)
+        keys, size, uses = np.concatenate([self.keys, keys]), np.concatenate([self.size, size]), np.concatenate([self.uses, np.zeros(len(made), np.int64)])
+        first = np.concatenate([self.first, len(self.ids) + np.cumsum(size[len(self.keys):]) - size[len(self.keys):]])
+        self.ids = np.concatenate([self.ids, np.array([i for m in made for i in m], np.uint32)])
+        order = np.argsort(keys)
+        self.keys, self.first, self.size, self.uses = keys[order], first[order], size[order], uses[order]
+
+    def _forget(self) -> None:
+        if len(self.keys) > self.most:
+            stay = np.sort(np.argsort(-self.uses, kind="stable")[:self.most // 2])
+            ids = _gather(self.ids, self.first[stay], self.size[stay])
+            self.keys, self.size, self.uses, self.ids = self.keys[stay], self.size[stay], self.uses[stay] // 2, ids
+            self.first = np.cumsum(self.size) - self.size
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and how many each has."""
+        hashes, counts, data, start, stop = H.located(texts)
+        own, one, where, uses = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.keys, own)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == own if len(self.keys) else np.zeros(len(own), bool)
+        if not known.all():
+            self._learn(own[~known], [data[start[i]:stop[i]] for i in one[~known].tolist()])
+            at = np.searchsorted(self.keys, own)
+        self.uses[at] += uses
+        size = self.size[at][where]
+        ids = _gather(self.ids, self.first[at][where], size)
+        self._forget()
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)], prepend=0)
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One store per Python worker, kept from task to task."""
+    return WordIds(path)
+
+
+def _gather(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
 
 
 def pieces(df: DataFrame, path: str, *, key: str, text: str, size: int, end_id: int) -> DataFrame:
     """One row per piece: key, doc_tokens, start, length, ids_crc32, uid (unique number)."""
     def run(batches):
-        encode, uid = WordIds(path), TaskContext.get().partitionId() << 40
+        encode, uid = word_ids(path), TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             took = []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = np.append(encode(t), np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(ids), size):
-                    part = ids[at:at + size]
-                    took.append(i)
-                    for o, v in zip(out, (len(ids), at, len(part), zlib.crc32(part.tobytes()), uid)):
-                        o.append(v)
-                    uid += 1
+            i = 0
+            for texts in H.chunks(b.column(1).to_pylist(), 1 << 21):
+                ids, counts = encode(texts)
+                for own in np.split(ids, np.cumsum(counts)[:-1]):
+                    own = np.append(own, np.uint32(end_id)).astype("<u4")
+                    for at in range(0, len(own), size):
+                        part = own[at:at + size]
+                        took.append(i)
+                        for o, v in zip(out, (len(own), at, len(part), zlib.crc32(part.tobytes()), uid)):
+                            o.append(v)
+                        uid += 1
+                    i += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(took, pa.int64())), *(pa.array(o, pa.int64()) for o in out)],
                                              names=[key, "doc_tokens", "start", "length", "ids_crc32", "uid"])
 

@@ -42,23 +42,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def words(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many each text has."""
-    hashes, counts, at = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+def chunks(texts: list[bytes], size: int = 1 << 20):
+    """Runs of texts of about `size` bytes; a longer text stands alone."""
+    at = 0
     while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < chunk):
-            size += len(texts[end]) + 1
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) < size):
+            held += len(texts[end]) + 1
             end += 1
-        h, n = _words(texts[at:end])
-        hashes.append(h)
-        counts.append(n)
+        yield texts[at:end]
         at = end
-    return np.concatenate(hashes), np.concatenate(counts)
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+def words(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and how many each text has."""
+    made = [located(part)[:2] for part in chunks(texts, chunk)]
+    return (np.concatenate([np.zeros(0, _U), *(h for h, _ in made)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in made)]))
+
+
+def located(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Hashes and counts as `words` has them, the bytes of all texts, and where in them each word starts and stops."""
+    joined = b" " + b" ".join(texts) + b" "
+    data = np.frombuffer(joined, np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     inside = ~_SPACE[data]
     turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -67,7 +72,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     run = np.zeros(len(data) + 1, _U)
     np.cumsum(_BYTES[data] * up, out=run[1:])
     h = mix((run[stop] - run[start]) * down[start] ^ (stop - start).astype(_U) * _U(0xA0761D6478BD642F))
-    return h, np.diff(np.searchsorted(start, ends, "right"), prepend=0)
+    return h, np.diff(np.searchsorted(start, ends, "right"), prepend=0), joined, start, stop
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int = 3) -> list[np.ndarray]:
