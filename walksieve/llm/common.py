@@ -15,12 +15,22 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees, as the cluster names it in spark.checkpoint.dir; a new one only where that is unset."""
+    """The folder that every executor sees, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset, as in tests, one temporary folder per local application; a cluster without one is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = _OWN[context.applicationId]
     return base.rstrip("/") + "/walksieve-llm"
 
 
