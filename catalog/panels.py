@@ -38,7 +38,7 @@ def scratch(spark):
         import uuid
 
         return f"{shared.rstrip('/')}/walksieve-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 

@@ -71,7 +71,12 @@ x as (select c.rep, t.s, c.m, count(*) as n, avg(y) as r from t join c on c.pos
 st as (select rep, sum(n * (r - b) * (r - b) / (b * (1 - b))) as v from x join b on b.s = x.s where n >= 3 and b * (1 - b) > 0 group by 1)
 select {q6('o.v', 4)} as observed, {q6('median(st.v)', 4)} as null_median, {q6('(1 + sum((st.v >= o.v)::int)) / (1.0::double + count(*))')} as p_value from st, (select v from st where rep = 0) o where rep > 0 group by o.v""")(
     lambda s, d: out(out(J.label_permutation(target_table(s, d), reps=100), ["observed", "null_median"], 4), ["p_value"]).drop("panel_id"))
-query("j11_spread_null")(lambda s, d: out(J.spread_null(scores(s, d), "p_up_raw", "prior", reps=200), ["observed", "null_median", "null_p95", "p_value"]).drop("panel_id"))
+query("j11_spread_null", f"""
+with d as (select s, ((p_up_raw >= 0.5) = (y = 1))::int as a, ((prior >= 0.5) = (y = 1))::int as b from t_scores where y is not null and p_up_raw is not null and prior is not null),
+p as (select s, ('0x' || substr(md5(s), 1, 8))::bigint as code, count(*) as n, sum((a <> b)::int) as k, sum((b > a)::int) as lost, avg(a - b) as w from d group by 1),
+c as (select s, rep, n, lost, (select coalesce(sum({_rnd('(rep * 7919 + i * 31)', 'code', 1, '2')}), 0) from (select unnest(generate_series(1, k::bigint)) as i)) as coins from p, (select unnest(range(200)) as rep)),
+v as (select rep, stddev_samp((coins - lost) / n::double) as v from c group by 1), o as (select stddev_samp(w) as observed, count(*) as series from p)
+select {q6('observed')} as observed, series, {q6('quantile_cont(v, 0.5)')} as null_median, {q6('quantile_cont(v, 0.95)')} as null_p95, {q6('avg((v >= observed)::int)')} as p_value from v, o group by observed, series""")(lambda s, d: out(J.spread_null(scores(s, d), "p_up_raw", "prior", reps=200), ["observed", "null_median", "null_p95", "p_value"]).drop("panel_id"))
 query("j12_signal_contribution")(lambda s, d: out(_contribution(s, d), ["accuracy"]))
 
 

@@ -86,8 +86,7 @@ def paired_months(candidate: DataFrame, baseline: DataFrame, *, common: bool = F
 def metric_bootstrap(df: DataFrame, p: str, y: str, *, block: int = 6, reps: int = 200, seed: int = 1, by=BY) -> DataFrame:
     """Intervals of AUC, Brier and ECE over resampled months.
 
-    Months are collapsed to counts per score level first, so a replicate repeats
-    levels and not rows.
+    A replicate holds the rows of each month as often as the month is drawn, so the work is rows times replicates.
     """
     from .metrics import auc, ece
 
@@ -166,7 +165,7 @@ def spread_null(df: DataFrame, a: str, b: str, *, reps: int = 500, seed: int = 1
         F.sum((F.col("_b") > F.col("_a")).cast("int")).alias("_lost"), F.avg(F.col("_a") - F.col("_b")).alias("_w"))
     obs = per.groupBy(*by).agg(F.stddev_samp("_w").alias("observed"), F.count(F.lit(1)).alias("series"))
     # replicates lie in an array beside each series: sums of coins, no row per replicate before the series are added up
-    code = F.pmod(F.crc32(F.col("series_id").cast("binary")), F.lit(MODULUS).cast("bigint"))
+    code = F.conv(F.substring(F.md5(F.col("series_id").cast("binary")), 1, 8), 16, 10).cast("bigint")
     coins = lambda rep: F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("_k").cast("bigint")), F.lit(0).cast("bigint"),
                                     lambda x, i: x + F.when(i == 0, F.lit(0)).otherwise(draw(rep * 7919 + i * 31, code, seed, F.lit(2).cast("bigint"))))
     sums = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: coins(r.cast("bigint")))
