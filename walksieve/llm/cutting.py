@@ -1,7 +1,7 @@
 """Cutting stock by column generation: how often to use which pattern of lengths, from a histogram alone.
 
 The linear program has one row per length and one column per pattern (how many pieces of each
-length a sequence holds); its basis starts from first-fit decreasing patterns. Each round prices
+length a sequence holds); its basis are first-fit decreasing patterns. Each round prices
 patterns with a knapsack dynamic program over the duals and enters those that improve the basis,
 until the bound by Farley or by the total length shows the gap to be small. Patterns are rounded
 down; what is left is filled pattern by pattern, the longest piece first with the fullest
@@ -17,25 +17,24 @@ import numpy as np
 Pattern = dict[int, int]
 
 
-def first_fit(counts: Pattern, size: int) -> list[tuple[Pattern, int, int]]:
-    """(pattern, times, length that runs out): greedy patterns, longest first, each used while it fits."""
-    left, out = dict(counts), []
+def first_fit(counts: Pattern, size: int) -> list[tuple[Pattern, float, list[int]]]:
+    """(pattern, times, lengths that run out): greedy patterns, longest first, each used until a length is gone."""
+    left, out = {n: float(c) for n, c in counts.items()}, []
     lengths = sorted((n for n, c in left.items() if c > 0), reverse=True)
     while lengths:
         room, pattern = size, {}
         for n in lengths:
-            if n <= room and (k := min(room // n, left[n])):
-                pattern[n] = k
-                room -= k * n
-                if room < lengths[-1]:
-                    break
-        times = min(left[n] // k for n, k in pattern.items())
+            if n <= room:
+                pattern[n] = room // n
+                room -= pattern[n] * n
+            if room < lengths[-1]:
+                break
+        times = min(left[n] / k for n, k in pattern.items())
         for n, k in pattern.items():
             left[n] -= k * times
-        # less than a pattern's share of a length may stay; it then is in later patterns, in smaller numbers
-        gone = [n for n in pattern if left[n] == 0]
-        out.append((pattern, times, gone[0] if gone else 0))
-        lengths = [n for n in lengths if left[n]]
+        gone = [n for n in pattern if left[n] <= 1e-9 * counts[n]]
+        out.append((pattern, times, gone))
+        lengths = [n for n in lengths if n not in gone]
     return out
 
 
@@ -105,10 +104,18 @@ def generate(counts: Pattern, size: int, gap: float = 5e-4, rounds: int = 200) -
     m = len(lengths)
     if not m:
         return [], {"rounds": 0, "gap": 0.0}
+    # a basis: each greedy pattern stands for a length that it uses up, which no later pattern holds, so the matrix is
+    # triangular in the order of their ends; lengths that end together get a pattern of their own, unused so far
     columns: list[Pattern] = [{int(n): size // int(n)} for n in lengths]
-    start = need / np.array([size // n for n in lengths])
-    inverse = np.diag([1 / (size // n) for n in lengths])
-    x = start.copy()
+    x = np.zeros(m)
+    for pattern, times, gone in first_fit(counts, size):
+        columns[row[gone[0]]], x[row[gone[0]]] = pattern, times
+    matrix = np.zeros((m, m))
+    for j, pattern in enumerate(columns):
+        for n, k in pattern.items():
+            matrix[row[n], j] = k
+    inverse = np.linalg.inv(matrix)
+    x = np.maximum(inverse @ need, 0)
     material = float((lengths * need).sum()) / size
     bound, done, entered = material, 0, 0
 
@@ -128,9 +135,6 @@ def generate(counts: Pattern, size: int, gap: float = 5e-4, rounds: int = 200) -
         columns[out] = pattern
         return True
 
-    for pattern, _, _ in first_fit(counts, size):
-        duals = inverse.sum(0)
-        entered += enter(pattern)
     for done in range(rounds):
         duals = inverse.sum(0)
         total = float(x.sum())
