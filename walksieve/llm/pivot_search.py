@@ -91,26 +91,32 @@ def search_block(best: list, queries, candidates, k: int, step: int) -> int:
     qid, q, qd = queries
     cid, c, cd = candidates
     qn, cn = _norms(q), _norms(c)
-    cd_t, done = np.ascontiguousarray(cd.T), 0
+    # single precision halves the work on the table; the bound is widened by more than it can err
+    kind = np.float32 if max(qd.max(initial=0), cd.max(initial=0)) < 1e15 else np.float64
+    table, own = np.ascontiguousarray(cd.T, dtype=kind), qd.astype(kind)
+    low, gap, done = np.empty(len(cid), kind), np.empty(len(cid), kind), 0
     exact = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) < 1 << 20
     small = c.astype(np.float64) if exact else None
     for i in range(len(qid)):
-        low = np.zeros(len(cid))
-        for p in range(len(cd_t)):
-            np.maximum(low, np.abs(cd_t[p] - qd[i, p]), out=low)
-        bound = (qn[i] + cn - low * low) / 2
-        bound += 1e-9 * (qn[i] + cn) + 1e-3  # rounding of the distances
+        low[:] = 0
+        for p in range(len(table)):
+            np.subtract(table[p], own[i, p], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
+        bound = (qn[i] + cn) * (0.5 + 1e-5) + 1e-3
+        bound -= low.astype(np.float64) ** 2 / 2
         ids, scores = best[i]
-        floor = scores[-1] if len(scores) == k else -np.inf
-        order = np.flatnonzero(bound >= floor)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        at = 0
+        order = np.flatnonzero(bound >= scores[-1]) if len(scores) == k else np.arange(len(cid))
+        order = order[np.argsort(-bound[order])]
+        at, size = 0, step
         while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1]):
-            part = order[at:at + step]
-            at += step
+            part = order[at:at + size]
+            at, size = at + size, 2 * size  # weak bounds are met by longer looks, at most as many again as needed
             done += len(part)
             part = part[cid[part] != qid[i]]
             got = (small[part] @ q[i].astype(np.float64)).astype(np.int64) if exact else _scores(q[i], c[part])
+            if len(scores) == k:
+                part, got = part[got >= scores[-1]], got[got >= scores[-1]]
             all_ids, all_scores = np.concatenate([ids, cid[part]]), np.concatenate([scores, got])
             top = np.lexsort((all_ids, -all_scores))[:k]
             ids, scores = all_ids[top], all_scores[top]
@@ -119,7 +125,7 @@ def search_block(best: list, queries, candidates, k: int, step: int) -> int:
 
 
 def top_k(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, every: int = 20, k: int = 20,
-          pivots: int = 24, query_rows: int = 512, block_rows: int = 2048, run_rows: int = 1 << 16, step: int = 256) -> DataFrame:
+          pivots: int = 16, query_rows: int = 256, block_rows: int = 8192, run_rows: int = 1 << 16, step: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of every query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by `every`, candidates all other rows of the same dimension than the
