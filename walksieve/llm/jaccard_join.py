@@ -157,7 +157,9 @@ def links(profiles: DataFrame, *, percent: int, tile_sets: int = 256, tile_items
         found = tile_links([np.asarray(x, np.int64) for x in t["items"].to_pylist()], percent)
         return pa.table([pa.array([sig[i] for i, _ in found], pa.string()), pa.array([sig[j] for _, j in found], pa.string())], names=["a", "b"])
 
-    return stars.unionByName(pairs.groupBy("component", "p", "q").applyInArrow(product, "a string, b string"))
+    # dealt by the whole key: the join's partitioning by component alone would keep a large group's tiles together
+    tiled = pairs.repartition("component", "p", "q").groupBy("component", "p", "q")
+    return stars.unionByName(tiled.applyInArrow(product, "a string, b string"))
 
 
 def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, keep=()) -> DataFrame:
