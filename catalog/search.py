@@ -13,7 +13,7 @@ from .base import WINDOWS, out, q6
 from .fixtures import BYK, memo, scores
 from .metrics import auc_sql, calls, sw
 from .registry import cte, query
-from .selectors import ADAPT, CAP_COL, HI, KEY, LO, _lg, months
+from .selectors import ADAPT, cap_col, HI, KEY, LO, _lg, months
 
 CB = ("panel_id", "candidate_id")
 WEIGHTS = [i / 20 for i in range(21)]
@@ -39,7 +39,7 @@ select *, row_number() over (order by tuning_hits desc, validation_hits desc, ca
 def adaptive_grid(s, d):
     grid = K.grid_frame(s, {"down_threshold": [0.5, 0.52, 0.55], "stress_trigger": [0.4, 0.5], "max_replacements": [0, 2]})
     g = K.with_grid(scores(s, d), grid)
-    c = H.regime_adaptive(g, **{**ADAPT, "down_threshold": F.col("down_threshold"), "stress_trigger": F.col("stress_trigger"), "max_replacements": F.col("max_replacements"), "replacement_hi": 2}, by=CB)
+    c = H.regime_adaptive(g, cap=cap_col("graduated"), **{**ADAPT, "down_threshold": F.col("down_threshold"), "stress_trigger": F.col("stress_trigger"), "max_replacements": F.col("max_replacements"), "replacement_hi": 2}, by=CB)
     return memo("adaptive_grid", s, d, lambda: I.summarize(T.in_windows(c, WINDOWS), ["candidate_id", "window"]))
 
 

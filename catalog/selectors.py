@@ -33,14 +33,21 @@ CAP_SQL = {"stress_up": "round_even(5 + 3 * least(1.0::double, greatest(0.0::dou
            "binary": "case when forecast_breadth >= 0.5 then 8 else 5 end",
            "graduated": "coalesce(round_even(5 + 3 * least(1.0::double, greatest(0.0::double, (forecast_breadth - 0.42) / (0.56::double - 0.42))), 0)::int, 5)",
            "schedule": "case when forecast_breadth >= 0.52 then 8 when forecast_breadth >= 0.48 then 6 else 5 end"}
-CAP_COL = {"stress_up": H.cap_stress("regime_stress", LO, HI, 0.35, 0.75), "stress_down": H.cap_stress("regime_stress", LO, HI, 0.35, 0.75, False),
-           "binary": H.cap_binary("forecast_breadth", LO, HI, 0.5), "graduated": H.cap_graduated("forecast_breadth", LO, HI, 0.42, 0.56),
-           "schedule": H.schedule_graduated("forecast_breadth", 0.48, 0.52, (5, 6, 8))}
+_CAPS = {"stress_up": lambda: H.cap_stress("regime_stress", LO, HI, 0.35, 0.75), "stress_down": lambda: H.cap_stress("regime_stress", LO, HI, 0.35, 0.75, False),
+         "binary": lambda: H.cap_binary("forecast_breadth", LO, HI, 0.5), "graduated": lambda: H.cap_graduated("forecast_breadth", LO, HI, 0.42, 0.56),
+         "schedule": lambda: H.schedule_graduated("forecast_breadth", 0.48, 0.52, (5, 6, 8))}
+
+
+def cap_col(name):
+    """A cap as a column; columns need a session, which importing this module must not."""
+    return _CAPS[name]()
+
+
 query("h02_caps", 'select distinct pos as "position", ' + ", ".join(f"{e} as {n}" for n, e in CAP_SQL.items()) + " from t_scores")(
-    lambda s, d: scores(s, d).select("position", *[e.alias(n) for n, e in CAP_COL.items()]).distinct())
+    lambda s, d: scores(s, d).select("position", *[cap_col(n).alias(n) for n in _CAPS]).distinct())
 for _c in ("graduated", "stress_up"):
     query(f"h03_dynamic_cap_{_c}", ranked_sql("p_select", CAP_SQL[_c]))(
-        lambda s, d, c=_c: show(H.dynamic_cap(scores(s, d), CAP_COL[c], HI)))
+        lambda s, d, c=_c: show(H.dynamic_cap(scores(s, d), cap_col(c), HI)))
 _lg = lambda p: f"ln(least(1 - 1e-6, greatest(1e-6, {p})) / (1 - least(1 - 1e-6, greatest(1e-6, {p}))))"
 query("h04_fixed_coverage", ranked_sql(f"({_lg('p_graph')} + 0.4::double * coalesce(rel, 0))", 6))(lambda s, d: show(H.fixed_coverage(scores(s, d), 6, 0.4)))
 
@@ -59,12 +66,12 @@ cte("t_ra4", "select *, least(2, count(rep) over (partition by pos)) as nrep fro
 cte("t_adaptive", """
 select s, pos, y, cap, pd, p_graph as pu, greatest(pd, p_graph) as conf, case when coalesce(rep <= 2, false) or coalesce(fl <= least(cap, greatest(quota, nhard)), false) then 'Down' else 'Up' end as dir,
  coalesce(rep <= 2, false) as repl, regime_label from t_ra4 where (inp and weak > nrep) or coalesce(rep <= 2, false)""")
-ADAPT = dict(cap=CAP_COL["graduated"], hi=HI, min_cap=LO, down_threshold=0.52, down_margin=0.01, stress_trigger=0.45, max_down_share=0.3,
+ADAPT = dict(hi=HI, min_cap=LO, down_threshold=0.52, down_margin=0.01, stress_trigger=0.45, max_down_share=0.3,
              regime_bonus=0.05, shock_bonus=0.03, hard_threshold=0.6, replacement_margin=0.02, max_replacements=2)
 
 
 def adaptive(spark, d):
-    return H.regime_adaptive(scores(spark, d), **ADAPT)
+    return H.regime_adaptive(scores(spark, d), cap=cap_col("graduated"), **ADAPT)
 
 
 query("h05_regime_adaptive", f"""{KEY}, cap, dir as direction, repl as replacement, row_number() over (partition by pos order by conf desc, s) as rank from t_adaptive""")(
@@ -130,11 +137,11 @@ def guarded_calls(s, d):
 
 query("h12_schedule_quality", 'select distinct pos as "position", case when forecast_breadth >= 0.48 and regime_stress >= 0.5 then 8 when forecast_breadth >= 0.48 then 6 else 5 end as cap from t_scores')(
     lambda s, d: scores(s, d).select("position", H.schedule_quality("forecast_breadth", "regime_stress", 0.48, 0.5, (5, 6, 8)).alias("cap")).distinct())
-query("h13_existing_caps", ranked_sql("p_up", CAP_SQL["binary"]))(lambda s, d: show(H.dynamic_cap(scores(s, d), CAP_COL["binary"], HI, score="p_up")))
+query("h13_existing_caps", ranked_sql("p_up", CAP_SQL["binary"]))(lambda s, d: show(H.dynamic_cap(scores(s, d), cap_col("binary"), HI, score="p_up")))
 
 
 def arms(s, d):
-    return scores(s, d).withColumns({"up_cal": F.col("p_select"), "down_cal": F.col("p_down"), "base_direction": F.lit("Up"), "cap": CAP_COL["graduated"]})
+    return scores(s, d).withColumns({"up_cal": F.col("p_select"), "down_cal": F.col("p_down"), "base_direction": F.lit("Up"), "cap": cap_col("graduated")})
 
 
 _fd = "(p_down >= 0.5 and p_down >= p_select + 0.0::double)"

@@ -31,3 +31,14 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_can_be_read_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    made = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert made.returncode == 0, made.stderr[-500:]
+    assert int(made.stdout.split()[-2]) >= 250

@@ -12,7 +12,10 @@ from ..functions.columns import (
 )
 from ..functions.ordering import average_rank, group_quantiles, pct_rank, top_k, value_ranks
 
-N = F.count(F.lit(1))
+
+def _rows():
+    """Count of rows; columns need a session, which importing this module must not."""
+    return F.count(F.lit(1))
 
 
 def with_correct(calls: DataFrame, direction: str = "direction") -> DataFrame:
@@ -24,7 +27,7 @@ def summarize(calls: DataFrame, keys: list[str]) -> DataFrame:
     c = with_correct(calls).where("correct is not null")
     down = F.col("direction") == "Down"
     return c.groupBy(*keys).agg(
-        F.count_distinct("position").alias("months"), N.alias("calls"), F.sum("correct").cast("bigint").alias("hits"),
+        F.count_distinct("position").alias("months"), _rows().alias("calls"), F.sum("correct").cast("bigint").alias("hits"),
         F.avg("correct").alias("accuracy"), F.sum((~down).cast("int")).alias("up_calls"), F.sum(down.cast("int")).alias("down_calls"),
         F.coalesce(F.sum(F.when(down, F.col("correct"))), F.lit(0.0)).cast("bigint").alias("down_hits"),
         F.avg(F.when(down, F.col("correct"))).alias("down_precision"))
@@ -32,7 +35,7 @@ def summarize(calls: DataFrame, keys: list[str]) -> DataFrame:
 
 def monthly(calls: DataFrame, keys=BY) -> DataFrame:
     c = with_correct(calls).where("correct is not null")
-    return c.groupBy(*keys, "position").agg(N.alias("calls"), F.sum("correct").alias("hits"), F.avg("correct").alias("accuracy"))
+    return c.groupBy(*keys, "position").agg(_rows().alias("calls"), F.sum("correct").alias("hits"), F.avg("correct").alias("accuracy"))
 
 
 def monthly_stats(calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,7 +77,7 @@ def log_loss(p, y, eps: float = 1e-6):
 
 def ece(df: DataFrame, p: str, y: str, keys: list[str], *, bins: int = 10, out: str = "ece") -> DataFrame:
     d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("_b", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)))
-    b = d.groupBy(*keys, "_b").agg(N.alias("_n"), F.avg(p).alias("_p"), F.avg(y).alias("_y"))
+    b = d.groupBy(*keys, "_b").agg(_rows().alias("_n"), F.avg(p).alias("_p"), F.avg(y).alias("_y"))
     return b.groupBy(*keys).agg((F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n")).alias(out))
 
 
@@ -83,7 +86,7 @@ def ece_quantile(df: DataFrame, p: str, y: str, keys: list[str], *, bins: int =
     d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     e = group_quantiles(d, keys, p, {f"_q{i}": i / bins for i in range(1, bins)})
     b = sum(((F.col(p) > F.col(f"_q{i}")).cast("int") for i in range(1, bins)), F.lit(0))
-    d = d.join(e, keys).withColumn("_b", b).groupBy(*keys, "_b").agg(N.alias("_n"), F.avg(p).alias("_p"), F.avg(y).alias("_y"))
+    d = d.join(e, keys).withColumn("_b", b).groupBy(*keys, "_b").agg(_rows().alias("_n"), F.avg(p).alias("_p"), F.avg(y).alias("_y"))
     return d.groupBy(*keys).agg((F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n")).alias(out))
 
 
@@ -93,7 +96,7 @@ def metrics(df: DataFrame, p: str, y: str, keys: list[str]) -> DataFrame:
     up = F.col(p) >= 0.5
     hit = flag(up == (F.col(y) == 1.0))
     base = d.groupBy(*keys).agg(
-        N.alias("n"), F.sum(hit).cast("bigint").alias("hits"), F.avg(hit).alias("accuracy"),
+        _rows().alias("n"), F.sum(hit).cast("bigint").alias("hits"), F.avg(hit).alias("accuracy"),
         ((F.avg(F.when(F.col(y) == 1.0, hit)) + F.avg(F.when(F.col(y) == 0.0, hit))) / 2.0).alias("balanced_accuracy"),
         brier(p, y).alias("brier"), log_loss(p, y).alias("log_loss"), F.avg(p).alias("mean_probability"), F.avg(y).alias("base_rate"))
     return base.join(auc(d, p, y, keys), keys, "left").join(ece(d, p, y, keys), keys, "left").join(spearman(d, p, y, keys), keys, "left")
@@ -105,7 +108,7 @@ def spearman(df, a: str, b: str, keys: list[str], out: str = "spearman") -> Data
     ra = value_ranks(d, ids, a).select(*ids, a, average_rank().alias("_ra"))
     rb = value_ranks(d, ids, b).select(*ids, b, average_rank().alias("_rb"))
     # the correlation of ranks needs each pair of values once, with its multiplicity
-    c = d.groupBy(*ids, a, b).agg(N.alias("_c")).join(ra, [*ids, a]).join(rb, [*ids, b])
+    c = d.groupBy(*ids, a, b).agg(_rows().alias("_c")).join(ra, [*ids, a]).join(rb, [*ids, b])
     w, x, z = F.col("_c"), F.col("_ra"), F.col("_rb")
     s = c.groupBy(*ids).agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * z).alias("sz"), F.sum(w * x * x).alias("sxx"),
                             F.sum(w * z * z).alias("szz"), F.sum(w * x * z).alias("sxz"))
@@ -147,7 +150,7 @@ RELIABILITY_EDGES = [0.0, 0.55, 0.60, 0.65, 0.70, 0.75, 1.0]
 def reliability(df: DataFrame, p: str, y: str, keys: list[str], edges=None) -> DataFrame:
     edges = edges or RELIABILITY_EDGES
     d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("bucket", _bucket(p, edges))
-    a = d.groupBy(*keys, "bucket").agg(N.alias("calls"), F.avg(p).alias("mean_probability"), F.avg(y).alias("observed"), F.sum(y).alias("_h"))
+    a = d.groupBy(*keys, "bucket").agg(_rows().alias("calls"), F.avg(p).alias("mean_probability"), F.avg(y).alias("observed"), F.sum(y).alias("_h"))
     a = wilson(a, "_h", "calls")
     return a.withColumn("wilson_lcb", wilson_bounds("_h", "calls", Z_ONE_SIDED_95)[0]).drop("_h")
 
@@ -159,14 +162,14 @@ def qcut_table(df: DataFrame, p: str, y: str, keys: list[str], n: int = 5) -> Da
     edges = F.array_sort(F.array_distinct(F.array(*[F.col(f"_q{i}") for i in range(1, n)])))
     d = d.join(q.select(*keys, edges.alias("_e"), F.col("_q0"), F.col(f"_q{n}")), keys)
     d = d.withColumn("bucket", F.size(F.filter("_e", lambda e: (F.col(p) > e) & (e > F.col("_q0")))) + 1)
-    return d.groupBy(*keys, "bucket").agg(N.alias("calls"), F.avg(p).alias("mean_score"), F.avg(y).alias("observed"))
+    return d.groupBy(*keys, "bucket").agg(_rows().alias("calls"), F.avg(p).alias("mean_score"), F.avg(y).alias("observed"))
 
 
 def slices(calls: DataFrame, cols: list[str]) -> DataFrame:
     """The summary metrics once per value of each slicing column (grouping sets)."""
     c = with_correct(calls).where("correct is not null")
     sets = [[F.col(x)] for x in cols]
-    g = c.groupingSets(sets, *[F.col(x) for x in cols]).agg(N.alias("calls"), F.avg("correct").alias("accuracy"),
+    g = c.groupingSets(sets, *[F.col(x) for x in cols]).agg(_rows().alias("calls"), F.avg("correct").alias("accuracy"),
                                                             *[F.grouping(x).alias(f"_g_{x}") for x in cols])
     name = F.coalesce(*[F.when(F.col(f"_g_{x}") == 0, F.concat(F.lit(f"{x}:"), F.coalesce(F.col(x).cast("string"), F.lit("null")))) for x in cols])
     return g.select(name.alias("slice"), "calls", "accuracy")
@@ -180,7 +183,7 @@ def coverage_curve(df: DataFrame, p: str, y: str, keys: list[str], thresholds=(0
         exprs += [F.sum(keep.cast("int")).alias(f"_n{i}"), F.avg(F.when(keep, F.col(y))).alias(f"_a{i}")]
         items.append(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_n{i}").cast("bigint").alias("calls"),
                               (F.col(f"_n{i}") / F.col("_all")).alias("coverage"), F.col(f"_a{i}").alias("accuracy")))
-    return d.groupBy(*keys).agg(N.alias("_all"), *exprs).select(*keys, F.explode(F.array(*items)).alias("x")).select(*keys, "x.*")
+    return d.groupBy(*keys).agg(_rows().alias("_all"), *exprs).select(*keys, F.explode(F.array(*items)).alias("x")).select(*keys, "x.*")
 
 
 def diversity(df: DataFrame, a: str, b: str, y: str, keys: list[str]) -> DataFrame:
@@ -189,7 +192,7 @@ def diversity(df: DataFrame, a: str, b: str, y: str, keys: list[str]) -> DataFra
     dis = (F.col(a) >= 0.5) != (F.col(b) >= 0.5)
     one = lambda c: F.sum(c.cast("int"))
     m = d.groupBy(*keys).agg(
-        N.alias("n"), F.corr(a, b).alias("pearson"), one(dis).alias("disagreements"), F.avg(F.when(dis, ca.cast("double"))).alias("a_accuracy_on_disagreements"),
+        _rows().alias("n"), F.corr(a, b).alias("pearson"), one(dis).alias("disagreements"), F.avg(F.when(dis, ca.cast("double"))).alias("a_accuracy_on_disagreements"),
         F.avg(F.when(dis, cb.cast("double"))).alias("b_accuracy_on_disagreements"), one(~cb & ca).alias("b_wrong_a_right"), one(~ca & ~cb).alias("double_faults"))
     return m.join(spearman(d, a, b, keys), keys, "left")
 
@@ -204,12 +207,12 @@ def top_n(scores: DataFrame, score: str, y: str, ns: list[int], keys: list[str],
 def rank_bands(calls: DataFrame, bands: dict[str, tuple[int, int]], keys: list[str]) -> DataFrame:
     c = with_correct(calls).where("correct is not null")
     hits = F.array_compact(F.array(*[F.when(F.col("rank").between(lo, hi), F.lit(n)) for n, (lo, hi) in bands.items()]))
-    return c.withColumn("band", F.explode(hits)).groupBy(*keys, "band").agg(N.alias("calls"), F.sum("correct").cast("bigint").alias("hits"), F.avg("correct").alias("accuracy"))
+    return c.withColumn("band", F.explode(hits)).groupBy(*keys, "band").agg(_rows().alias("calls"), F.sum("correct").cast("bigint").alias("hits"), F.avg("correct").alias("accuracy"))
 
 
 def drift(calls: DataFrame, *, k: int = 12, m: int = 6, by=BY) -> DataFrame:
     c = with_correct(calls).where("correct is not null")
-    g = c.groupBy(*by, "position").agg(N.alias("calls"), F.avg("correct").alias("accuracy"), F.avg("y_true").alias("prevalence"))
+    g = c.groupBy(*by, "position").agg(_rows().alias("calls"), F.avg("correct").alias("accuracy"), F.avg("y_true").alias("prevalence"))
     return g.withColumn("rolling_accuracy", roll(F.avg, "accuracy", k, m, market_window, by))
 
 
@@ -229,10 +232,10 @@ def overlap(a: DataFrame, b: DataFrame, by=BY) -> DataFrame:
 
 def per_series(scores: DataFrame, selections: dict[str, DataFrame], probabilities: dict[str, str]) -> DataFrame:
     d = scores.where("y_true is not null")
-    t = d.groupBy("series_id").agg(N.alias("rows"), F.avg("y_true").alias("up_rate"), *[
+    t = d.groupBy("series_id").agg(_rows().alias("rows"), F.avg("y_true").alias("up_rate"), *[
         F.avg(flag((F.col(c) >= 0.5) == (F.col("y_true") == 1))).alias(f"raw_accuracy_{n}") for n, c in probabilities.items()])
     for n, c in selections.items():
-        s = with_correct(c).where("correct is not null").groupBy("series_id").agg(N.alias(f"selected_{n}"), F.avg("correct").alias(f"selected_accuracy_{n}"))
+        s = with_correct(c).where("correct is not null").groupBy("series_id").agg(_rows().alias(f"selected_{n}"), F.avg("correct").alias(f"selected_accuracy_{n}"))
         t = t.join(s, "series_id", "left")
     return t
 
@@ -262,7 +265,7 @@ def scenarios(scores: DataFrame, calls: DataFrame, outcomes: DataFrame, keys: li
 def policy_delta(calls: DataFrame, keys: list[str], a: str = "direction", b: str = "policy_direction") -> DataFrame:
     down = F.col(b) == "Down"
     g = calls.where("y_true is not null").groupBy(*keys).agg(
-        F.count_distinct("position").alias("months"), N.alias("calls"), F.sum(correct(a)).cast("bigint").alias("hits_baseline"),
+        F.count_distinct("position").alias("months"), _rows().alias("calls"), F.sum(correct(a)).cast("bigint").alias("hits_baseline"),
         F.sum(correct(b)).cast("bigint").alias("hits_policy"), F.sum(down.cast("int")).alias("down_calls"),
         F.sum((down & (F.col("y_true") == 0)).cast("int")).alias("down_hits"))
     return g.withColumns({"delta_hits": F.col("hits_policy") - F.col("hits_baseline"),
@@ -275,7 +278,7 @@ def replacement(calls: DataFrame, keys: list[str]) -> DataFrame:
     ev = F.col("victim_correct").isNotNull()
     src = lambda s: F.sum(((F.col("direction") == "Down") & (F.col("source") == s)).cast("int"))
     return calls.groupBy(*keys).agg(
-        N.alias("calls"), F.sum("call_correct").cast("bigint").alias("hits"), F.sum((F.col("direction") == "Down").cast("int")).alias("final_down_calls"),
+        _rows().alias("calls"), F.sum("call_correct").cast("bigint").alias("hits"), F.sum((F.col("direction") == "Down").cast("int")).alias("final_down_calls"),
         src("external_insert").alias("external_inserts"), src("overlay_flip").alias("overlay_flips"), src("up").alias("retained_downs"),
         F.coalesce(F.sum(F.when(ev, F.col("call_correct") - F.col("victim_correct"))), F.lit(0.0)).cast("bigint").alias("replacement_delta"))
 
@@ -283,16 +286,16 @@ def replacement(calls: DataFrame, keys: list[str]) -> DataFrame:
 def down_distribution(calls: DataFrame, keys: list[str], by=BY) -> DataFrame:
     """Map from the number of Down calls of a period to how many periods had it."""
     m = calls.groupBy(*by, *keys, "position").agg(F.sum((F.col("direction") == "Down").cast("int")).alias("_d"))
-    h = m.groupBy(*keys, "_d").agg(N.alias("_n"))
+    h = m.groupBy(*keys, "_d").agg(_rows().alias("_n"))
     return h.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_d", "_n")))).alias("down_distribution"))
 
 
 def cap_distribution(calls: DataFrame, by=BY) -> DataFrame:
-    m = calls.groupBy(*by, "position").agg(N.alias("cap"))
-    return m.groupBy("cap").agg(N.alias("months"))
+    m = calls.groupBy(*by, "position").agg(_rows().alias("cap"))
+    return m.groupBy("cap").agg(_rows().alias("months"))
 
 
 def expansion_only(calls: DataFrame, base: int, keys: list[str]) -> DataFrame:
     """Hits of the ranks beyond the base that were not inserted as replacements."""
     c = with_correct(calls).where((F.col("rank") > base) & ~F.col("replacement") & F.col("correct").isNotNull())
-    return c.groupBy(*keys).agg(N.alias("calls"), F.sum("correct").cast("bigint").alias("hits"))
+    return c.groupBy(*keys).agg(_rows().alias("calls"), F.sum("correct").cast("bigint").alias("hits"))
