@@ -55,6 +55,28 @@ def test_license_scan(spark):
     assert licenses.scan(docs(spark)).count() == len(rows())
 
 
+def _found(text, coverage=0.8, templates=None):
+    return licenses.scan_text(text, licenses.prepare(templates or licenses.public_templates(), coverage), coverage)
+
+
+@pytest.mark.parametrize("text, name", [
+    ("Released under the BSD License.", "bsd-notice"), ("Licensed under CC BY 4.0", "cc-by-4.0-notice"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0-notice"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0-notice"), ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0-notice"),
+    ("licensed under the GNU Lesser General Public License, version 2.1", "lgpl-2.1-notice"), ("Released under the MIT License.", "mit-notice"),
+    ("Licensed under the Quux License.", None), ("Licensed under the Apache License, Version 7.3.", None)])
+def test_short_notices_name_their_license(text, name):
+    r = random.Random(1)
+    assert [h[0] for h in _found(f"{prose(r, 30)} {text} {prose(r, 30)}")] == [name] * (name is not None)
+
+
+def test_public_license_texts():
+    r = random.Random(2)
+    for name in licenses.public_templates():
+        text = licenses.public_templates()[name]
+        assert [(h[0], h[1]) for h in _found(f"{prose(r, 40)}\n{text}\n{prose(r, 40)}")] == [(name.split("#")[0], 1.0)], name
+    assert {"agpl-3.0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "gpl-3.0", "lgpl-2.1", "unlicense"} <= licenses.public_templates().keys()
+
+
 def test_bpe_round_trip(spark):
     import tiktoken
 
