@@ -77,6 +77,21 @@ def test_public_license_texts():
     assert {"agpl-3.0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "gpl-3.0", "lgpl-2.1", "unlicense"} <= licenses.public_templates().keys()
 
 
+def test_repeated_and_interrupted_notices_at_every_offset():
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    inside = "Licensed under the Apache p q r s License, Version 2.0."
+    for before in range(40):
+        lead = "k " * before
+        for n in (1, 2, 3, 4, 7):
+            assert [h[0] for h in _found(lead + " ".join([mit] * n))] == ["mit-notice"] * n
+        assert [h[0] for h in _found(lead + "x x x " + apache * 3 + " and " + mit * 3)] == ["apache-2.0-notice"] * 3 + ["mit-notice"] * 3
+        assert [(h[0], h[4]) for h in _found(lead + inside + " z")] == [("apache-2.0-notice", 8)]
+        assert [h[4] for h in _found(lead + "Released or under the MIT License. " + mit)] == [5, 5]
+    x = licenses.TEMPLATES["mit"]
+    assert [h[0] for h in _found("a b " + f"{x}\n" * 5)] == ["mit"] * 5
+    assert sorted(h[0] for h in _found(x.replace("THE SOFTWARE IS PROVIDED", f"{apache} THE SOFTWARE IS PROVIDED"))) == ["apache-2.0-notice", "mit"]
+
+
 def test_bpe_round_trip(spark):
     import tiktoken
 
