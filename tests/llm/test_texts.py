@@ -92,6 +92,13 @@ def test_repeated_and_interrupted_notices_at_every_offset():
     assert sorted(h[0] for h in _found(x.replace("THE SOFTWARE IS PROVIDED", f"{apache} THE SOFTWARE IS PROVIDED"))) == ["apache-2.0-notice", "mit"]
 
 
+def test_license_places_beside_letters_that_change_length():
+    for odd in ("İ", "İ" * 9 + " ", "Kİ ſ"):
+        text = f"{odd} İstanbul Released under the MIT License. {odd}"
+        (hit,) = _found(text)
+        assert text[hit[2]:hit[3]] == "Released under the MIT License"
+
+
 def test_bpe_round_trip(spark):
     import tiktoken
 

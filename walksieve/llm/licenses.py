@@ -141,7 +141,7 @@ def public_templates() -> dict[str, str]:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def increasing(values: list[int]) -> list[int]:
