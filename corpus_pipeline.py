@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words are alone. A row without an id cannot stand for a group: it stays if its group has no id at all.
     """
     marked, mark = _marked(docs)
-    joined = jaccard_join.join(marked, k=3, percent=90, keep=(mark,))
+    joined = jaccard_join.join(marked, k=5, percent=80, keep=(mark,))
     named = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min(mark).alias(mark))
     unnamed = joined.where("component_id is null").select("doc_id", mark).distinct()
     return _only(marked, named.unionByName(unnamed), mark).dropDuplicates(["doc_id", mark]).drop(mark)

@@ -290,3 +290,15 @@ def test_pipeline_stages(spark):
         assert 0 < docs_.count() <= before.count() and docs_.join(before, docs_.columns, "left_anti").count() == 0
     tokens = corpus_pipeline.run(spark, d).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {x.doc_id for x in tokens} == {x.doc_id for x in docs_.select("doc_id").collect()} and all(x.n == x.m for x in tokens)
+
+
+def test_pipeline_near_copies_between_the_bounds(spark):
+    r = random.Random(21)
+    base = prose(r, 400, 100_000).split(" ")
+    longer, shorter, changed = base + prose(r, 70, 100_000).split(" "), base[:340], list(base)
+    for i in range(8):
+        changed[25 + 50 * i] = f"other{i}"
+    other = prose(r, 400, 100_000)
+    data = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate([base, longer, shorter, changed])] + [(9, other, "en", "s", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, data, extra=False), "").collect()
+    assert sorted(x.doc_id for x in kept) == [0, 9]
