@@ -47,13 +47,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of the n-gram Jaccard join connect, the document with the smallest id (of equal ids, one).
 
-    Texts without words are alone. A row without an id cannot stand for a group: it stays if its group has no id at all.
+    Texts without words are alone. A row without an id stands for a group only if the group has no id at all. Groups are
+    told apart by their texts, so an id that stands on several texts may stand for several groups.
     """
     marked, mark = _marked(docs)
-    joined = jaccard_join.join(marked, k=5, percent=80, keep=(mark,))
-    named = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min(mark).alias(mark))
-    unnamed = joined.where("component_id is null").select("doc_id", mark).distinct()
-    return _only(marked, named.unionByName(unnamed), mark).dropDuplicates(["doc_id", mark]).drop(mark)
+    group = mark + "_group"
+    joined = jaccard_join.join(marked, k=5, percent=80, keep=(mark,), component=group)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark)
+    grouped = joined.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(first).alias("first")).select("first.doc_id", f"first.{mark}")
+    alone = joined.where(F.col(group).isNull()).select("doc_id", mark).distinct()
+    return _only(marked, grouped.unionByName(alone), mark).dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

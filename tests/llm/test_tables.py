@@ -302,3 +302,12 @@ def test_pipeline_near_copies_between_the_bounds(spark):
     data = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate([base, longer, shorter, changed])] + [(9, other, "en", "s", 0)]
     kept = corpus_pipeline.near_duplicates(spark, docs(spark, data, extra=False), "").collect()
     assert sorted(x.doc_id for x in kept) == [0, 9]
+
+
+def test_pipeline_ids_on_several_texts(spark):
+    r = random.Random(22)
+    a, b = prose(r, 200, 100_000), prose(r, 200, 100_000)
+    for one, two in ((a, b), (b, a)):  # whichever has the smaller mark
+        data = [(5, one, "en", "s", 0), (9, one + " tail", "en", "s", 0), (5, two, "en", "s", 0)]
+        kept = corpus_pipeline.near_duplicates(spark, docs(spark, data, extra=False), "").collect()
+        assert Counter((x.doc_id, x.text) for x in kept) == Counter([(5, one), (5, two)])

@@ -162,8 +162,9 @@ def links(profiles: DataFrame, *, percent: int, tile_sets: int = 256, tile_items
     return stars.unionByName(tiled.applyInArrow(product, "a string, b string"))
 
 
-def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, keep=()) -> DataFrame:
-    """One row per row of `df`: key, the `keep` columns, n_shingles, component_id, set_id (digest of the shingle set).
+def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, keep=(), component: str | None = None) -> DataFrame:
+    """One row per row of `df`: key, the `keep` columns, n_shingles, component_id, set_id (digest of the shingle set), and under
+    the name `component`, if given, the smallest set_id that links reach (null for empty sets).
 
     Rows link when 100 * overlap >= percent * union of their sets of k-word shingles; component_id is the smallest key
     that links reach. Null and empty texts have an empty set and stand alone, with their own key. Equal sets always
@@ -179,7 +180,8 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3,
     classes = staged(classes.join(whole.withColumnRenamed("node", "sig"), "sig", "left").where("m > 1 or component is not null")
                      .select("sig", "low", F.coalesce("component", "sig").alias("component")), "classes")
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "component").select("sig", "component_id")
+    named = classes.join(lows, "component").select("sig", "component_id", "component")
     out = narrow.withColumn("sig_key", F.when(F.col("n") > 0, F.col("sig")))
-    out = out.join(named.withColumnRenamed("sig", "sig_key"), "sig_key", "left")
-    return out.select(*carried, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), F.col("sig").alias("set_id"))
+    out = out.join(named.select(F.col("sig").alias("sig_key"), "component_id", F.col("component").alias("_component")), "sig_key", "left")
+    return out.select(*carried, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), F.col("sig").alias("set_id"),
+                      *([F.coalesce("_component", "sig_key").alias(component)] if component else []))
