@@ -257,6 +257,19 @@ def test_outliers(spark):
     assert not any(got[900 + i].kept for i in range(4)) and sum(x.kept for x in got.values()) >= 215
 
 
+def test_outliers_by_repetition_alone(spark):
+    r = random.Random(31)
+    data = [(i, prose(r, 100 + i % 100, 100_000), "en", "src0", 0) for i in range(220)]
+    line = prose(r, 10, 100_000)
+    for i in range(4):  # 40 % of the words in a passage that stands twice; 40 % in one line that stands again and again
+        half = prose(r, 40, 100_000)
+        data.append((900 + i, " ".join([half, prose(r, 120, 100_000), half]), "en", "src0", 0))
+        data.append((950 + i, prose(r, 120, 100_000) + f"\n{line}" * 8, "en", "src0", 0))
+    made = outliers.judge(docs(spark, data), min_rows=100, starts=1, steps=3).collect()
+    assert not any(x.base_failed for x in made)
+    assert {x.doc_id for x in made if not x.kept} == {x[0] for x in data if x[0] >= 900}
+
+
 def test_outliers_edges(spark):
     made = outliers.judge(docs(spark)).collect()
     assert len(made) == len(rows()) and all(x.kept != x.base_failed for x in made)
