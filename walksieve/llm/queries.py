@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licenses, lm, outliers, packing, pivot_search, rule_ensemble, urlfilter, warc
+from . import bpe, decontaminate, jaccard_join, licenses, lm, outliers, packing, pivot_search, repair, rule_ensemble, urlfilter, warc, whitening
 from .common import fold, new_path, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -70,6 +70,20 @@ def op10_robust_outliers(spark: SparkSession, d: str) -> DataFrame:
     return outliers.judge(table(spark, d, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    conversations = table(spark, d, "conversations")
+    rows = repair.damaged(conversations)
+    return repair.digest(rows, repair.edits(rows), conversations)
+
+
+def op12_spectrum_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"), components=8)
+
+
+def op13_aho_corasick(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"), size=10))
+
+
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 SQL: dict[str, str] = {
     "op2_warc": """
@@ -87,6 +101,21 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v::double[]
       from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as "rank" from s)
 select query_id, "rank", vec_id, score from r where "rank" <= 20""",
+    "op13_aho_corasick": r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as part
+        from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from b where len(w) > 0)),
+pos as (select rid, n, i, array_to_string(w[i:i + n - 1], ' ') as part
+        from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d join (select distinct n from win) on len(w) >= n)),
+hit as (select rid, item_id, i, pos.n from pos join win on win.n = pos.n and win.part = pos.part),
+h as (select rid, count(distinct place) as n_hit from (select rid, unnest(range(i, i + n)) as place from hit) group by 1),
+m as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct rid, cast(item_id as varchar) as item from hit) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       n_hit is not null as contaminated
+from d left join h using (rid) left join m using (rid)""",
     "op6_url_cascade": f"""
 with u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 b as (select page_id, regexp_extract(coalesce(rest, ''), '^([^?#]*)', 1) as bare from u),
