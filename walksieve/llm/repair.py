@@ -328,14 +328,16 @@ def _walked(head, run):
     return [(seq, *e) for (seq, _, _), e in zip(run, edits_between([r[1:] for r in run], *head))]
 
 
-def _met(rows: DataFrame, made: DataFrame, by: list[str]) -> DataFrame:
-    """Edits and texts side by side: in order, an edit (kind 1) before the texts (kind 2) that are its row's; for `made` rows that are
-    deleted no text comes. Texts move once, by `by`."""
+def _met(rows: DataFrame, made: DataFrame, by: list[str], every: DataFrame | None = None) -> DataFrame:
+    """Edits and texts side by side: in order, an edit (kind 1) before the texts (kind 2) that are its row's, and before all of a
+    conversation its row of `every` (kind 0). Texts move once, by `by`."""
     none = lambda t: F.lit(None).cast(t)
-    left = made.select(*_ORDER, F.lit(1).alias("kind"), "seq", "fault", "edit", "state", none("string").alias("text"))
-    right = _placed(rows).select(*_ORDER, F.lit(2).alias("kind"), none("long").alias("seq"), none("int").alias("fault"), none("string").alias("edit"),
-                                 none("int").alias("state"), "text")
-    both = left.unionByName(right)
+    empty = [none(t).alias(c) for c, t in (("seq", "long"), ("fault", "int"), ("edit", "string"), ("state", "int"))]
+    both = made.select(*_ORDER, F.lit(1).alias("kind"), "seq", "fault", "edit", "state", none("string").alias("text")).unionByName(
+        _placed(rows).select(*_ORDER, F.lit(2).alias("kind"), *empty, "text"))
+    if every is not None:
+        key = {"conv_id": F.col("conv_id"), "dated": F.lit(-1)}
+        both = both.unionByName(every.select(*[key.get(c, none(both.schema[c].dataType)).alias(c) for c in _ORDER], F.lit(0).alias("kind"), *empty, none("string").alias("text")))
     return both.repartition(*by).sortWithinPartitions(*by, *[c for c in _ORDER if c not in by], "kind", "seq")
 
 
@@ -405,12 +407,7 @@ def digest(rows: DataFrame, made: DataFrame, conversations: DataFrame) -> DataFr
 
     One task reads a conversation in order, as its hash demands, and holds of it no more than a batch and its audit.
     """
-    met = _met(rows, made, ["conv_id"])
-    every = conversations.select("conv_id").distinct()
-    blanks = {f.name: F.lit(None).cast(f.dataType) for f in met.schema if f.name not in ("conv_id", "kind", "dated")}
-    every = every.select("conv_id", F.lit(-1).alias("dated"), F.lit(0).alias("kind"), *[v.alias(k) for k, v in blanks.items()])
-    order = ["conv_id", *_ORDER[1:], "kind", "seq"]
-    both = met.unionByName(every).select(*order, "fault", "edit", "state", "text").repartition("conv_id").sortWithinPartitions(*order)
+    both = _met(rows, made, ["conv_id"], conversations.select("conv_id").distinct())
     schema = pa.schema([("conv_id", _arrow(rows, "conv_id")), *[(c, pa.int64()) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
                         ("audit", pa.string()), ("repaired_sha256", pa.string())])
 
