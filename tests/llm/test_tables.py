@@ -270,6 +270,46 @@ def test_outliers_by_repetition_alone(spark):
     assert {x.doc_id for x in made if not x.kept} == {x[0] for x in data if x[0] >= 900}
 
 
+@pytest.mark.parametrize("share,distances", [(0.10, (6, 10)), (0.20, (6, 10)), (0.24, (10, 14))])
+def test_outliers_in_a_cluster(spark, share, distances):
+    """A cluster of near texts up to what alpha allows goes whole; clean texts stay. Rows are vectors here, in fixed point.
+    At the very limit and near by, a cluster that is tighter than the clean rows has the smaller determinant: there only far ones."""
+    r = np.random.default_rng(int(share * 100))
+    for far in distances:
+        n = 1000
+        bad = int(n * share)
+        x = r.normal(size=(n, 4)) * 0.2 + [1.5, 0.6, 0.6, 0.6]
+        x[:bad] = np.array([1.5, 0.6, 0.6, 0.6]) + 0.2 * far * np.array([0.5, 0.5, -0.5, 0.5]) + r.normal(size=(bad, 4)) * 0.04
+        fixed = np.round(x * outliers.UNIT).astype(int)
+        df = spark.createDataFrame([("en", "s", *map(int, v), int(i < bad)) for i, v in enumerate(fixed)], "lang string, source string, x1 long, x2 long, x3 long, x4 long, bad int")
+        found = outliers.estimates(df, alpha=0.75, min_rows=200, starts=48, steps=5, broadcast_rows=10_000).where("key like '1/%'").collect()
+        assert len(found) == 1
+        judged = outliers._with_distance(df.crossJoin(spark.createDataFrame(found))).withColumn("kept", F.col("distance") / F.col("scale") <= outliers.CHI2_CUT)
+        got = {(b, k): c for b, k, c in judged.groupBy("bad", "kept").count().collect()}
+        assert got.get((1, True), 0) == 0, (share, far, got)
+        assert got.get((0, False), 0) <= 0.01 * n, (share, far, got)
+
+
+def test_outliers_fall_back(spark):
+    """A small source takes its language's estimate, a small language that of all rows, each as a plain version has it."""
+    r = random.Random(41)
+    sizes = {("en", "big"): 240, ("en", "small"): 30, ("de", "s"): 40}
+    data, n = [], 0
+    for (lang, source), many in sizes.items():
+        for _ in range(many):
+            n += 1
+            data.append((n, prose(r, 60 + n % 90) + ("" if n % 9 else "\nsame line here and there\n" * 2), lang, source, 0))
+    got = {x.doc_id: x for x in outliers.judge(docs(spark, data), min_rows=200, starts=1, steps=3).collect()}
+    base = outliers.statistics(docs(spark, data)).select("doc_id", "lang", "source", "base_failed", "x1", "x2", "x3", "x4").toPandas()
+    base = base[~base.base_failed].set_index("doc_id")
+    x = lambda t: t[["x1", "x2", "x3", "x4"]].to_numpy(float)
+    levels = {("en", "big"): base[(base.lang == "en") & (base.source == "big")], ("en", "small"): base[base.lang == "en"], ("de", "s"): base}
+    for key, rows_ in levels.items():
+        want = dict(zip(rows_.index, _plain_mcd(x(rows_), 0.75, 3)))
+        for i in base.index[(base.lang == key[0]) & (base.source == key[1])]:
+            assert got[i].distance == pytest.approx(want[i], rel=1e-4, abs=1e-4), key
+
+
 def test_outliers_edges(spark):
     made = outliers.judge(docs(spark)).collect()
     assert len(made) == len(rows()) and all(x.kept != x.base_failed for x in made)

@@ -2,10 +2,13 @@
 
 Every text gives a vector of transformed statistics in fixed point, so sums are exact and alike
 whatever the order of rows. Each group (language and source) gets the mean and covariance of the
-share `alpha` of its rows whose covariance determinant is least: several starts take concentration
-steps (distances from the current estimate, then the nearest rows anew), and the start that ends
-with the least determinant wins. Rows beyond a cut-off of the squared Mahalanobis distance are
-outliers. Groups too small for an estimate use their language's, or else that of all rows.
+share `alpha` of its rows whose covariance determinant is least. Many elemental starts, of six vectors each, take
+two concentration steps (distances from the current estimate, then the nearest rows anew) on a pool of about
+`pool` rows per group; those with the least determinants go on with all rows, and the one that ends with the least
+wins. So one clean start among many is enough, however the rest is mixed, up to the share 1 - alpha of outliers.
+The pool only judges starts: a vector that w of n rows have enters it floor(w pool / n + u) times, u from its hash.
+Rows beyond a cut-off of the squared Mahalanobis distance are outliers. Groups too small for an estimate use their
+language's, or else that of all rows.
 
 A step is one aggregation of rows per group, start and distance step (1/32 octave): sums up to
 the step that holds the share are the next estimate. Groups are added up map-side first, so a
@@ -50,8 +53,10 @@ def _wide(c: Column) -> Column:
 
 
 def _sums() -> list[Column]:
-    return ([F.count(F.lit(1)).alias("n")] + [F.sum(_wide(F.col(a))).alias(f"s_{a}") for a in _X]
-            + [F.sum(_wide(F.col(a) * F.col(b))).alias(f"s_{a}{b}") for a, b in _PAIRS])
+    """Sums over vectors that stand for w rows each."""
+    w = F.col("w")
+    return ([F.sum("w").alias("n")] + [F.sum(_wide(w * F.col(a))).alias(f"s_{a}") for a in _X]
+            + [F.sum(_wide(w * F.col(a) * F.col(b))).alias(f"s_{a}{b}") for a, b in _PAIRS])
 
 
 _NAMES = ["n", *(f"s_{a}" for a in _X), *(f"s_{a}{b}" for a, b in _PAIRS)]
@@ -106,25 +111,52 @@ def _beside(rows: DataFrame, small: DataFrame, keys: list[str], broadcast_rows:
     return rows.join(F.broadcast(small) if small.count() <= broadcast_rows else small, keys, how)
 
 
-def estimates(rows: DataFrame, *, alpha: float, min_rows: int, starts: int, steps: int, broadcast_rows: int) -> DataFrame:
-    """key and parameters of each group with at least min_rows rows; `scale` lifts distances' median to what chi-square has."""
-    keyed = rows.select(F.explode(F.array(_key(1), _key(2), _key(3))).alias("key"), *_X)
-    sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_rows), "groups")
-    keyed = _beside(keyed, sizes, ["key"], broadcast_rows).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-    # start 0 has all rows, others a hashed eighth each
-    chosen = (F.col("start") == 0) | (F.pmod(F.xxhash64(*_X, F.col("start")), F.lit(8)) == 0)
-    state = staged(_factored(keyed.where(chosen).groupBy("key", "start").agg(*_sums())).select("key", "start", *_PARAMETERS, "log_det"), "state")
+def _concentrated(vectors: DataFrame, state: DataFrame, alpha: float, broadcast_rows: int) -> DataFrame:
+    """One step: the estimates from the nearest share alpha of each group's rows, by the estimates in `state`."""
     by = W.partitionBy("key", "start").orderBy("step")
+    near = _with_distance(_beside(vectors, state.drop("log_det"), ["key"], broadcast_rows))
+    binned = near.withColumn("step", _step(F.col("distance"))).groupBy("key", "start", "size", "step").agg(*_sums())
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = binned.withColumn("before", before).where(F.col("before") < F.ceil(F.col("size") * alpha))
+    added = inside.groupBy("key", "start").agg(*[F.sum(c).cast("long" if c == "n" else "decimal(38,0)").alias(c) for c in _NAMES])
+    return staged(_factored(added).select("key", "start", *_PARAMETERS, "log_det"), "state")
+
+
+def elemental_starts(vectors: DataFrame, *, alpha: float, pool: int, starts: int, steps: int, few: int, size: int = 6, broadcast_rows: int = 10_000) -> DataFrame:
+    """The `few` best of many elemental starts of each group, after `steps` steps on its pool."""
+    uniform = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    share = F.least(F.lit(1.0), pool / F.col("size"))
+    times = F.floor(F.col("w") * share + F.when(share < 1, uniform("key", *_X)).otherwise(0.0)).cast("long")
+    drawn = vectors.withColumn("w", times).where("w > 0")
+    drawn = drawn.join(drawn.groupBy("key").agg(F.sum("w").alias("pooled")), "key").withColumn("size", F.col("pooled")).drop("pooled")
+    drawn = staged(drawn, "pool")
+    # a race that vectors win in proportion to their rows; a group's pool is bounded
+    raced = drawn.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts)))).withColumn("race", -F.log(uniform(*_X, "start")) / F.col("w"))
+    first = raced.withColumn("place", F.row_number().over(W.partitionBy("key", "start").orderBy("race", *_X))).where(F.col("place") <= size)
+    state = staged(_factored(first.withColumn("w", F.lit(1)).groupBy("key", "start").agg(*_sums())).select("key", "start", *_PARAMETERS, "log_det"), "state")
+    for _ in range(steps):
+        state = _concentrated(drawn, state, alpha, broadcast_rows)
+    best = state.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("log_det", "start"))).where(F.col("place") <= few)
+    return staged(best.drop("place"), "starts")
+
+
+def estimates(rows: DataFrame, *, alpha: float, min_rows: int, starts: int, steps: int, broadcast_rows: int, pool: int = 1000, few: int = 4) -> DataFrame:
+    """key and parameters of each group with at least min_rows rows; `scale` lifts distances' median to what chi-square has."""
+    alike = rows.groupBy("lang", "source", *_X).agg(F.count(F.lit(1)).alias("w"))
+    keyed = alike.select(F.explode(F.array(_key(1), _key(2), _key(3))).alias("key"), *_X, "w").groupBy("key", *_X).agg(F.sum("w").alias("w"))
+    keyed = staged(keyed, "vectors")
+    sizes = staged(keyed.groupBy("key").agg(F.sum("w").alias("size")).where(F.col("size") >= min_rows), "groups")
+    keyed = _beside(keyed, sizes, ["key"], broadcast_rows)
+    # start 0 has all rows
+    state = _factored(keyed.withColumn("start", F.lit(0)).groupBy("key", "start").agg(*_sums())).select("key", "start", *_PARAMETERS, "log_det")
+    if starts > 1:
+        state = state.unionByName(elemental_starts(keyed, alpha=alpha, pool=pool, starts=starts - 1, steps=2, few=few, broadcast_rows=broadcast_rows))
+    state = staged(state, "state")
     for _ in range(steps):
-        near = _with_distance(_beside(keyed, state, ["key", "start"], broadcast_rows))
-        binned = near.withColumn("step", _step(F.col("distance"))).groupBy("key", "start", "size", "step").agg(*_sums())
-        before = F.coalesce(F.sum("n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        inside = binned.withColumn("before", before).where(F.col("before") < F.ceil(F.col("size") * alpha))
-        added = inside.groupBy("key", "start").agg(*[F.sum(c).cast("long" if c == "n" else "decimal(38,0)").alias(c) for c in _NAMES])
-        state = staged(_factored(added).select("key", "start", *_PARAMETERS, "log_det"), "state")
+        state = _concentrated(keyed, state, alpha, broadcast_rows)
     best = state.groupBy("key").agg(F.min_by(F.struct("start", *_PARAMETERS), F.struct("log_det", "start")).alias("b")).select("key", "b.*")
     best = staged(best, "best")
-    final = _with_distance(_beside(keyed, best, ["key", "start"], broadcast_rows)).groupBy("key", "size", _step(F.col("distance")).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    final = _with_distance(_beside(keyed, best, ["key"], broadcast_rows)).groupBy("key", "size", _step(F.col("distance")).alias("step")).agg(F.sum("w").alias("n"))
     upto = F.sum("n").over(W.partitionBy("key").orderBy("step"))
     median = final.withColumn("upto", upto).where(F.col("upto") * 2 >= F.col("size")).groupBy("key").agg(F.min("step").alias("step"))
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("step") + 1) / 32) / CHI2_MEDIAN)
@@ -139,14 +171,15 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({k: F.when(F.col("n_words") > 0, F.round(f() * UNIT).cast("long")) for k, (f, _) in STATISTICS.items()})
 
 
-def judge(df: DataFrame, *, text: str = "text", keep=("doc_id",), alpha: float = 0.75, min_rows: int = 200, starts: int = 4, steps: int = 6,
+def judge(df: DataFrame, *, text: str = "text", keep=("doc_id",), alpha: float = 0.75, min_rows: int = 200, starts: int = 48, steps: int = 5,
           cut: float = CHI2_CUT, broadcast_rows: int = 10_000) -> DataFrame:
     """One row per row of `df`: the `keep` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     distance (squared, scaled; null without an estimate) and kept.
 
     Rows that fail the base rules are not kept and take no part in the estimates. Null and empty texts fail. Null
     languages and sources are groups of their own. With fewer than min_rows rows in all there is no estimate, and
-    rows that pass the base rules are kept. Ties and repeated rows count each time.
+    rows that pass the base rules are kept. Ties and repeated rows count each time. A step takes rows by distance steps of
+    1/32 octave and takes the last one whole, so rows that tie at the edge may lift a subset above its share.
     """
     rows = df.select(*keep, F.col("lang"), F.col("source"), F.col(text).alias("_text"))
     made = statistics(rows, "_text")
