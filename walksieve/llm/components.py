@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _compressed(hooks: DataFrame) -> DataFrame:
-    """x -> y turned into x -> root: follow pointers, doubling the distance each round, until none moves."""
+    """x -> y turned into x -> root (staged): follow pointers, doubling the distance each round, until none moves."""
+    before = None
     while True:
         t = hooks.select(F.col("x").alias("y"), F.col("y").alias("z"))
         step = staged(hooks.join(t, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")), "hooks")
-        hooks = step.select("x", "y")
+        if before is not None:
+            discard(before)
         if step.where("moved").isEmpty():
-            return hooks
+            return step
+        before, hooks = step, step.select("x", "y")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,7 +31,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
                   .where(F.col("lo") != F.col("hi")).distinct(), "edges")
     labels = None
     while not left.isEmpty():
-        hooks = _compressed(left.groupBy(F.col("hi").alias("x")).agg(F.min("lo").alias("y")))
+        done = _compressed(left.groupBy(F.col("hi").alias("x")).agg(F.min("lo").alias("y")))
+        hooks, edges, named = done.select("x", "y"), left, labels
         if labels is None:
             roots = left.select(F.col("lo").alias("x")).distinct().join(hooks, "x", "left_anti").select("x", F.col("x").alias("y"))
             labels = staged(hooks.unionByName(roots), "labels")
@@ -39,6 +43,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         hi = hooks.select(F.col("x").alias("hi"), F.col("y").alias("hi2"))
         moved = left.join(lo, "lo", "left").join(hi, "hi", "left").select(F.coalesce("lo2", "lo").alias("p"), F.coalesce("hi2", "hi").alias("q"))
         left = staged(moved.where("p != q").select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).distinct(), "edges")
+        discard(done, edges, *([] if named is None else [named]))
     if labels is None:
         return left.select(F.col("lo").alias("node"), F.col("hi").alias("component"))
     return labels.select(F.col("x").alias("node"), F.col("y").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import blockcounts as B
 from . import wordhash as H
-from .common import staged
+from .common import discard, staged
 from .components import components
 
 
@@ -80,7 +80,9 @@ def profile(df: DataFrame, *, key: str, text: str, k: int, percent: int, keep=()
     answers = B.totals(blocks, extract, bits, (4,), name="shingles")
     kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carried)
     schema = f"{kept}n long, sig string, rare long, items array<bigint>, prefix array<bigint>"
-    return staged(B.with_totals(blocks, answers, make, schema), "profiles")
+    made = staged(B.with_totals(blocks, answers, make, schema), "profiles")
+    discard(blocks, answers)
+    return made
 
 
 def tile_links(items: list[np.ndarray], percent: int, columns: int = 4096) -> list[tuple[int, int]]:
@@ -159,7 +161,9 @@ def links(profiles: DataFrame, *, percent: int, tile_sets: int = 256, tile_items
 
     # dealt by the whole key: the join's partitioning by component alone would keep a large group's tiles together
     tiled = pairs.repartition("component", "p", "q").groupBy("component", "p", "q")
-    return stars.unionByName(tiled.applyInArrow(product, "a string, b string"))
+    made = staged(stars.unionByName(tiled.applyInArrow(product, "a string, b string")), "links")
+    discard(nodes, met, open_)
+    return made
 
 
 def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, keep=(), component: str | None = None) -> DataFrame:
@@ -175,7 +179,9 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 3,
     carried = list(dict.fromkeys([key, *keep]))
     rows = profile(df.select(*dict.fromkeys([*carried, text])), key=key, text=text, k=k, percent=percent, keep=keep)
     narrow = rows.select(*carried, "n", "sig")
-    whole = components(links(rows, percent=percent), "a", "b")
+    found = links(rows, percent=percent)
+    whole = components(found, "a", "b")
+    discard(found)
     classes = narrow.where("n > 0").groupBy("sig").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("m"))
     classes = staged(classes.join(whole.withColumnRenamed("node", "sig"), "sig", "left").where("m > 1 or component is not null")
                      .select("sig", "low", F.coalesce("component", "sig").alias("component")), "classes")
