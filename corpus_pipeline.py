@@ -51,12 +51,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     told apart by their texts, so an id that stands on several texts may stand for several groups.
     """
     marked, mark = _marked(docs)
-    group = mark + "_group"
-    joined = jaccard_join.join(marked, k=5, percent=80, keep=(mark,), component=group)
+    key, group = mark + "_key", mark + "_group"
+    # one name without nulls for a row's id and text serves to drop repeated rows and to choose: the texts move once
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col(mark).cast("string"))
+    joined = staged(jaccard_join.join(marked, k=5, percent=80, keep=(mark,), component=group).select("doc_id", mark, group), "groups")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark)
     grouped = joined.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(first).alias("first")).select("first.doc_id", f"first.{mark}")
     alone = joined.where(F.col(group).isNull()).select("doc_id", mark).distinct()
-    return _only(marked, grouped.unionByName(alone), mark).dropDuplicates(["doc_id", mark]).drop(mark)
+    chosen = grouped.unionByName(alone).select(name.alias(key))
+    return marked.withColumn(key, name).dropDuplicates([key]).join(chosen, key, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
