@@ -10,7 +10,7 @@ from typing import Callable
 _QUERIES: dict[str, "Query"] = {}
 _CTES: dict[str, str] = {}
 _MODULES = ["base", "panels", "targets", "features", "market", "graphs", "fixtures",
-            "selectors", "metrics", "resampling", "search", "models", "audits", "blends"]
+            "selectors", "metrics", "resampling", "search", "models", "audits", "blends", "research"]
 
 
 @dataclass
