@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from walksieve.functions.columns import rnd
 from walksieve.operators import features as X
+from walksieve.operators import forecasting
 from walksieve.operators import graph as E
 from walksieve.operators import metrics as I
+from walksieve.operators import models as Z
 from walksieve.operators import priors as G
 from walksieve.operators import resample as J
 from walksieve.operators import search as K
@@ -15,12 +17,14 @@ from walksieve.operators import select as H
 from walksieve.operators import targets as T
 from walksieve.operators import varying as V
 from walksieve.operators.boosting import boosted_forecast
-from walksieve.plans import ablation, adaptive, uptrend
+from walksieve.operators.seasonal import existence_tests
+from walksieve.plans import ablation, adaptive, correctness, external, robustness, seasonality, uptrend
 
 from .base import WINDOWS, out
 from .fixtures import BYK, brand_table, group_table, memo, scores, target_table
 from .registry import query
 from .selectors import ADAPT, HI, LO
+from .targets import SHOCK
 
 KEYS = [*BYK, "series_id"]
 #: First origin with both labels known to the last one with features; the same for every model here.
@@ -141,3 +145,80 @@ def n01(s, d):
 
 
 query("n01_full_uptrend")(lambda s, d: out(n01(s, d), ["p_up", "p_raw"], 5).select("series_id", "position", "rank", "p_up", "p_raw", "y_true", "fit_through"))
+
+
+# ---- audits and studies on the adaptive selection -----------------------------------
+
+
+def judged(s, d):
+    """Calls of the adaptive selection and of the base selection with every method's probability of being right."""
+    def build():
+        from .metrics import calls
+
+        live = calls(s, d).select(*KEYS, "y_true", "direction", "rank", "confidence", "regime_label").withColumn("model", F.lit("adaptive"))
+        base = H.top_k(scores(s, d), "p_up", LO).select(*KEYS, "y_true", "direction", "rank", F.col("p_up").alias("confidence"), "regime_label").withColumn("model", F.lit("base"))
+        both = live.unionByName(base)
+        return correctness.candidates(both, lo=14, hi=82, by=("panel_id", "model"))
+    return memo("judged", s, d, build)
+
+
+def audited(s, d, name):
+    t = correctness.audit(judged(s, d), WINDOWS, models=["model"], reps=200)[name]
+    return out(t, [c for c, k in t.dtypes if k == "double"], 5)
+
+
+query("l11_methods")(lambda s, d: out(judged(s, d), ["score", "score_in_window", "global_cohort", "rank_cohort", "regime_cohort", "rank_regime_cohort", "platt_score_rank", "isotonic_score"], 5).drop("panel_id", "confidence"))
+for _t in ("comparison", "reliability", "slices", "coverage", "bootstrap", "decision"):
+    query(f"l11_{_t}")(lambda s, d, t=_t: audited(s, d, t))
+
+POLICIES = {"current": (0.52, 0.01), "strict": (0.55, 0.05), "loose": (0.50, 0.0)}
+
+
+def robust(s, d):
+    fixed = {k: v for k, v in ADAPT.items() if k not in ("hi", "down_threshold", "down_margin", "max_replacements")}
+    return robustness.study(adapted(s, d), T.sudden_drops(target_table(s, d), **SHOCK), POLICIES, WINDOWS, max_budget=3, cap=cap(), hi=HI, **fixed)
+
+
+query("k10_robustness")(lambda s, d: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"]).drop("panel_id"))(robust(s, d)))
+
+query("j10_existence_tests")(lambda s, d: out(existence_tests(target_table(s, d), reps=200, min_labels=24), ["observed", "null_median", "null_p95", "p_value"], 4).drop("panel_id"))
+
+
+def seasonal(s, d):
+    from .metrics import calls
+
+    return seasonality.study(scores(s, d), calls(s, d), target_table(s, d), WINDOWS, hi=HI + 2, reps=200, n=36, ensemble=(12, 24, 36), min_labels=12)
+
+
+query("n18_seasonal_summary")(lambda s, d: out(seasonal(s, d)[0], ["accuracy", "delta", "p10", "p50", "p90"]).drop("panel_id"))
+query("n18_seasonal_gate")(lambda s, d: seasonal(s, d)[1].drop("panel_id"))
+
+LEVELS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+def contexts(s, d):
+    """The changes each series shows at an origin, one row per series and origin."""
+    p = X.diff_context(brand_table(s, d))
+    return p.where("size(context) >= 2").select("panel_id", "series_id", "position", "context")
+
+
+def external_rows(s, d):
+    def build():
+        f = forecasting.forecast_rows(contexts(s, d), forecasting.drift(LEVELS), min_context=6)
+        e = Z.quantiles_to_p(f, LEVELS)
+        a = scores(s, d).where("ready").select(*KEYS, F.col("p_up").alias("p_active"), "y_true")
+        return external.calibrated(e, a, lo=16, hi=82, frozen_after=50, tuning=WINDOWS["tuning"])
+    return memo("external", s, d, build)
+
+
+def external_tables(s, d, name):
+    from .metrics import calls
+
+    t = external.evaluate(external_rows(s, d), calls(s, d), WINDOWS, hi=HI + 2, reps=200)[name]
+    return out(t, [c for c, k in t.dtypes if k == "double"], 5).drop("panel_id")
+
+
+query("f23_batched_forecasts")(lambda s, d: forecasting.errors_by_origin(forecasting.forecast_rows(contexts(s, d), forecasting.drift(LEVELS), min_context=6)).select("position", "rows", "failures"))
+query("n08_external_scores")(lambda s, d: out(external_rows(s, d), ["p_external", "p_calibrated", "p_active", "p_blend"], 5).select("series_id", "position", "p_external", "p_calibrated", "p_active", "p_blend", "status", "active_weight"))
+for _t in ("metrics", "diversity", "matched", "gate"):
+    query(f"n08_external_{_t}")(lambda s, d, t=_t: external_tables(s, d, t))

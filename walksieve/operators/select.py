@@ -87,6 +87,26 @@ def fixed_coverage(scores: DataFrame, k: int, w, *, p: str = "p_graph", signal:
 # ---- two-directional policies ----------------------------------------------
 
 
+def down_candidates(scores: DataFrame, *, down_threshold=0.55, down_margin=0.0, stress_trigger=0.5, regime_bonus=0.0, shock_bonus=0.0, hard_threshold=0.8) -> DataFrame:
+    """Ready rows with what the regime-adaptive policy weighs: p_up_base, p_down_adj, risk_adjusted_score, confidence, and the flags
+    `_cand` (may be called Down) and `_hard` (is, whatever the margin). Numbers may be columns."""
+    c = F.col
+    num = lambda x: x if not isinstance(x, (int, float)) else F.lit(float(x))
+    trigger = num(stress_trigger)
+    excess = F.coalesce(clip((c("regime_stress") - trigger) / F.greatest(F.lit(1e-6), 1.0 - trigger), 0.0, 1.0), F.lit(0.0))
+    up = clip(F.coalesce(c("p_graph"), c("p_up")), 1e-6, 1 - 1e-6)
+    s = scores.withColumns({"_excess": excess, "p_up_base": up, "_sel": clip(F.coalesce(c("p_select"), up), 1e-6, 1 - 1e-6)})
+    shock = 0.75 * F.coalesce(c("previous_shock"), F.lit(0.0)) + 0.25 * F.coalesce(c("previous_shock_share"), F.lit(0.0))
+    s = s.withColumn("p_down_adj", clip(F.coalesce(c("p_down"), F.lit(0.5)) + num(regime_bonus) * c("_excess") + num(shock_bonus) * shock, 1e-6, 1 - 1e-6))
+    hard = c("p_down_adj") >= num(hard_threshold)
+    cand = (c("p_down_adj") >= num(down_threshold)) & (c("p_down_adj") >= c("p_up_base") + num(down_margin) - 0.05 * c("_excess"))
+    return s.withColumns({
+        "_hard": truth(hard), "_cand": truth(cand | hard),
+        "risk_adjusted_score": clip(c("_sel") * (1.0 - 0.25 * c("_excess")) - 0.15 * c("p_down_adj"), 1e-6, 1.0),
+        "confidence": F.greatest("p_down_adj", "p_up_base"),
+    }).where(truth(c("ready")) & c("_sel").isNotNull())
+
+
 def regime_adaptive(scores: DataFrame, *, cap, hi: int, min_cap: int | None = None, down_threshold=0.55, down_margin=0.0,
                     stress_trigger=0.5, max_down_share=0.3, regime_bonus=0.0, shock_bonus=0.0, hard_threshold=0.8,
                     replacement_margin=0.0, max_replacements=0, replacement_hi: int | None = None, allow_down: bool = True, by=BY) -> DataFrame:
@@ -104,19 +124,8 @@ def regime_adaptive(scores: DataFrame, *, cap, hi: int, min_cap: int | None = No
         replacement_hi = max_replacements
     num = lambda x: x if not isinstance(x, (int, float)) else F.lit(float(x))
     trigger = num(stress_trigger)
-    excess = F.coalesce(clip((c("regime_stress") - trigger) / F.greatest(F.lit(1e-6), 1.0 - trigger), 0.0, 1.0), F.lit(0.0))
-    up = clip(F.coalesce(c("p_graph"), c("p_up")), 1e-6, 1 - 1e-6)
-    s = scores.withColumns({"cap": within(cap if not isinstance(cap, int) else F.lit(cap), hi, "cap"), "_excess": excess, "p_up_base": up,
-                            "_sel": clip(F.coalesce(c("p_select"), up), 1e-6, 1 - 1e-6)})
-    shock = 0.75 * F.coalesce(c("previous_shock"), F.lit(0.0)) + 0.25 * F.coalesce(c("previous_shock_share"), F.lit(0.0))
-    s = s.withColumn("p_down_adj", clip(F.coalesce(c("p_down"), F.lit(0.5)) + num(regime_bonus) * c("_excess") + num(shock_bonus) * shock, 1e-6, 1 - 1e-6))
-    hard = c("p_down_adj") >= num(hard_threshold)
-    cand = (c("p_down_adj") >= num(down_threshold)) & (c("p_down_adj") >= c("p_up_base") + num(down_margin) - 0.05 * c("_excess"))
-    s = s.withColumns({
-        "_hard": truth(hard), "_cand": truth(cand | hard),
-        "risk_adjusted_score": clip(c("_sel") * (1.0 - 0.25 * c("_excess")) - 0.15 * c("p_down_adj"), 1e-6, 1.0),
-        "confidence": F.greatest("p_down_adj", "p_up_base"), "_repl": within(num(max_replacements).cast("int"), replacement_hi, "max_replacements"),
-    }).where(truth(c("ready")) & c("_sel").isNotNull())
+    s = scores.withColumns({"cap": within(cap if not isinstance(cap, int) else F.lit(cap), hi, "cap"), "_repl": within(num(max_replacements).cast("int"), replacement_hi, "max_replacements")})
+    s = down_candidates(s, down_threshold=down_threshold, down_margin=down_margin, stress_trigger=stress_trigger, regime_bonus=regime_bonus, shock_bonus=shock_bonus, hard_threshold=hard_threshold)
     keys, sid = _keys(by), c("series_id").asc()
     pool = _top_k(s, keys, [c("_sel").desc(), sid], hi, "_pool").where(c("_pool") <= c("cap"))
     core = F.lit(True) if min_cap is None else ((c("cap") <= min_cap) | (c("_pool") <= min_cap))
