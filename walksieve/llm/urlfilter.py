@@ -134,11 +134,14 @@ def split_url(url) -> tuple:
     return host, F.regexp_extract(bare, r"(?s)^[^/]*(.*)$", 1)
 
 
-def url_keys(lengths):
-    """Keys of columns host and path, longest first: host suffixes at label boundaries x path prefixes of the rules' lengths."""
+def url_keys(lengths, labels_of):
+    """Keys of columns host and path, longest first: host suffixes of as many labels as rules have x path prefixes of the rules' lengths.
+
+    So a URL has as many keys as there are shapes of rules, however many labels its host has.
+    """
     labels = F.split("host", r"\.")
     count = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, count - i + 1), "."))
+    hosts = F.array_compact(F.array(*[F.when(count >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sorted(labels_of)]))
     paths = [F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths, reverse=True)]
     keys = F.flatten(F.transform(hosts, lambda h: F.array(*[F.concat(h, p) for p in paths])))
     keys = F.filter(keys, lambda k: k.isNotNull())
@@ -162,7 +165,8 @@ def filter_urls(pages: DataFrame, rules, *, url: str = "url", keep=("page_id",),
     host, path = split_url(F.col("url"))
     at = at.select(*keep, host.alias("host"), path.alias("path"))
     lengths = {len(p) for _, _, p in rules} or {0}
-    universe = at.select("host", "path").distinct().select(F.explode(url_keys(lengths)).alias("key")).distinct()
+    shapes = {h.count(".") + 1 for _, h, _ in rules} or {1}
+    universe = at.select("host", "path").distinct().select(F.explode(url_keys(lengths, shapes)).alias("key")).distinct()
     verdicts = {h + p: v for v, h, p in sorted(rules)}  # block comes after allow
     sides = {}
     for side in ("allow", "block"):
@@ -184,7 +188,7 @@ def filter_urls(pages: DataFrame, rules, *, url: str = "url", keep=("page_id",),
             at += n
         return pd.DataFrame({"rule": rule, "verdict": verdict})
 
-    keyed = at.withColumn("keys", url_keys(lengths))
+    keyed = at.withColumn("keys", url_keys(lengths, shapes))
     hashed = keyed.select(*keep, "host", "path", "keys",
                           F.transform("keys", lambda k: F.xxhash64(k, F.lit(0))).alias("h1"),
                           F.transform("keys", lambda k: F.xxhash64(k, F.lit(1))).alias("h2"))
