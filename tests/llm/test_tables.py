@@ -93,6 +93,25 @@ def test_url_filter(spark):
     assert urlfilter.filter_urls(data.limit(0), rules).count() == 0
 
 
+def test_hosts_of_many_labels(spark):
+    long = ".".join("abcdefghij"[i % 10] for i in range(5000))
+    urls = [f"http://{long}.Example.com/en/x", f"http://{long}.net/es/", f"http://{long}", "http://" + "a" * 100_000 + ".com/", "http://" + "." * 3000 + "com/"]
+    data = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("block", "net", "/es/")]
+    got = [(x.rule, x.verdict) for x in urlfilter.filter_urls(data, rules).orderBy("page_id").collect()]
+    assert got == [("example.com/en/", "block"), ("net/es/", "block"), (None, "allow"), ("com/", "allow"), ("com/", "allow")]
+    keys = data.select(urlfilter.split_url(F.col("url"))[0].alias("host"), F.lit("/en/x").alias("path")).select(F.size(urlfilter.url_keys({1, 4}, {1, 2})).alias("n")).collect()
+    assert max(x.n for x in keys) == 4
+
+
+def test_urls_come_back_as_written(spark):
+    urls = ["http://a/\u3000", "\u0085http://b/\u00a0", "http://c/\ufeff", "http://d/ü?q=1#x", "http://e/a%0A", "http://e/a\n", "\thttp://f ", "http://g\x7f", "http://h/\u2028"]
+    path = new_path(spark, "warc-urls")
+    warc.write(warc.revisits(spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")), path)
+    want = [*urls[:5], "http://e/a%0A", "%09http://f%20", "http://g%7F", urls[8]]
+    assert [x.url for x in warc.read(spark, path).orderBy("page_id").collect()] == want
+
+
 def test_cascade_is_exact(spark):
     listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 3)], "key string")
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))

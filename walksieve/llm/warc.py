@@ -84,7 +84,8 @@ def _option(options: dict, name: str, default):
 
 
 def record_bytes(row: dict, date: str) -> bytes:
-    """One uncompressed record. Control characters of a URL are percent-encoded; a null key or URL leaves its header out."""
+    """One uncompressed record. A null key or URL leaves its header out. ASCII control characters and outer spaces of a URL are
+    percent-encoded, so `a` and a line end come back as `a%0A`, like a URL that was written so; all else comes back as it was."""
     body = b"" if row["record_type"] == "revisit" else row["payload"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     digest = base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
@@ -288,7 +289,7 @@ class _Member:
 
 def _fields(head: bytes) -> dict:
     pairs = (line.split(":", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
-    return {k.strip().lower(): v.strip() for k, v in pairs}
+    return {k.strip(" \t").lower(): v.strip(" \t") for k, v in pairs}
 
 
 def _page(urn) -> int | None:
