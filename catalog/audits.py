@@ -50,7 +50,7 @@ query("l06_training_audit", f"""
 with k as (select p.s, p.pos, count(t.y) as n, coalesce(sum(t.y), 0) as u from t_brand_y p left join t_brand_y t on t.s = p.s and t.pos <= p.pos - 2 group by 1, 2)
 select pos as "position", sum(n)::bigint as "rows", {q6('sum(u) / nullif(sum(n), 0)')} as up_share, sum((n >= 36 and least(u, n - u) >= 8)::int) as series_ready from k group by 1""")(
     lambda s, d: out(A.training_audit(target_table(s, d), min_rows=36), ["up_share"]).drop("panel_id"))
-query("l07_coef_stability")(lambda s, d: out(A.coef_stability(Z.fit_pooled(frame(s, d), LEAN, lo=16, hi=82).coefficients(s)), ["mean", "std", "sign_agreement"], 5))
+query("l07_coef_stability")(lambda s, d: out(A.coef_stability(Z.fit_pooled(frame(s, d), LEAN, lo=3, hi=82).coefficients(s)), ["mean", "std", "sign_agreement"], 5))
 query("l08_reach", f"""
 select t.s as series_id, {q6('avg(((p_up >= 0.5) = (y = 1))::int) - avg(((prior >= 0.5) = (y = 1))::int)')} as gain, coalesce(max(c.n), 0) as calls from t_scores t left join (select s, count(*) as n from t_calls group by 1) c on c.s = t.s
 where y is not null and ready group by 1""")(lambda s, d: out(A.reach(scores(s, d).where("ready"), calls(s, d), "p_up", "prior"), ["gain"]))
@@ -75,4 +75,4 @@ query("n12_systemic_months", f"""select pos as "position", {q6('avg(shock::int)'
 query("n17_locked_evaluation")(lambda s, d: out(N.locked_evaluation({"adaptive": calls(s, d), "baseline": production(s, d)}, 65, 80, reps=200), ["observed", "p05", "p95"]).drop("panel_id"))
 query("n19_context_export")(lambda s, d: N.context_export(supplier(s, d)).drop("panel_id"))
 query("k11_signal_study")(lambda s, d: out(N.signal_study(months(s, d).join(timing(s, d), BYK), M.SIGNALS, WINDOWS), ["auc"]))
-query("k07_family_ablation")(lambda s, d: out(N.family_ablation(frame(s, d), K.family_configs({"momentum": ["momentum_3", "momentum_6"], "risk": ["return_volatility_12"]}, "only"), lo=16, hi=82), ["brier", "auc"], 4))
+query("k07_family_ablation")(lambda s, d: out(N.family_ablation(frame(s, d), K.family_configs({"momentum": ["momentum_3", "momentum_6"], "risk": ["return_volatility_12"]}, "only"), lo=3, hi=82), ["brier", "auc"], 4))

@@ -11,6 +11,7 @@ from walksieve.operators import market as M
 from walksieve.operators import models as Z
 from walksieve.operators import priors as G
 from walksieve.operators import targets as T
+from walksieve.operators.boosting import boosted_forecast
 
 from .base import out, pct_sql, q6
 from .fixtures import BYK, brand_table, market, memo, scores, target_table
@@ -51,11 +52,11 @@ select {KEY[7:]}, {q6('greatest(u, d)')} as unified_score, case when d > u then
 
 
 def local(s, d):
-    return memo("local", s, d, lambda: Z.fit_local(Z.walk_forward(frame(s, d), LEAN, lo=16, hi=82, out="p_global"), LEAN, lo=16, hi=82, min_rows=30, fallback="p_global"))
+    return memo("local", s, d, lambda: Z.fit_local(Z.walk_forward(frame(s, d), LEAN, lo=3, hi=82, out="p_global"), LEAN, lo=3, hi=82, min_rows=30, fallback="p_global"))
 
 
-query("f04_down_global_and_local")(lambda s, d: show(Z.fit_local(Z.walk_forward(frame(s, d).withColumn("down", 1 - F.col("y_true")), LEAN, y="down", lo=16, hi=82, balanced=True, out="p_down_global"),
-                                                         LEAN, y="down", lo=16, hi=82, min_rows=2, min_class=1, fallback="p_down_global"), "p_local", raw=["local_rows", "fallback_used"]))
+query("f04_down_global_and_local")(lambda s, d: show(Z.fit_local(Z.walk_forward(frame(s, d).withColumn("down", 1 - F.col("y_true")), LEAN, y="down", lo=3, hi=82, balanced=True, out="p_down_global"),
+                                                         LEAN, y="down", lo=3, hi=82, min_rows=2, min_class=1, fallback="p_down_global"), "p_local", raw=["local_rows", "fallback_used"]))
 query("f06_effective_local")(lambda s, d: show(Z.effective_local(local(s, d).withColumn("p_global", F.lit(0.5)), 60, "p_global"), "p_local", raw=["fallback_used"]))
 
 
@@ -67,9 +68,9 @@ def extreme(s, d):
     return f.drop("month", "value").join(y, keys)
 
 
-query("f11_extreme_down")(lambda s, d: show(Z.walk_forward(extreme(s, d).where("ret1_z is not null"), ["ret1_z", "mom3_z", "consec_down", "prev_shock"], lo=16, hi=82, c=0.3, balanced=True), "p", raw=["fit_through"]))
-query("f13_lean_down")(lambda s, d: show(Z.walk_forward(frame(s, d).withColumn("y_true", 1 - F.col("y_true")), LEAN, lo=16, hi=82, missing_flags=False), "p", raw=["fit_through"]))
+query("f11_extreme_down")(lambda s, d: show(Z.walk_forward(extreme(s, d).where("ret1_z is not null"), ["ret1_z", "mom3_z", "consec_down", "prev_shock"], lo=3, hi=82, c=0.3, balanced=True), "p", raw=["fit_through"]))
+query("f13_lean_down")(lambda s, d: show(Z.walk_forward(frame(s, d).withColumn("y_true", 1 - F.col("y_true")), LEAN, lo=3, hi=82, missing_flags=False), "p", raw=["fit_through"]))
 query("f14_model_zoo")(lambda s, d: out(Z.fit_zoo(frame(s, d), LEAN, y="y_true", through=70), ["p_logistic", "p_boosted"], 5).drop("panel_id"))
-query("f15_correctness_ranker")(lambda s, d: show(Z.walk_forward(scores(s, d).where("ready"), ["p_up", "p_down", "prior", "group_relative_logit", "regime_stress"], lo=16, hi=82, c=0.1, missing_flags=False), "p", raw=["fit_through"]))
-query("f16_directional_ranker")(lambda s, d: show(Z.walk_forward(scores(s, d).where("ready"), ["p_up", "p_down", "prior", "return_1", "momentum_3", "forecast_breadth"], lo=16, hi=82, c=0.03, effect="group_id"), "p", raw=["fit_through"]))
-query("f09_boosted_breadth")(lambda s, d: out(Z.fit_breadth(market(s, d).join(T.broad_down(target_table(s, d)).select(*BYK, "breadth"), BYK), ["market_breadth", "market_dispersion", "regime_stress"], "breadth", [79, 80], trees=10), ["forecast_breadth"], 5).drop("panel_id"))
+query("f15_correctness_ranker")(lambda s, d: show(Z.walk_forward(scores(s, d).where("ready"), ["p_up", "p_down", "prior", "group_relative_logit", "regime_stress"], lo=3, hi=82, c=0.1, missing_flags=False), "p", raw=["fit_through"]))
+query("f16_directional_ranker")(lambda s, d: show(Z.walk_forward(scores(s, d).where("ready"), ["p_up", "p_down", "prior", "return_1", "momentum_3", "forecast_breadth"], lo=3, hi=82, c=0.03, effect="group_id"), "p", raw=["fit_through"]))
+query("f09_boosted_breadth")(lambda s, d: out(boosted_forecast(market(s, d).join(T.broad_down(target_table(s, d)).select(*BYK, "breadth"), BYK), ["market_breadth", "market_dispersion", "regime_stress"], "breadth", lo=3, hi=82), ["forecast_breadth"], 5).drop("panel_id"))

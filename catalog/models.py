@@ -26,24 +26,24 @@ def frame(s, d):
     """Feature panel with labels: the training table of all models."""
     keys = [*BYK, "series_id"]
     return memo("frame", s, d, lambda: X.feature_panel(brand_table(s, d)).drop("month", "value").join(
-        target_table(s, d).select(*keys, "y_true"), keys).where("position > 14"))
+        target_table(s, d).select(*keys, "y_true"), keys))
 
 
 def p6(df, c="p"):
     return df.select("series_id", "position", rnd(c, 5).alias(c), "fit_through")
 
 
-query("f01_walk_forward")(lambda s, d: p6(Z.walk_forward(frame(s, d), LEAN, lo=16, hi=82)))
-query("f02_pooled_with_effects")(lambda s, d: p6(Z.walk_forward(frame(s, d), LEAN, lo=16, hi=82, effect="series_id")))
-query("f03_balanced_drop_model")(lambda s, d: p6(Z.walk_forward(_drops(s, d), LEAN, y="drop", lo=16, hi=82, balanced=True)))
-query("f05_local_models")(lambda s, d: Z.fit_local(frame(s, d), LEAN, lo=16, hi=82, min_rows=36).select("series_id", "position", rnd("p_local", 5).alias("p_local"), "local_rows", "fallback_used"))
-query("f08_coefficients")(lambda s, d: out(Z.fit_pooled(frame(s, d), LEAN, lo=16, hi=82).coefficients(s), ["coefficient"], 5))
+query("f01_walk_forward")(lambda s, d: p6(Z.walk_forward(frame(s, d), LEAN, lo=3, hi=82)))
+query("f02_pooled_with_effects")(lambda s, d: p6(Z.walk_forward(frame(s, d), LEAN, lo=3, hi=82, effect="series_id")))
+query("f03_balanced_drop_model")(lambda s, d: p6(Z.walk_forward(_drops(s, d), LEAN, y="drop", lo=3, hi=82, balanced=True)))
+query("f05_local_models")(lambda s, d: Z.fit_local(frame(s, d), LEAN, lo=3, hi=82, min_rows=36).select("series_id", "position", rnd("p_local", 5).alias("p_local"), "local_rows", "fallback_used"))
+query("f08_coefficients")(lambda s, d: out(Z.fit_pooled(frame(s, d), LEAN, lo=3, hi=82).coefficients(s), ["coefficient"], 5))
 query("f10_ridge_quality")(lambda s, d: out(Z.fit_ridge(market(s, d).join(T.broad_down(target_table(s, d)).select(*BYK, "breadth"), BYK), ["forecast_breadth", "regime_stress", "market_dispersion"], "breadth", fallback="forecast_breadth"), ["forecast"], 5).drop("panel_id"))
 query("f12_market_logit")(lambda s, d: out(Z.market_logit(timing(s, d).join(T.broad_down(target_table(s, d)).select(*BYK, "broad_down"), BYK), M.SIGNALS, "broad_down", min_n=24), ["p_market"], 5).drop("panel_id"))
 query("f17_joint_correctness")(lambda s, d: out(Z.fit_correctness(scores(s, d).where("ready"), through=60), ["up_cal", "down_cal"], 5).drop("panel_id"))
 query("f18_platt")(lambda s, d: Z.platt(scores(s, d).where("ready"), "p_up", "y_true", through=60).select("series_id", "position", rnd("calibrated", 5).alias("calibrated")))
 query("f19_isotonic")(lambda s, d: Z.isotonic(scores(s, d).where("ready"), "p_up", "y_true", through=60).select("series_id", "position", rnd("calibrated", 5).alias("calibrated")))
-query("f20_prequential")(lambda s, d: Z.prequential(scores(s, d).where("ready"), "p_up", "y_true", lo=16, hi=82, frozen_after=64).select("series_id", "position", rnd("calibrated", 5).alias("calibrated"), "status", "fit_through"))
+query("f20_prequential")(lambda s, d: Z.prequential(scores(s, d).where("ready"), "p_up", "y_true", lo=3, hi=82, frozen_after=64).select("series_id", "position", rnd("calibrated", 5).alias("calibrated"), "status", "fit_through"))
 
 
 def _drops(s, d):

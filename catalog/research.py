@@ -8,6 +8,7 @@ from walksieve.functions.columns import rnd
 from walksieve.operators import features as X
 from walksieve.operators import forecasting
 from walksieve.operators import graph as E
+from walksieve.operators import localpath
 from walksieve.operators import metrics as I
 from walksieve.operators import models as Z
 from walksieve.operators import priors as G
@@ -18,7 +19,7 @@ from walksieve.operators import targets as T
 from walksieve.operators import varying as V
 from walksieve.operators.boosting import boosted_forecast
 from walksieve.operators.seasonal import existence_tests
-from walksieve.plans import ablation, adaptive, correctness, external, robustness, seasonality, uptrend
+from walksieve.plans import ablation, adaptive, answers, correctness, external, local_study, robustness, seasonality, uptrend
 
 from .base import WINDOWS, out
 from .fixtures import BYK, brand_table, group_table, memo, scores, target_table
@@ -29,6 +30,8 @@ from .targets import SHOCK
 KEYS = [*BYK, "series_id"]
 #: First origin with both labels known to the last one with features; the same for every model here.
 SPAN = dict(lo=3, hi=82)
+#: The frozen graph of the studies knows changes up to here; studies start after it.
+GRAPH = 35
 INTERNAL = {"early_tuning": (36, 43), "late_tuning": (44, 50)}
 
 
@@ -97,7 +100,7 @@ def cap():
 def ledger(s, d):
     def build():
         names = [c.name for c in ablation.family_models(uptrend.UPTREND, X.FAMILIES)]
-        scored = ablation.rescored(adapted(s, d), ablated(s, d), E.frozen_graph(brand_table(s, d), upto=48), names)
+        scored = ablation.rescored(adapted(s, d).where(F.col("position") > GRAPH), ablated(s, d), E.frozen_graph(brand_table(s, d), upto=GRAPH), names)
         return ablation.study(scored, {**WINDOWS, **INTERNAL}, ["early_tuning", "late_tuning", "validation"], k=LO, cap=cap(), adapt=ADAPT,
                               bands={"core": (1, 5), "middle": (6, 6), "tail": (7, 8)})
     return memo("ablation_ledger", s, d, build)
@@ -222,3 +225,82 @@ query("f23_batched_forecasts")(lambda s, d: forecasting.errors_by_origin(forecas
 query("n08_external_scores")(lambda s, d: out(external_rows(s, d), ["p_external", "p_calibrated", "p_active", "p_blend"], 5).select("series_id", "position", "p_external", "p_calibrated", "p_active", "p_blend", "status", "active_weight"))
 for _t in ("metrics", "diversity", "matched", "gate"):
     query(f"n08_external_{_t}")(lambda s, d, t=_t: external_tables(s, d, t))
+
+
+# ---- local, shrunk and interaction models ---------------------------------------------
+
+PENALTIES = [0.1, 0.25, 1.0]
+
+
+def local_path(s, d):
+    return memo("local_path", s, d, lambda: localpath.fit_local_path(full(s, d), localpath.SETS, PENALTIES, min_rows=24, min_class=8, **SPAN))
+
+
+def interactions(s, d):
+    def build():
+        m = V.walk_forward_many(full(s, d), [V.Config(str(c), tuple(uptrend.UPTREND), tuple(uptrend.VARYING), True, c) for c in PENALTIES], **SPAN)
+        return m.withColumn("c", F.col("config").cast("double"))
+    return memo("interactions", s, d, build)
+
+
+def _local_inputs(s, d):
+    a = models(s, d).where(f"config = 'uptrend' and position > {GRAPH}").select(*KEYS, "y_true", F.col("p").alias("p_global"))
+    prior = G.available_rate(target_table(s, d), n=48, min_labels=24).select(*KEYS, "prior")
+    return a, local_path(s, d), interactions(s, d), E.frozen_graph(brand_table(s, d), upto=GRAPH), prior
+
+
+def tuned(s, d, which):
+    def build():
+        a, loc, inter, edges, prior = _local_inputs(s, d)
+        found = local_study.tune(a, loc, inter, edges, prior, window=WINDOWS["tuning"], min_rows=[24, 36], weights=[0.25, 0.5], references=[36, 60], k=LO)
+        return found[which]
+    return memo(f"local_tuned_{which}", s, d, build)
+
+
+def local_families(s, d):
+    def build():
+        a, loc, inter, *_ = _local_inputs(s, d)
+        return local_study.families(a, loc, inter, tuned(s, d, 1))
+    return memo("local_families", s, d, build)
+
+
+query("f05_local_path")(lambda s, d: out(local_path(s, d), ["p_local"], 5).drop("panel_id"))
+query("g16_families")(lambda s, d: out(local_families(s, d), ["p"], 5).drop("panel_id"))
+query("n07_local_search")(lambda s, d: out(tuned(s, d, 0), ["accuracy"]).drop("panel_id"))
+query("n07_local_frozen")(lambda s, d: out(tuned(s, d, 1), ["accuracy"]).drop("panel_id"))
+
+
+def _local_evaluation(s, d):
+    *_, edges, prior = _local_inputs(s, d)
+    t = local_study.evaluate(local_families(s, d), edges, prior, WINDOWS, k=LO, reps=200)
+    return out(t, [c for c, k in t.dtypes if k == "double"]).drop("panel_id")
+
+
+query("n07_local_evaluation")(_local_evaluation)
+
+# ---- evidence -----------------------------------------------------------------------
+
+
+def answered(s, d):
+    from .metrics import calls
+
+    rows = scores(s, d).where("ready")
+    market = breadth(s, d).select(*BYK, (1 - F.col("forecast_breadth")).alias("p_broad_down"))
+    return answers.score(rows, rows.select(*KEYS, F.col("p_up_raw").alias("p_up")), calls(s, d), market, hi=HI + 2, reps=200)
+
+
+query("l14_answer_uses")(lambda s, d: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"]).drop("panel_id"))(answered(s, d)))
+query("k12_interpretation")(lambda s, d: answers.interpret(answered(s, d)).drop("panel_id"))
+_DOWNS = ["p_down_global", "p_down_local", "p_down_pattern", "p_down_prior"]
+for _i, _n in enumerate(("summary", "reliability")):
+    query(f"l10_component_{_n}")(lambda s, d, i=_i: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"], 5).drop("panel_id"))(
+        answers.components(scores(s, d).where("ready").withColumn("down", 1 - F.col("y_true")), _DOWNS, "down")[i]))
+for _t in ("baselines", "ranks", "drift", "windows", "bootstrap", "summary", "missing"):
+    query(f"l12_ceiling_{_t}")(lambda s, d, t=_t: _ceiling(s, d, t))
+
+
+def _ceiling(s, d, name):
+    from .metrics import calls
+
+    t = answers.ceiling(calls(s, d), WINDOWS, {"core": (1, 5), "middle": (6, 6), "tail": (7, 8)}, reps=200)[name]
+    return out(t, [c for c, k in t.dtypes if k == "double"], 5).drop("panel_id")

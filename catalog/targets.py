@@ -54,10 +54,10 @@ def layout(spark, d):
 
 @query("b06_causal_train", """
 select o.o as origin, count(*) as "rows", cast(sum(y) as bigint) as ups, max(pos) as fit_through
-from (select unnest(range(36, 81)) as o) o join t_supplier_y t on t.pos <= o.o - 2 and y is not null group by 1""")
+from (select unnest(range(3, 83)) as o) o join t_supplier_y t on t.pos <= o.o - 2 and y is not null group by 1""")
 def causal_train(spark, d):
     t = T.direction_targets(supplier(spark, d)).where("y_true is not null")
-    tr = T.causal_train(t, T.origins_frame(spark, 36, 80))
+    tr = T.causal_train(t, T.origins_frame(spark, 3, 82))
     return tr.groupBy(F.col("origin").cast("bigint").alias("origin")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("y_true").cast("bigint").alias("ups"), F.max("position").alias("fit_through"))
 

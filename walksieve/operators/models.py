@@ -326,29 +326,33 @@ def effective_local(df: DataFrame, min_rows: int, fallback: str) -> DataFrame:
     return df.withColumns({"p_local": F.when(short, F.col(fallback)).otherwise(F.col("p_local")), "fallback_used": short})
 
 
-def _by_market(market: DataFrame, cols, target, fn, out_schema, by):
-    """Walk-forward on a one-row-per-period table: one small group per panel."""
+def _by_market(market: DataFrame, cols, target, fn, out_schema, by, block: int = 8):
+    """Walk-forward on a one-row-per-period table: one task per panel and block of origins, with the rows up to the block's end."""
     keys = [*by, "position"]
     d = market.select(*keys, F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols])
+    blocks = d.groupBy(*by, F.floor(F.col("position") / block).alias("_block")).agg(F.max("position").alias("_last"))
+    parts = d.join(blocks, list(by)).where(F.col("position") <= F.col("_last"))
     schema = ", ".join(f"{k} string" for k in by) + ", position int, " + out_schema
 
     def task(pdf):
         pdf = pdf.sort_values("position")
-        res = fn(pdf["position"].to_numpy(), pdf[cols].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float))
+        pos = pdf["position"].to_numpy()
+        res = fn(pos, pdf[cols].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float), np.flatnonzero(pos >= int(pdf["_block"].iloc[0]) * block).tolist())
         for k in by:
             res[k] = pdf[k].iloc[0]
         return res[[*keys, *[c.strip().split(" ")[0] for c in out_schema.split(",")]]]
 
-    return d.groupBy(*by).applyInPandas(task, schema)
+    return parts.groupBy(*by, "_block").applyInPandas(task, schema)
 
 
 def fit_ridge(market: DataFrame, cols, target: str, *, fallback: str, alpha: float = 10.0, min_n: int = 12, lag: int = 1, out="forecast", by=BY) -> DataFrame:
     """Ridge forecast of a monthly quantity; the fallback column until enough history exists."""
     fb = cols.index(fallback)
 
-    def fn(pos, x, y):
+    def fn(pos, x, y, now_at):
         rows = []
-        for i, t in enumerate(pos):
+        for i in now_at:
+            t = pos[i]
             tr = (pos <= t - lag - 1) & np.isfinite(y)
             if tr.sum() < min_n:
                 rows.append((int(t), float(np.clip(x[i, fb], 0, 1)) if np.isfinite(x[i, fb]) else None, None))
@@ -370,10 +374,11 @@ def fit_ridge(market: DataFrame, cols, target: str, *, fallback: str, alpha: flo
 
 def market_logit(market: DataFrame, cols, target: str, *, c: float = 0.1, min_n: int = 36, lag: int = 1, out="p_market", by=BY) -> DataFrame:
     """Walk-forward logistic on monthly signals, standardised on its own history."""
-    def fn(pos, x, y):
+    def fn(pos, x, y, now_at):
         rows = []
         ok = np.isfinite(x).all(axis=1)
-        for i, t in enumerate(pos):
+        for i in now_at:
+            t = pos[i]
             tr = (pos <= t - lag - 1) & np.isfinite(y) & ok
             if tr.sum() < min_n or not ok[i] or len(np.unique(y[tr])) < 2:
                 continue
@@ -386,25 +391,6 @@ def market_logit(market: DataFrame, cols, target: str, *, c: float = 0.1, min_n:
     return _by_market(market, cols, target, fn, f"{out} double", by)
 
 
-def fit_breadth(market: DataFrame, cols, target: str, origins, *, trees: int = 100, depth: int = 2, step: float = 0.04, lag: int = 1) -> DataFrame:
-    """Boosted-tree forecast of market breadth, one fit per requested origin."""
-    from functools import reduce
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    d = market.select("panel_id", "position", F.col(target).alias("label"), *[F.col(c).cast("double").alias(c) for c in cols])
-    parts = []
-    for o in origins:  # few by construction: one forecast per requested month
-        train = d.where((F.col("position") <= o - lag - 1) & F.col("label").isNotNull())
-        med = train.agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(c) for c in cols]).first().asDict()
-        filled = VectorAssembler(inputCols=cols, outputCol="features").transform(d.fillna(med))
-        gbt = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=12, seed=1)
-        m = gbt.fit(filled.where((F.col("position") <= o - lag - 1) & F.col("label").isNotNull()))
-        parts.append(m.transform(filled.where(F.col("position") == o)).select("panel_id", "position", clip("prediction", 0.02, 0.98).alias("forecast_breadth"), F.lit(o - lag - 1).alias("fit_through")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def fit_zoo(rows: DataFrame, cols: list[str], *, y: str, through: int, kinds=("logistic", "boosted")) -> DataFrame:
     """Several classifiers on one frozen window, each scoring all rows."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression

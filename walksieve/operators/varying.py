@@ -86,10 +86,10 @@ def _design(fits: _Fits, x: np.ndarray, gone: np.ndarray, at: list[int], flags:
     return np.concatenate([np.ones((k, n, 1)), z, m], axis=2)
 
 
-def _own(base, u, y, w, c, steps: int = 50):
+def _own(base, u, y, w, c, steps: int = 50, start=None):
     """Coefficients of one series for all origins: ridge-logistic on `u` with offset `base`, damped Newton, all origins together."""
     k, _, p = u.shape
-    own = np.zeros((k, p))
+    own = np.zeros((k, p)) if start is None else start.copy()
 
     def loss(g):
         e = base + np.einsum("onp,op->on", u, g)
