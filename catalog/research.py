@@ -46,16 +46,16 @@ def full(s, d):
 MODELS = [V.Config("uptrend", tuple(uptrend.UPTREND), effect=True), V.Config("interaction", tuple(uptrend.UPTREND), tuple(uptrend.VARYING), True)]
 
 
-def models(s, d):
-    return memo("full_models", s, d, lambda: V.walk_forward_many(full(s, d), MODELS, **SPAN))
+def models(s, d, name="uptrend"):
+    return memo(f"full_{name}", s, d, lambda: V.walk_forward_many(full(s, d), [c for c in MODELS if c.name == name], **SPAN))
 
 
 def p5(df, *more):
     return df.select("series_id", "position", *more, rnd("p", 5).alias("p"), "fit_through")
 
 
-query("f01_full_features")(lambda s, d: p5(models(s, d).where("config = 'uptrend'")))
-query("f07_varying_slopes")(lambda s, d: p5(models(s, d).where("config = 'interaction'")))
+query("f01_full_features")(lambda s, d: p5(models(s, d)))
+query("f07_varying_slopes")(lambda s, d: p5(models(s, d, "interaction")))
 query("f08_varying_coefficients")(lambda s, d: (lambda f: out(f.coefficients(full(s, d)), ["coefficient"], 5).select("origin", "series_id", "term", "coefficient"))(V.fit_many(full(s, d), MODELS[1:], **SPAN)))
 
 
@@ -140,7 +140,7 @@ def _summary(calls):
 
 def n01(s, d):
     """Model, graph, prior and top calls on all features: from the first origin at which the frozen graph (changes up to 48) is known."""
-    m = models(s, d).where("config = 'uptrend' and position >= 50").select(*KEYS, "y_true", F.col("p").alias("p_raw"), "fit_through")
+    m = models(s, d).where("position >= 50").select(*KEYS, "y_true", F.col("p").alias("p_raw"), "fit_through")
     g = E.propagate(m, E.frozen_graph(brand_table(s, d), upto=48), p="p_raw", out="p_up_raw")
     prior = G.available_rate(target_table(s, d), n=48, min_labels=24).select(*KEYS, "prior")
     b = G.prior_blend(g.join(prior, KEYS, "left")).where("prior is not null")
@@ -244,7 +244,7 @@ def interactions(s, d):
 
 
 def _local_inputs(s, d):
-    a = models(s, d).where(f"config = 'uptrend' and position > {GRAPH}").select(*KEYS, "y_true", F.col("p").alias("p_global"))
+    a = models(s, d).where(f"position > {GRAPH}").select(*KEYS, "y_true", F.col("p").alias("p_global"))
     prior = G.available_rate(target_table(s, d), n=48, min_labels=24).select(*KEYS, "prior")
     return a, local_path(s, d), interactions(s, d), E.frozen_graph(brand_table(s, d), upto=GRAPH), prior
 

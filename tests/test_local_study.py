@@ -73,6 +73,8 @@ def plain_hits(p, edges, k=3):
 def test_families(spark):
     a, loc, inter, edges, prior = frames(spark)
     search, frozen = local_study.tune(a, loc, inter, edges, prior, window=(10, 25), min_rows=[5, 15], weights=[0.3, 0.6], references=[10, 30], k=3)
+    held = lambda df: spark.createDataFrame(df.collect(), df.schema)  # plans start anew from here
+    search, frozen = held(search), held(frozen)
     A, L, N = a.toPandas(), loc.toPandas(), inter.toPandas()
     E_ = [(r.i, r.j, r.w) for r in edges.collect()]
     window = A[(A.position >= 10) & (A.position <= 25)]
@@ -98,7 +100,7 @@ def test_families(spark):
     assert (aware.feature_set, aware.c, aware.min_rows) == (fixed.feature_set, fixed.c, fixed.min_rows) and aware.reference > aware.min_rows
     ramp = lambda t: aware.weight * np.clip((t.local_rows - aware.min_rows) / (aware.reference - aware.min_rows), 0, 1)
     assert (aware.calls, aware.hits) == plain_hits(mixed(aware.feature_set, aware.c, aware.min_rows, ramp), E_)
-    f = local_study.families(a, loc, inter, frozen)
+    f = held(local_study.families(a, loc, inter, frozen))
     assert {x.candidate: x["count"] for x in f.groupBy("candidate").count().collect()} == dict.fromkeys("ABCDE", 320)
     e = {(x.candidate, x.window): x for x in local_study.evaluate(f, edges, prior, {"late": (26, 40)}, k=3, reps=50).collect()}
     P = f.toPandas()

@@ -67,15 +67,18 @@ def _summed(df: DataFrame, keys: list[str], width: int = _BLOCK) -> DataFrame:
 
 
 def _blocks(head: tuple, values: np.ndarray):
-    return [(*head, i, values[i:i + _BLOCK].tolist()) for i in range(0, len(values), _BLOCK)]
+    return [(*head, i, values[i:i + _BLOCK]) for i in range(0, len(values), _BLOCK)]
 
 
-def _whole(rows, keys: list[str]) -> dict[tuple, np.ndarray]:
-    """Arrays by key from collected blocks."""
-    out: dict[tuple, dict[int, list]] = {}
-    for r in rows:
-        out.setdefault(tuple(r[k] for k in keys), {})[r["at"]] = [r[f"v{i}"] for i in range(_BLOCK) if r[f"v{i}"] is not None]
-    return {k: np.concatenate([parts[i] for i in sorted(parts)]) for k, parts in out.items()}
+def _whole(blocks: DataFrame, keys: list[str]) -> dict[tuple, np.ndarray]:
+    """Arrays by key, from their blocks."""
+    t = blocks.toArrow()
+    values = np.column_stack([t[f"v{i}"].to_numpy() for i in range(_BLOCK)]) if t.num_rows else np.zeros((0, _BLOCK))
+    out: dict[tuple, list] = {}
+    for row, (*key, at) in enumerate(zip(*[t[c].to_pylist() for c in (*keys, "at")])):
+        out.setdefault(tuple(key), []).append((at, row))
+    # the last block of an array is shorter: nulls at its end
+    return {k: (lambda v: v[~np.isnan(v)])(np.concatenate([values[r] for _, r in sorted(at)])) for k, at in out.items()}
 
 
 def _design(fits: _Fits, x: np.ndarray, gone: np.ndarray, at: list[int], flags: list[int]) -> np.ndarray:
@@ -218,7 +221,9 @@ class _Model:
 def _prepared(rows: DataFrame, cols, y: str, by) -> DataFrame:
     """Rows with keys, label and features as doubles, each series together in one task and in order."""
     d = rows.select(*by, "series_id", "position", _panel(by).alias("_k"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols])
-    return d.repartition("_k", "series_id").sortWithinPartitions("_k", "series_id", "position")
+    # a stated number: adaptive execution would put few bytes into one task, but fits cost far more than their bytes
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, "_k", "series_id").sortWithinPartitions("_k", "series_id", "position")
 
 
 def _series(batches, least: int = 0):
@@ -302,7 +307,7 @@ def _cross_moments(data: DataFrame, cols, centres) -> dict:
 
     found = _summed(data.mapInPandas(task, "_k string, position int, label int, at int, v array<double>"), ["_k", "position", "label"])
     out: dict = {}
-    for (k, p, label), v in _whole(found.collect(), ["_k", "position", "label"]).items():  # periods x features squared
+    for (k, p, label), v in _whole(found, ["_k", "position", "label"]).items():  # periods x features squared
         m = np.zeros((width, width))
         m[upper] = v
         own = out.setdefault(k, {}).setdefault(p, [np.zeros((width, width)), np.zeros((width, width))])
@@ -396,7 +401,7 @@ def _iterate(spark, data, cols, flags, configs, centres, fits, lag, max_iter, to
                 yield pd.DataFrame(out, columns=["config", "_k", "origin", "at", "v"])
 
         got = _summed(data.mapInPandas(task, "config string, _k string, origin int, at int, v array<double>"), ["config", "_k", "origin"])
-        for (name, k, i), v in _whole(got.collect(), ["config", "_k", "origin"]).items():  # one set of sums per fit
+        for (name, k, i), v in _whole(got, ["config", "_k", "origin"]).items():  # one set of sums per fit
             f, key = fits[name, k], (name, k, i)
             d = f.beta.shape[1]
             pen = _penalty(configs[name], d)
