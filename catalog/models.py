@@ -96,7 +96,13 @@ select s as series_id, pos as "position", {_ge('avg(y) over k >= 0.5')} as major
  {_ge('src < mean')} as mean_reversion from a window k as (partition by s order by pos range between unbounded preceding and 2 preceding)""")(
     lambda s, d: Z.naive_direction(target_table(s, d)).select("series_id", "position", *[c for c in Z.NAIVE_RULES if c != "ar1"]))
 query("f26_vote")(lambda s, d: Z.vote(Z.naive_direction(target_table(s, d)), {"majority": 1.0, "momentum_12": 0.5, "mean_reversion": 0.5, "ar1": 0.5}).select("series_id", "position", rnd("p_vote").alias("p_vote")))
-query("g09_eb_rate")(lambda s, d: out(G.eb_rate(G.available_rate(T.direction_targets(part(s, d)), n=24, min_labels=6)), ["eb_prior"]).select("series_id", "position", "eb_prior"))
+query("g09_eb_rate", f"""
+with l as (select s, pos, y, row_number() over (partition by s order by pos) as c from t_part_y where y is not null),
+k as (select p.s, p.pos, max(l.c) as c from t_part_y p left join l on l.s = p.s and l.pos <= p.pos - 2 group by 1, 2),
+r as (select k.s, k.pos, case when count(l.y) >= 6 then avg(l.y) end as prior, count(l.y) as n from k left join l on l.s = k.s and l.c <= k.c and l.c > k.c - 24 group by 1, 2),
+m as (select pos, avg(prior) as m, var_samp(prior) as v, avg(1.0::double / n) as i from r where prior is not null group by 1),
+t as (select r.*, m.m, greatest(0.0::double, coalesce(m.v, 0) - m.m * (1 - m.m) * m.i) as tau2 from r left join m on m.pos = r.pos)
+select s as series_id, pos as "position", case when prior is not null then {q6('m + case when tau2 > 0 then tau2 / (tau2 + m * (1 - m) / n) else 0 end * (prior - m)')} end as eb_prior from t""")(lambda s, d: out(G.eb_rate(G.available_rate(T.direction_targets(part(s, d)), n=24, min_labels=6)), ["eb_prior"]).select("series_id", "position", "eb_prior"))
 query("g08_group_reliability", f"""
 with m as (select pos, avg(rel * (y - p_graph)) - avg(rel) * avg(y - p_graph) as a, avg(rel * rel) - avg(rel) * avg(rel) as b from t_scores
            where ready and p_graph is not null and rel is not null and y is not null group by 1),

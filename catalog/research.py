@@ -21,9 +21,10 @@ from walksieve.operators.boosting import boosted_forecast
 from walksieve.operators.seasonal import existence_tests
 from walksieve.plans import ablation, adaptive, answers, correctness, external, local_study, robustness, seasonality, uptrend
 
-from .base import WINDOWS, out
+from .base import WINDOWS, out, q6
 from .fixtures import BYK, brand_table, group_table, memo, scores, target_table
-from .registry import query
+from .metrics import wq
+from .registry import cte, query
 from .selectors import ADAPT, HI, LO
 from .targets import SHOCK
 
@@ -292,11 +293,34 @@ def answered(s, d):
 query("l14_answer_uses")(lambda s, d: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"]).drop("panel_id"))(answered(s, d)))
 query("k12_interpretation")(lambda s, d: answers.interpret(answered(s, d)).drop("panel_id"))
 _DOWNS = ["p_down_global", "p_down_local", "p_down_pattern", "p_down_prior"]
+cte("t_components", " union all ".join(f"select '{c}' as component, {c} as p, 1 - y as o from t_scores where ready and y is not null and {c} is not null" for c in _DOWNS))
+_EDGES = [0.0, 0.5, 0.6, 0.65, 0.7, 0.8, 1.0]
+_COMPONENT_SQL = {
+    "summary": f"""
+with a as (select component, (sum(case when o = 1 then r end) - np * (np + 1) / 2) / nullif(np * (n - np), 0) as auc from (
+  select *, rank() over (partition by component order by p) + (count(*) over (partition by component, p) - 1) / 2.0::double as r, sum(o) over (partition by component) as np, count(*) over (partition by component) as n from t_components) group by component, np, n),
+b as (select component, sum(n * abs(p - o)) / sum(n) as ece from (select component, least(floor(p * 10), 9) as b, count(*) as n, avg(p) as p, avg(o) as o from t_components group by 1, 2) group by 1)
+select c.component, count(*) as n, {q6('max(a.auc)', 5)} as auc, {q6('avg((p - o) * (p - o))', 5)} as brier, {q6('max(b.ece)', 5)} as ece, {q6('avg(p)', 5)} as mean, {q6('avg(o)', 5)} as base_rate, {q6('quantile_cont(p, 0.95)', 5)} as p95
+from t_components c join a on a.component = c.component join b on b.component = c.component group by 1""",
+    "reliability": f"""
+select component, {' + '.join(f'(p >= {e}::double)::int' for e in _EDGES[1:-1])} as bucket, count(*) as calls, {q6('avg(p)', 5)} as mean_probability, {q6('avg(o)', 5)} as observed,
+ {q6(wq('sum(o)', 'count(*)', I.Z_TWO_SIDED_95, '-'), 5)} as wilson_low, {q6(wq('sum(o)', 'count(*)', I.Z_TWO_SIDED_95, '+'), 5)} as wilson_high, {q6(wq('sum(o)', 'count(*)', I.Z_ONE_SIDED_95, '-'), 5)} as wilson_lcb,
+ {q6('avg(p) - avg(o)', 5)} as gap from t_components group by 1, 2"""}
 for _i, _n in enumerate(("summary", "reliability")):
-    query(f"l10_component_{_n}")(lambda s, d, i=_i: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"], 5).drop("panel_id"))(
+    query(f"l10_component_{_n}", _COMPONENT_SQL[_n])(lambda s, d, i=_i: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"], 5).drop("panel_id"))(
         answers.components(scores(s, d).where("ready").withColumn("down", 1 - F.col("y_true")), _DOWNS, "down")[i]))
+_CEILING_SQL = {
+    "baselines": f"""
+with x as (select 'all_calls' as slice, pos, hit as c from t_calls union all select 'same_calls_all_up', pos, y from t_calls union all select 'core', pos, hit from t_calls where rk between 1 and 5
+ union all select 'middle', pos, hit from t_calls where rk = 6 union all select 'tail', pos, hit from t_calls where rk between 7 and 8)
+select slice, count(*) as calls, sum(c)::bigint as hits, {q6('avg(c)', 5)} as accuracy, count(distinct pos) as months, {q6('count(*)::double / count(distinct pos)', 5)} as calls_per_month from x where c is not null group by 1""",
+    "ranks": f'select rk as rank, count(*) as calls, sum(hit)::bigint as hits, {q6("avg(hit)", 5)} as accuracy from t_calls where hit is not null group by 1',
+    "drift": f"""select pos as "position", calls, {q6('a', 5)} as accuracy, {q6('p', 5)} as prevalence, case when count(a) over w >= 6 then {q6('avg(a) over w', 5)} end as rolling_accuracy
+from (select pos, count(*) as calls, avg(hit) as a, avg(y) as p from t_calls where hit is not null group by 1) window w as (order by pos rows between 11 preceding and current row)""",
+    "windows": f"""select "window", count(distinct pos) as months, count(*) as calls, sum(hit)::bigint as hits, {q6('avg(hit)', 5)} as accuracy, sum((dir = 'Up')::int) as up_calls, sum((dir = 'Down')::int) as down_calls,
+ coalesce(sum(case when dir = 'Down' then hit end), 0)::bigint as down_hits, {q6("avg(case when dir = 'Down' then hit end)", 5)} as down_precision from t_cw where hit is not null group by 1"""}
 for _t in ("baselines", "ranks", "drift", "windows", "bootstrap", "summary", "missing"):
-    query(f"l12_ceiling_{_t}")(lambda s, d, t=_t: _ceiling(s, d, t))
+    query(f"l12_ceiling_{_t}", _CEILING_SQL.get(_t))(lambda s, d, t=_t: _ceiling(s, d, t))
 
 
 def _ceiling(s, d, name):
