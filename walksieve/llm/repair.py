@@ -244,15 +244,15 @@ def edits(rows: DataFrame) -> DataFrame:
         for piece, seq, own, initial, fault in _values(batches):
             if table is None or (piece, own) != held:
                 if table is not None:
-                    yield _record([(*held, at, table.flat())], _PIECE)
+                    yield [(*held, at, table.flat())]
                 held, table, at = (piece, own), Table(), seq
             table.add((initial, fault))
         if table is not None:
-            yield _record([(*held, at, table.flat())], _PIECE)
+            yield [(*held, at, table.flat())]
 
     id_type = pa.table({"c": pa.array([], _arrow(rows, "conv_id"))}).schema.field("c").type
     _PIECE = pa.schema([("piece", pa.int64()), ("conv_id", id_type), ("seq", pa.int64()), ("costs", pa.list_(pa.int64()))])
-    pieces = lines.repartition("piece").sortWithinPartitions("piece", "seq").mapInArrow(_joined(tables), f"piece long, conv_id {conv}, seq long, costs array<long>")
+    pieces = lines.repartition("piece").sortWithinPartitions("piece", "seq").mapInArrow(_rows(tables, _PIECE), f"piece long, conv_id {conv}, seq long, costs array<long>")
 
     _STATES = pa.schema([("piece", pa.int64()), ("seq", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -260,14 +260,14 @@ def edits(rows: DataFrame) -> DataFrame:
         own, group = None, []
         for piece, c, seq, costs in _values(batches):
             if group and c != own:
-                yield _record(_with_states(group), _STATES)
+                yield _with_states(group)
                 group = []
             own = c
             group.append((piece, seq, costs))
         if group:
-            yield _record(_with_states(group), _STATES)
+            yield _with_states(group)
 
-    met = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(_joined(states), "piece long, seq long, start int, end int")
+    met = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(_rows(states, _STATES), "piece long, seq long, start int, end int")
 
     _EDITS = pa.schema([("seq", pa.int64()), ("edit", pa.string()), ("state", pa.int32())])
 
@@ -276,17 +276,17 @@ def edits(rows: DataFrame) -> DataFrame:
         for _, seq, kind, initial, fault, start, end in _values(batches):
             if kind == 0:
                 if run:
-                    yield _record(_walked(head, run), _EDITS)
+                    yield _walked(head, run)
                 head, run = (start, end), []
             else:
                 run.append((seq, initial, fault))
         if run:
-            yield _record(_walked(head, run), _EDITS)
+            yield _walked(head, run)
 
     nothing = F.lit(None).cast("int")
     both = met.select("piece", "seq", F.lit(0).alias("kind"), F.lit("").alias("initial"), F.lit(0).alias("fault"), "start", "end").unionByName(
         lines.select("piece", "seq", F.lit(1).alias("kind"), "initial", "fault", nothing.alias("start"), nothing.alias("end")))
-    made = both.repartition("piece").sortWithinPartitions("piece", "seq", "kind").mapInArrow(_joined(walk), "seq long, edit string, state int")
+    made = both.repartition("piece").sortWithinPartitions("piece", "seq", "kind").mapInArrow(_rows(walk, _EDITS), "seq long, edit string, state int")
     return staged(ordered.drop("piece").join(made, "seq"), "edits")
 
 
@@ -305,18 +305,17 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _joined(fn, least: int = 2048):
-    """Small batches of `fn` put together to at least `least` rows."""
+def _rows(fn, schema: pa.Schema, least: int = 4096):
+    """`fn` turns batches into lists of rows; they leave as batches of at least `least` rows."""
     def run(batches):
-        held, n = [], 0
-        for b in fn(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= least:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
+        held: list[tuple] = []
+        for more in fn(batches):
+            held += more
+            if len(held) >= least:
+                yield _record(held, schema)
+                held = []
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield _record(held, schema)
     return run
 
 
@@ -417,18 +416,18 @@ def digest(rows: DataFrame, made: DataFrame, conversations: DataFrame) -> DataFr
             for conv, _, turn, role, _, _, _, kind, _, fault, edit, state, text in _columns(batch):
                 if kind == 0:
                     if held is not None:
-                        yield _record([(own, *held.row())], schema)
+                        yield [(own, *held.row())]
                     held, own = _Digest(), conv
                 elif kind == 1:
                     held.edit(turn, role, fault, edit, state)
                 else:
                     held.text(text)
         if held is not None:
-            yield _record([(own, *held.row())], schema)
+            yield [(own, *held.row())]
 
     conv = rows.schema["conv_id"].dataType.simpleString()
     longs = "".join(f"{c} long, " for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
-    return both.mapInArrow(_joined(fold), f"conv_id {conv}, {longs}audit string, repaired_sha256 string")
+    return both.mapInArrow(_rows(fold, schema), f"conv_id {conv}, {longs}audit string, repaired_sha256 string")
 
 
 def repaired(rows: DataFrame, made: DataFrame) -> DataFrame:
