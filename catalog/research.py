@@ -19,7 +19,7 @@ from walksieve.operators import targets as T
 from walksieve.operators import varying as V
 from walksieve.operators.boosting import boosted_forecast
 from walksieve.operators.seasonal import existence_tests
-from walksieve.plans import ablation, adaptive, answers, correctness, external, local_study, robustness, seasonality, uptrend
+from walksieve.plans import ablation, adaptive, answers, correctness, external, local_study, policies, robustness, seasonality, uptrend
 
 from .base import WINDOWS, out, q6
 from .fixtures import BYK, brand_table, group_table, memo, scores, target_table
@@ -328,3 +328,43 @@ def _ceiling(s, d, name):
 
     t = answers.ceiling(calls(s, d), WINDOWS, {"core": (1, 5), "middle": (6, 6), "tail": (7, 8)}, reps=200)[name]
     return out(t, [c for c, k in t.dtypes if k == "double"], 5).drop("panel_id")
+
+
+# ---- parameter studies of the other policies ---------------------------------------------
+
+_RULES = {"no_internal_loss": "early_tuning_hit_delta >= 0 and late_tuning_hit_delta >= 0", "no_validation_loss": "validation_hit_delta >= 0"}
+_ORDER = ["-tuning_hit_delta", "-tuning_accuracy"]
+
+
+def _studies():
+    """Name -> (rows, grid, policy, fallback)."""
+    from .selectors import controller_input
+
+    c = F.col
+    return {
+        "n03_directional": (scores, {"threshold": [0.5, 0.54, 0.58], "margin": [0.0, 0.03]}, lambda d, by: H.bidirectional(d, threshold=c("threshold"), margin=c("margin"), k=LO, by=by),
+                            {"threshold": 0.58, "margin": 0.03}),
+        "n04_risk_gate": (scores, {"penalty": [0.0, 0.1, 0.2, 0.4]}, lambda d, by: H.risk_gate(d, penalty=c("penalty"), k=LO, risk="p_down_global", by=by), {"penalty": 0.0}),
+        "n05_controller": (controller_input, {"risk": [0.0, 0.2], "down": [0.0, 0.1], "role": [0.0, 0.05]}, lambda d, by: H.controller(d, risk=c("risk"), down=c("down"), role=c("role"), k=LO, by=by),
+                           {"risk": 0.0, "down": 0.0, "role": 0.0}),
+    }
+
+
+def _up_base(s, d):
+    return H.top_k(scores(s, d), "p_select", LO)
+
+
+def policy_search(s, d, name):
+    rows, grid, policy, _ = _studies()[name]
+    return memo(f"{name}_search", s, d, lambda: policies.search(rows(s, d), K.grid_frame(s, grid), policy, _up_base(s, d), {**WINDOWS, **INTERNAL}, rules=_RULES, order=_ORDER))
+
+
+def policy_evaluation(s, d, name):
+    rows, grid, policy, fallback = _studies()[name]
+    calls = policies.apply_chosen(rows(s, d), policy_search(s, d, name), K.grid_frame(s, grid), policy, fallback)
+    return policies.evaluate(calls, _up_base(s, d), {**WINDOWS, **INTERNAL}, reps=200)
+
+
+for _n in ("n03_directional", "n04_risk_gate", "n05_controller"):
+    query(f"{_n}_search")(lambda s, d, n=_n: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"]).drop("panel_id"))(policy_search(s, d, n)))
+    query(f"{_n}_evaluation")(lambda s, d, n=_n: (lambda t: out(t, [c for c, k in t.dtypes if k == "double"]).drop("panel_id"))(policy_evaluation(s, d, n)))

@@ -167,3 +167,31 @@ def test_family_ablation(spark):
     assert got["base"].accepted and got["base"].paired_p10 == 0.0 and got["add_oracle"].accepted and not got["add_x"].accepted
     names = [c.name for c in ablation.family_models(["a"], {"f": ["b"], "g": ["c", "d"]})]
     assert names == ["base", "full", "add_f", "add_g", "drop_f", "drop_g", "only_f", "only_g"]
+
+
+@pytest.mark.parametrize("name", ["n03_directional", "n04_risk_gate", "n05_controller"])
+def test_policy_search(spark, name):
+    from pyspark.sql import functions as F
+
+    from walksieve.plans import policies
+
+    rows, grid, policy, fallback = research._studies()[name]
+    grid = {k: [v[0], v[-1]] for k, v in grid.items()}
+    frame, data = K.grid_frame(spark, grid), rows(spark, SF)
+    base = research._up_base(spark, SF)
+    found = policies.search(data, frame, policy, base, WINDOWS, rules=research._RULES, order=research._ORDER)
+    found = spark.createDataFrame(found.collect(), found.schema)
+    got, ref = {x.candidate_id: x for x in found.collect()}, base.toPandas()
+    assert len(got) == 2 ** len(grid) and sorted(x.place for x in got.values()) == list(range(1, len(got) + 1))
+    for g in frame.collect()[::3]:
+        one = policy(data.withColumns({k: F.lit(g[k]) for k in grid}), ("panel_id",)).toPandas()
+        delta = {w: totals(one, *b)["hits"] - totals(ref, *b)["hits"] for w, b in WINDOWS.items()}
+        x = got[g.candidate_id]
+        assert (x.tuning_hits, x.tuning_calls, x.validation_hit_delta) == (totals(one, *WINDOWS["tuning"])["hits"], totals(one, *WINDOWS["tuning"])["calls"], delta["validation"])
+        assert x.development_qualifying == (min(delta["early_tuning"], delta["late_tuning"]) >= 0 and delta["validation"] >= 0)
+    first = min(got.values(), key=lambda x: x.place)
+    want = first if first.development_qualifying else next(x for x in got.values() if all(x[k] == v for k, v in fallback.items()))
+    calls = policies.apply_chosen(data, found, frame, policy, fallback)
+    e = {x.window: x for x in policies.evaluate(calls, base, WINDOWS, reps=20).collect()}
+    assert {x.candidate_id for x in calls.select("candidate_id").distinct().collect()} == {want.candidate_id}
+    assert all(e[w].hits == want[f"{w}_hits"] and e[w].hits - e[w].baseline_hits == want[f"{w}_hit_delta"] for w in WINDOWS)
