@@ -323,3 +323,38 @@ def test_ranks_with_many_nulls_and_ties(spark):
     o = O.ordinal_rank(df, keys, "v", "r").toPandas()
     own = o[o["v"].notna()].sort_values(["position", "v", "series_id"], ascending=[True, False, True])
     assert (own.groupby("position").cumcount() + 1).tolist() == own["r"].tolist() and o[o["v"].isna()]["r"].isna().all()
+
+
+def test_a_series_is_sent_to_few_tiles_whatever_the_number_of_pairs(spark):
+    many = spark.range(20000).select(F.lit("main").alias("panel_id"), F.col("id").cast("string").alias("series_id"))
+    blocks = G.grid(many)
+    a = many.withColumn("v", F.array(F.lit(1.0)))
+    sent = G._tiles(a, blocks, ("panel_id",), ["v"], ["v"]).count()
+    assert sent <= 40 * 20000  # one copy per block of 64 series made 626 each
+
+
+def test_strongest_peers_and_mean_correlation_match_pandas_with_gaps(spark):
+    p, df = make_panel(spark, n_series=8)
+    wide = df.pivot(index="position", columns="series_id", values="value").shift(1)
+    d, r = wide.diff(), wide / wide.shift(1) - 1
+    got = G.peer_features(p, k=30, min_pairs=12, blocks=2).toPandas().set_index(["series_id", "position"])
+    mean = G.average_pair_corr(p, blocks=(2, 3)).toPandas().set_index("position")["average_correlation"]
+    for t in (20, 45, 70):
+        c = d.loc[max(1, t - 29):t].corr(min_periods=12)
+        for i in c:
+            best = c[i].drop(i).dropna().abs().sort_values(ascending=False)[:3]
+            assert got.loc[(i, t), "peer_count"] == len(best)
+            if len(best):
+                assert abs(got.loc[(i, t), "peer_corr_abs_mean"] - best.mean()) < 1e-9
+        pairs = r.loc[t - 11:t].corr(min_periods=8).to_numpy()[np.triu_indices(8, 1)]
+        assert abs(mean[t] - np.nanmean(pairs)) < 1e-9
+
+
+def test_mean_correlation_forms_no_pairs_of_series_without_gaps():
+    x = np.random.default_rng(0).normal(size=(50, 20))
+    x[0, 5] = np.nan
+    for _, a, b in G._windows(x, x, 12, 8, (18, 18)):
+        formed = sum(c.size for _, _, c, _ in G._matrices(a, b, 8, full=False))
+        assert formed == 0  # the gap is older than the window
+    for _, a, b in G._windows(x, x, 12, 8, (12, 12)):
+        assert sum(c.size for _, _, c, _ in G._matrices(a, b, 8, full=False)) == 50 + 49

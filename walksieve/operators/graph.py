@@ -1,16 +1,20 @@
 """Correlation graphs between series and what is read from them.
 
-Series travel as one row with their history (bounded by the calendar).  They are
-hashed into blocks of about ``block`` series and every pair of blocks becomes one
-small task that computes all its rolling correlations with array arithmetic and
-reduces them at once: to the strongest peers, to weighted sums, or to averages.
-Pairs are therefore never rows of a shuffle unless the caller asks for the edges
-themselves.  A block pair costs the same whatever the data look like, so no
+Series travel as one row with their history (bounded by the calendar).  A grid of
+tiles pairs ranges of series on the left with ranges on the right; the grid has a
+fixed number of left ranges and a new right range per `RIGHT` series, so a series
+is sent a few dozen times whatever the number of pairs.  Within a tile the
+correlations of one origin are matrix products over chunks, reduced at once: to
+the strongest peers, to weighted sums, or to averages.  Pairs are therefore never
+rows of a shuffle unless the caller asks for the edges themselves, which leave
+chunk by chunk.  A tile costs the same for all series without inner gaps, so no
 series or period can overload a task.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,7 +24,11 @@ from ..functions.columns import BY, clip, div, flag, logit, sigmoid
 from ..functions.ordering import pct_rank as _pct_rank
 from .features import _diff, _ret
 
-BLOCK = 64
+#: Series of a left range at least, left ranges at most, series of a right range at most.
+LEAST, LEFT, RIGHT = 64, 32, 1 << 17
+#: Rows and columns of the matrices that a task holds at a time.
+CHUNK = (256, 512)
+TINY = 1e-12
 
 
 def series_arrays(df: DataFrame, cols: list[str], by=BY) -> DataFrame:
@@ -31,131 +39,237 @@ def series_arrays(df: DataFrame, cols: list[str], by=BY) -> DataFrame:
     return g.select(*by, "series_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def block_count(df: DataFrame, block: int = BLOCK) -> int:
+def grid(df: DataFrame) -> tuple[int, int]:
+    """Numbers of left and right ranges for the series of ``df``."""
     n = df.select("series_id").distinct().count()
-    return max(1, -(-n // block))
+    return max(1, min(LEFT, -(-n // LEAST))), max(1, -(-n // RIGHT))
 
 
-def _tiles(arrays: DataFrame, blocks: int, by, left: list[str], right: list[str]) -> DataFrame:
-    """Send each series to every block pair it takes part in, with the arrays that side needs."""
-    b = F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+def _tiles(arrays: DataFrame, blocks: tuple[int, int] | int, by, left: list[str], right: list[str]) -> DataFrame:
+    """Send each series to every tile it takes part in, with the arrays that side needs, tiles together and in order."""
     names = sorted(set(left) | set(right))
+    blocks = (blocks, blocks) if isinstance(blocks, int) else blocks
 
-    def side(tag, used, bi, bj):
+    def side(tag, used, own, other, n_own, n_other):
         null = F.lit(None).cast("array<double>")
         return arrays.select(
-            *by, "series_id", F.lit(tag).alias("side"), b.alias("_own"), every.alias("_other"),
-            *[(F.col(c) if c in used else null).alias(c) for c in names],
-        ).withColumns({"bi": F.col(bi), "bj": F.col(bj)}).drop("_own", "_other")
+            F.xxhash64(*by).alias("_k"), *by, "series_id", F.lit(tag).alias("side"),
+            F.pmod(F.xxhash64("series_id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
+            *[(F.col(c) if c in used else null).alias(c) for c in names])
 
-    return side("L", left, "_own", "_other").unionByName(side("R", right, "_other", "_own"))
+    both = side("L", left, "bi", "bj", *blocks).unionByName(side("R", right, "bj", "bi", *blocks[::-1]))
+    # a stated number: adaptive execution would put few bytes into one task, but a tile costs far more than its bytes
+    return both.repartition(4 * blocks[0] * blocks[1], "_k", "bi", "bj").sortWithinPartitions("_k", "bi", "bj", "side", "series_id")
 
 
-def _window_sums(a: np.ndarray, k: int) -> np.ndarray:
-    c = np.cumsum(a, axis=-1)
-    c[..., k:] = c[..., k:] - c[..., :-k].copy() if a.shape[-1] > k else c[..., k:]
-    return c
+def _centred(x: np.ndarray) -> np.ndarray:
+    return x - np.nanmean(np.where(np.isfinite(x), x, np.nan), axis=1, keepdims=True)
+
+
+def _unit(x0, mask):
+    """Rows centred and scaled over their masks, NaN without variation."""
+    n = mask.sum(axis=1)
+    d = (x0 - (x0.sum(axis=1) / np.maximum(n, 1.0))[:, None]) * mask
+    ss = (d * d).sum(axis=1)
+    ok = ss > TINY * np.maximum((x0 * x0).sum(axis=1), 1e-300)
+    return d / np.sqrt(np.where(ok, ss, np.nan))[:, None], n
 
 
-def rolling_corr(x: np.ndarray, y: np.ndarray, k: int, min_pairs: int):
-    """Pairwise-complete Pearson correlation of every row of ``x`` with every row of ``y``.
+class _Window:
+    """Series over one window.
 
-    Returns (corr, count) of shape (rows of x, rows of y, periods); too few pairs
-    or no variation give NaN.
+    ``usual`` are the places where most series of this side have a value. ``full`` rows have values there and nowhere else;
+    ``z`` are the rows as unit vectors over the places that they share with usual rows of the other side, ``n`` the
+    numbers of these places, ``kinds`` the different sets of them among the rows with gaps and ``kind`` each row's.
     """
-    x = x - np.nanmean(np.where(np.isfinite(x), x, np.nan), axis=1, keepdims=True)
-    y = y - np.nanmean(np.where(np.isfinite(y), y, np.nan), axis=1, keepdims=True)
-    mx, my = np.isfinite(x), np.isfinite(y)
-    x0, y0 = np.where(mx, x, 0.0), np.where(my, y, 0.0)
-    X, Y, MX, MY = x0[:, None, :], y0[None, :, :], mx[:, None, :].astype(float), my[None, :, :].astype(float)
-    n = _window_sums(MX * MY, k)
-    sx, sy = _window_sums(X * MY, k), _window_sums(MX * Y, k)
-    sxx, syy, sxy = _window_sums(X * X * MY, k), _window_sums(MX * Y * Y, k), _window_sums(X * Y, k)
-    with np.errstate(all="ignore"):
-        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-        c = (sxy - sx * sy / n) / np.sqrt(vx * vy)
-    tiny = 1e-12
-    bad = (n < min_pairs) | ~(vx > tiny * np.maximum(sxx, 1e-300)) | ~(vy > tiny * np.maximum(syy, 1e-300))
-    c[bad] = np.nan
-    return np.clip(c, -1.0, 1.0), n
-
-
-def _load(pdf: pd.DataFrame, left: list[str], right: list[str]):
-    l = pdf[pdf["side"] == "L"].sort_values("series_id")
-    r = pdf[pdf["side"] == "R"].sort_values("series_id")
-    st = lambda d, c: np.vstack(d[c].to_numpy()).astype(float)
-    return (l["series_id"].to_numpy(), {c: st(l, c) for c in left} if len(l) else {},
-            r["series_id"].to_numpy(), {c: st(r, c) for c in right} if len(r) else {})
+
+    def __init__(self, w: np.ndarray, usual: np.ndarray, other: np.ndarray):
+        known = np.isfinite(w)
+        full = (known == usual).all(axis=1)
+        self.full, self.gaps = np.flatnonzero(full), np.flatnonzero(~full)
+        self.x0, self.m = np.where(known, w, 0.0), known.astype(float)
+        shared = self.m * other
+        self.z, self.n = _unit(self.x0 * other, shared)
+        self.kinds, kind = np.unique(shared[self.gaps], axis=0, return_inverse=True)
+        self.kind = np.zeros(len(w), int)
+        self.kind[self.gaps] = kind.ravel()
+        self.shared = int((usual & other).sum())
+
+    def per_kind(self, kinds: np.ndarray, rows) -> np.ndarray:
+        """One over the deviations of some full rows over each of the other side's sets of places."""
+        x0 = self.x0[rows]
+        sx, sxx = kinds @ x0.T, kinds @ (x0 * x0).T
+        v = sxx - sx * sx / np.maximum(kinds.sum(axis=1), 1.0)[:, None]
+        return 1.0 / np.sqrt(np.where(v > TINY * np.maximum(sxx, 1e-300), v, np.nan))
+
+
+def _masked(x0, mx, y0, my):
+    """Pairwise-complete correlations and counts of rows with gaps on both sides."""
+    n = mx @ my.T
+    sx, sy, sxx, syy = x0 @ my.T, mx @ y0.T, (x0 * x0) @ my.T, mx @ (y0 * y0).T
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    c = (x0 @ y0.T - sx * sy / n) / np.sqrt(vx * vy)
+    c[~(vx > TINY * np.maximum(sxx, 1e-300)) | ~(vy > TINY * np.maximum(syy, 1e-300))] = np.nan
+    return c, n
+
+
+def _chunks(rows: np.ndarray, size: int) -> list[np.ndarray]:
+    return [rows[s:s + size] for s in range(0, len(rows), size)]
+
+
+def _windows(x: np.ndarray, y: np.ndarray, k: int, min_pairs: int, origins=None):
+    """(period, left window, right window) of the origins that can hold enough pairs; periods count from 0."""
+    x, y = _centred(x), _centred(y)
+    ux, uy = (np.isfinite(v).mean(axis=0) > 0.5 for v in (x, y))
+    lo, hi = origins or (1, x.shape[1])
+    for t in range(max(lo, min_pairs, 1) - 1, min(hi, x.shape[1])):
+        w = slice(max(0, t - k + 1), t + 1)
+        yield t, _Window(x[:, w], ux[w], uy[w]), _Window(y[:, w], uy[w], ux[w])
+
+
+def _matrices(x: _Window, y: _Window, min_pairs: int, full: bool = True):
+    """(left rows, right rows, correlations, counts); too few pairs or no variation give NaN. Without ``full``, only pairs with a gap.
+
+    The product of a unit vector with any values is their covariance over its places, up to the values' deviation over
+    these places; that is formed once per set of places.
+    """
+    xf, xg = _chunks(x.full, CHUNK[0]), _chunks(x.gaps, CHUNK[0])
+    per_x = [x.per_kind(y.kinds, i) for i in xf]  # right rows with gaps against full left rows
+    cut = lambda c, n: (c if np.isscalar(n) else np.where(n < min_pairs, np.nan, c))
+    for start in range(0, len(y.kind), CHUNK[1]):
+        in_chunk = lambda rows: rows[np.searchsorted(rows, start):np.searchsorted(rows, start + CHUNK[1])]
+        yf, yg = in_chunk(y.full), in_chunk(y.gaps)
+        if len(yf):
+            if full and x.shared >= min_pairs:
+                zy = y.z[yf]
+                for i in xf:
+                    yield i, yf, _bounded(x.z[i] @ zy.T), x.shared
+            if xg:
+                per_y, y0 = y.per_kind(x.kinds, yf), y.x0[yf]
+                for i in xg:
+                    n = x.n[i][:, None]
+                    yield i, yf, _bounded(cut((x.z[i] @ y0.T) * per_y[x.kind[i]], n)), n
+        if len(yg):
+            zy, n = y.z[yg], y.n[yg][None, :]
+            for i, per in zip(xf, per_x):
+                yield i, yg, _bounded(cut((x.x0[i] @ zy.T) * per[y.kind[yg]].T, n)), n
+            for i in xg:
+                c, m = _masked(x.x0[i], x.m[i], y.x0[yg], y.m[yg])
+                yield i, yg, _bounded(cut(c, m)), m
+
+
+def _bounded(c):
+    return np.clip(c, -1.0, 1.0, out=c)
+
+
+def _without_self(c, place, i, j):
+    """No value for a series with itself; ``place`` is the right row of each left one."""
+    at = np.minimum(np.searchsorted(j, place[i]), len(j) - 1)
+    own = np.flatnonzero(j[at] == place[i])
+    c[own, at[own]] = np.nan
+    return c
 
 
 def _run(arrays, blocks, by, left, right, fn, schema):
-    """Apply ``fn(ids_i, left arrays, ids_j, right arrays) -> frame`` to every block pair."""
+    """Apply ``fn(ids_i, left arrays, ids_j, right arrays) -> frames`` to every tile."""
     keys = ", ".join(f"{k} string" for k in by)
     out = f"{keys}, {schema}"
     names = [c.strip().split(" ")[0] for c in out.split(",")]
+    stacked = lambda parts, c: np.vstack([v for p in parts for v in p[c]]).astype(float)
+
+    def made(parts):
+        sides = [[p[p["side"] == tag] for p in parts] for tag in "LR"]
+        sides = [[p for p in s if len(p)] for s in sides]
+        if not all(sides):
+            return
+        (l, r), head = sides, parts[0].iloc[0]
+        ids = [np.concatenate([p["series_id"].to_numpy() for p in s]) for s in sides]
+        with np.errstate(all="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # means of series without values
+            for res in fn(ids[0], {c: stacked(l, c) for c in left}, ids[1], {c: stacked(r, c) for c in right}):
+                if len(res):
+                    yield res.assign(**{c: head[c] for c in by})[names]
+
+    def task(batches):
+        held, now = [], None
+        for pdf in batches:
+            for key, own in pdf.groupby(["_k", "bi", "bj"], sort=False):
+                if key != now and held:
+                    yield from made(held)
+                    held = []
+                now = key
+                held.append(own)
+        if held:
+            yield from made(held)
 
-    def task(key, pdf):
-        ids_i, a, ids_j, b = _load(pdf, left, right)
-        if not len(ids_i) or not len(ids_j):
-            return pd.DataFrame(columns=names)
-        res = fn(ids_i, a, ids_j, b)
-        for name, value in zip(by, key):
-            res[name] = value
-        return res[names]
-
-    return _tiles(arrays, blocks, by, left, right).groupBy(*by, "bi", "bj").applyInPandas(task, out)
+    return _tiles(arrays, blocks, by, left, right).mapInPandas(task, out)
 
 
 def pair_corr(values: DataFrame, col: str, *, k: int = 60, min_pairs: int = 24, lead: str | None = None,
-              origins: tuple[int, int] | None = None, blocks: int | None = None, by=BY) -> DataFrame:
+              origins: tuple[int, int] | None = None, blocks: tuple[int, int] | int | None = None, by=BY) -> DataFrame:
     """Edges (position, i, j, w, n) with a defined correlation.
 
     Without ``lead`` each unordered pair appears once with i < j; with ``lead`` the
     correlation is between ``col`` of i and ``lead`` of j and both orders appear.
     """
     other = lead or col
-    blocks = blocks or block_count(values)
 
     def fn(ids_i, a, ids_j, b):
-        c, n = rolling_corr(a[col], b[other], k, min_pairs)
-        t = np.arange(1, c.shape[2] + 1)
-        keep = np.isfinite(c)
-        if origins:
-            keep &= ((t >= origins[0]) & (t <= origins[1]))[None, None, :]
-        order = ids_i[:, None] < ids_j[None, :] if lead is None else ids_i[:, None] != ids_j[None, :]
-        i, j, p = np.nonzero(keep & order[:, :, None])
-        return pd.DataFrame({"position": t[p].astype("int32"), "i": ids_i[i], "j": ids_j[j], "w": c[i, j, p], "n": n[i, j, p].astype("int64")})
+        for t, x, y in _windows(a[col], b[other], k, min_pairs, origins):
+            for i, j, c, n in _matrices(x, y, min_pairs):
+                order = ids_i[i][:, None] < ids_j[j][None, :] if lead is None else ids_i[i][:, None] != ids_j[j][None, :]
+                r, q = np.nonzero(np.isfinite(c) & order)
+                yield pd.DataFrame({"position": np.full(len(r), t + 1, "int32"), "i": ids_i[i][r], "j": ids_j[j][q], "w": c[r, q],
+                                    "n": np.broadcast_to(n, c.shape)[r, q].astype("int64")})
 
     arrays = series_arrays(values, sorted({col, other}), by)
-    return _run(arrays, blocks, by, [col], [other], fn, "position int, i string, j string, w double, n bigint")
-
-
-def _strongest(c: np.ndarray, top: int):
-    """Indices of the ``top`` largest |corr| per (row, period); ties keep the id order."""
-    strength = np.where(np.isfinite(c), np.abs(c), -1.0)
-    return np.argsort(-strength, axis=1, kind="stable")[:, :top, :]
+    return _run(arrays, blocks or grid(values), by, [col], [other], fn, "position int, i string, j string, w double, n bigint")
+
+
+def _stronger(best_w, best_j, rows, cols, c, top: int):
+    """Update the ``top`` largest |corr| of some rows, in falling order, by a matrix of more columns; ties go to the smaller column."""
+    s = np.abs(c)
+    bar = np.nan_to_num(np.abs(best_w[rows, -1]), nan=0.0)
+    hit = np.flatnonzero(np.fmax.reduce(s, axis=1) >= bar)
+    if not len(hit):
+        return
+    own = np.nan_to_num(s[hit], nan=-1.0)
+    bar = bar[hit]
+    if own.shape[1] > top:
+        bar = np.maximum(bar, np.partition(own, -top, axis=1)[:, -top])
+    r, q = np.nonzero(own >= bar[:, None])
+    at = rows[hit]
+    row = np.concatenate([np.repeat(np.arange(len(hit)), top), r])
+    w, j = np.concatenate([best_w[at].ravel(), c[hit[r], q]]), np.concatenate([best_j[at].ravel(), cols[q]])
+    order = np.lexsort((j, -np.nan_to_num(np.abs(w), nan=-1.0), row))
+    first = np.searchsorted(row[order], np.arange(len(hit)))
+    pick = order[first[:, None] + np.arange(top)]
+    best_w[at], best_j[at] = w[pick], j[pick]
 
 
 def _top_candidates(values, col, other, aux, k, min_pairs, top, blocks, by):
-    """Each block pair's strongest peers of i, with the peer's own values at that period."""
+    """Each tile's strongest peers of i, with the peer's own values at that period."""
     def fn(ids_i, a, ids_j, b):
-        c, _ = rolling_corr(a[col], b[other], k, min_pairs)
-        c[ids_i[:, None] == ids_j[None, :]] = np.nan
-        for name in aux["required"]:
-            c = np.where(np.isfinite(b[name])[None, :, :], c, np.nan)
-        pick = _strongest(c, top)
-        val = np.take_along_axis(c, pick, axis=1)
-        i, r, p = np.nonzero(np.isfinite(val))
-        j = pick[i, r, p]
-        d = {"position": (p + 1).astype("int32"), "series_id": ids_i[i], "peer": ids_j[j], "w": val[i, r, p]}
-        d |= {name: b[name][j, p] for name in aux["carry"]}
-        return pd.DataFrame(d)
+        place = pd.Index(ids_j).get_indexer(ids_i)
+        for t, x, y in _windows(a[col], b[other], k, min_pairs):
+            best_w, best_j = np.full((len(ids_i), top), np.nan), np.zeros((len(ids_i), top), int)
+            gone = np.zeros(len(ids_j), bool)
+            for name in aux["required"]:
+                gone |= ~np.isfinite(b[name][:, t])
+            for i, j, c, _ in _matrices(x, y, min_pairs):
+                c = _without_self(c, place, i, j)
+                if gone[j].any():
+                    c[:, gone[j]] = np.nan
+                _stronger(best_w, best_j, i, j, c, top)
+            i, r = np.nonzero(np.isfinite(best_w))
+            j = best_j[i, r]
+            d = {"position": np.full(len(i), t + 1, "int32"), "series_id": ids_i[i], "peer": ids_j[j], "w": best_w[i, r]}
+            yield pd.DataFrame(d | {name: b[name][j, t] for name in aux["carry"]})
 
     cols = sorted({col, other, *aux["carry"], *aux["required"]})
     right = sorted({other, *aux["carry"], *aux["required"]})
     schema = "position int, series_id string, peer string, w double" + "".join(f", {n} double" for n in aux["carry"])
-    cand = _run(series_arrays(values, cols, by), blocks or block_count(values), by, [col], right, fn, schema)
+    cand = _run(series_arrays(values, cols, by), blocks or grid(values), by, [col], right, fn, schema)
     w = Window.partitionBy(*by, "position", "series_id").orderBy(F.abs("w").desc(), F.col("peer").asc())
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(top))
 
@@ -198,17 +312,30 @@ def lead_features(panel: DataFrame, *, k: int = 60, min_pairs: int = 24, top: in
 
 
 def average_pair_corr(panel: DataFrame, *, k: int = 12, min_obs: int = 8, min_series: int = 3, blocks=None, by=BY) -> DataFrame:
-    """Mean correlation of all pairs with enough common history, per period."""
+    """Mean correlation of all pairs with enough common history, per period.
+
+    Correlations of series without gaps are products of unit vectors, so their sum over all pairs is the product of two
+    vector sums; only pairs with a series that has a gap in the window are formed. Both orders of a pair count, a series
+    with itself does not.
+    """
     p = panel.withColumn("_r", _ret(0, by))
 
     def fn(ids_i, a, ids_j, b):
-        c, _ = rolling_corr(a["_r"], b["_r"], k, min_obs)
-        c[~(ids_i[:, None] < ids_j[None, :])] = np.nan
-        ok = np.isfinite(c)
-        return pd.DataFrame({"position": np.arange(1, c.shape[2] + 1, dtype="int32"),
-                             "s": np.where(ok, c, 0.0).sum(axis=(0, 1)), "n": ok.sum(axis=(0, 1)).astype("int64")})
-
-    parts = _run(series_arrays(p, ["_r"], by), blocks or block_count(p), by, ["_r"], ["_r"], fn, "position int, s double, n bigint")
+        place = pd.Index(ids_j).get_indexer(ids_i)
+        for t, x, y in _windows(a["_r"], b["_r"], k, min_obs):
+            zx, zy = (w.z[w.full] if x.shared >= min_obs else w.z[:0] for w in (x, y))
+            zx, zy = (z[np.isfinite(z).all(axis=1)] for z in (zx, zy))
+            # a series' product with itself is its square, 1
+            own = x.full[np.isin(place[x.full], y.full) & (x.shared >= min_obs)]
+            own = x.z[own][np.isfinite(x.z[own]).all(axis=1)]
+            s, n = float(zx.sum(axis=0) @ zy.sum(axis=0) - (own * own).sum()), len(zx) * len(zy) - len(own)
+            for i, j, c, _ in _matrices(x, y, min_obs, full=False):
+                c = _without_self(c, place, i, j)
+                ok = np.isfinite(c)
+                s, n = s + float(c[ok].sum()), n + int(ok.sum())
+            yield pd.DataFrame({"position": np.array([t + 1], "int32"), "s": [s], "n": np.array([n], "int64")})
+
+    parts = _run(series_arrays(p, ["_r"], by), blocks or grid(p), by, ["_r"], ["_r"], fn, "position int, s double, n bigint")
     m = parts.groupBy(*by, "position").agg(div(F.sum("s"), F.sum("n")).alias("average_correlation"))
     from ..functions.columns import series_window
 
@@ -272,20 +399,22 @@ def graph_overlay(panel: DataFrame, scores: DataFrame, *, p: str = "p_up_raw", k
     d = panel.withColumn("_r", _ret(0, by)).join(scores.select(*keys, F.coalesce(logit(F.col(p)), F.lit(0.0)).alias("_z")), keys, "left")
 
     def fn(ids_i, a, ids_j, b):
-        c, n = rolling_corr(a["_r"], b["_r"], k, min_pairs)
-        t = np.arange(1, c.shape[2] + 1)
-        rows = np.minimum(k, t - 1)
-        rel = np.clip((n - min_pairs + 1) / np.maximum(1, rows - min_pairs + 1)[None, None, :], 0.0, 1.0)
-        w = np.where(np.isfinite(c), c * rel, 0.0)
-        w[ids_i[:, None] == ids_j[None, :]] = 0.0
-        z = b["_z"]
-        w = np.where(np.isfinite(z)[None, :, :], w, 0.0)
-        num = np.einsum("ijt,jt->it", w, np.where(np.isfinite(z), z, 0.0))
-        den = np.abs(w).sum(axis=1)
-        i, q = np.nonzero(den > 0)
-        return pd.DataFrame({"position": t[q].astype("int32"), "series_id": ids_i[i], "num": num[i, q], "den": den[i, q]})
-
-    parts = _run(series_arrays(d, ["_r", "_z"], by), blocks or block_count(panel), by, ["_r"], ["_r", "_z"], fn,
+        place = pd.Index(ids_j).get_indexer(ids_i)
+        for t, x, y in _windows(a["_r"], b["_r"], k, min_pairs):
+            z = b["_z"][:, t]
+            known, z = np.isfinite(z), np.where(np.isfinite(z), z, 0.0)
+            num, den = np.zeros(len(ids_i)), np.zeros(len(ids_i))
+            rows = min(k, t)
+            for i, j, c, n in _matrices(x, y, min_pairs):
+                rel = np.clip((n - min_pairs + 1) / max(1, rows - min_pairs + 1), 0.0, 1.0)
+                c = _without_self(c, place, i, j)
+                w = np.where(np.isfinite(c) & known[j][None, :], c * rel, 0.0)
+                num[i] += w @ z[j]
+                den[i] += np.abs(w).sum(axis=1)
+            q = np.flatnonzero(den > 0)
+            yield pd.DataFrame({"position": np.full(len(q), t + 1, "int32"), "series_id": ids_i[q], "num": num[q], "den": den[q]})
+
+    parts = _run(series_arrays(d, ["_r", "_z"], by), blocks or grid(panel), by, ["_r"], ["_r", "_z"], fn,
                  "position int, series_id string, num double, den double")
     sums = parts.groupBy(*keys).agg(F.sum("num").alias("_num"), F.sum("den").alias("_den"))
     s = scores.join(sums, keys, "left").withColumn("_p", F.coalesce(F.col(p), F.lit(0.5)))
