@@ -358,3 +358,14 @@ def test_mean_correlation_forms_no_pairs_of_series_without_gaps():
         assert formed == 0  # the gap is older than the window
     for _, a, b in G._windows(x, x, 12, 8, (12, 12)):
         assert sum(c.size for _, _, c, _ in G._matrices(a, b, 8, full=False)) == 50 + 49
+
+
+def test_tasks_of_a_panel_follow_its_filled_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_ROWS", 1000)
+    # two facts a series, ninety periods each: few bytes before the calendar is filled
+    facts = spark.range(400).select((F.col("id") % 200).alias("s"), F.add_months(F.lit("2000-01-01").cast("date"), F.when(F.col("id") < 200, 0).otherwise(89)).alias("t"), F.lit(1.0).alias("v"))
+    p = P.panel_from_facts(facts, time="t", series="s", value="v")
+    lag = X.signed_run(X.stale_run(p))
+    sizes = [n for n in lag.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 200 * 90 and max(sizes) <= 4000  # adaptive execution put all into one
+    assert lag.groupBy("series_id").count().where("count <> 90").count() == 0
