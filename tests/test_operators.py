@@ -369,3 +369,15 @@ def test_tasks_of_a_panel_follow_its_filled_rows(spark, monkeypatch):
     sizes = [n for n in lag.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert sum(sizes) == 200 * 90 and max(sizes) <= 4000  # adaptive execution put all into one
     assert lag.groupBy("series_id").count().where("count <> 90").count() == 0
+
+
+def test_cuts_do_not_depend_on_the_order_of_rows(spark):
+    v = spark.range(60000).select((F.col("id") % 3).alias("k"), (F.rand(5) * F.rand(6)).alias("v"))
+    v = v.localCheckpoint()
+    cuts = [sorted(O.cut_points(d, ["k"], "v").collect()) for d in (v.coalesce(1), v.repartition(7), v.orderBy(F.col("v").desc()), v.orderBy("v").coalesce(3))]
+    assert cuts[0] == cuts[1] == cuts[2] == cuts[3]
+    assert [len(r["_edges"]) for r in cuts[0]] == [31] * 3
+    # percentile_approx, which made the cuts before, depends on it
+    old = [v.coalesce(1), v.repartition(7), v.orderBy(F.col("v").desc())]
+    old = [sorted(d.groupBy("k").agg(F.percentile_approx("v", [i / 32 for i in range(1, 32)], F.lit(1000)).alias("e")).collect()) for d in old]
+    assert not old[0] == old[1] == old[2]

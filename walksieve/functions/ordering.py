@@ -3,8 +3,8 @@
 A cross-section (all series of one period) or an evaluation window can hold a
 large share of all rows, so none of these helpers sorts a whole group in one
 task.  They collapse equal values first, cut each group into value buckets from
-a small mergeable sketch, order inside ``(group, bucket)`` and shift by the
-bucket totals.  The sketch only decides where the cuts are; the result is exact.
+a small sample chosen by hash, order inside ``(group, bucket)`` and shift by the
+bucket totals.  The sample only decides where the cuts are; the result is exact.
 """
 
 from __future__ import annotations
@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 from .columns import col
 
 BUCKETS = 32
+#: Sampled values per bucket at most.
+SAMPLE = 16
+
+
+def cut_points(values: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Array `_edges` per group that cuts its distinct values into buckets of similar size.
+
+    Values are dealt into classes by hash and the one with the smallest hash stands for its class, so the sample and the
+    cuts are the same in whatever order rows arrive: several branches of a plan may compute them on their own.
+    """
+    h = F.xxhash64(value)
+    sample = values.groupBy(*keys, F.pmod(h, F.lit(SAMPLE * buckets)).alias("_class")).agg(F.min_by(value, h).alias("_v"))
+    ordered = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_s"))
+    at = F.sequence(F.lit(1), F.lit(buckets - 1))
+    return ordered.select(*keys, F.array_distinct(F.transform(at, lambda i: F.get("_s", F.floor(i * F.size("_s") / F.lit(buckets)).cast("int")))).alias("_edges"))
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -24,10 +39,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKE
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n_eq"))
     )
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, F.lit(1000)).alias("_edges")
-    )
+    edges = cut_points(counts, keys, value, buckets)
     bucketed = counts.join(edges, keys).withColumn(
         "_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))
     ).drop("_edges")
