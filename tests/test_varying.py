@@ -104,3 +104,14 @@ def test_unknown_series_and_short_panels(spark):
     assert varying.walk_forward_many(df.limit(0), CONFIGS, lo=5, hi=9).count() == 0
     with pytest.raises(ValueError):
         varying.fit_many(df, [Config("x", ("a",), ("b",))], lo=5, hi=6)
+
+
+def test_the_driver_gets_steps_not_matrices(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got, to_arrow = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: got.append(to_arrow(df)) or got[-1])
+    fit = varying.fit_many(table(spark, panel(series=6)), CONFIGS[2:3], lo=20, hi=40)
+    per_fit = [t.nbytes / t.num_rows for t in got if "origin" in t.column_names]
+    # seven coefficients, a loss and keys; the triangle of the matrix alone has 28 numbers
+    assert per_fit and max(per_fit) < 160 and all(x.converged for x in fit.report(spark).collect())

@@ -29,6 +29,8 @@ LEAST, LEFT, RIGHT = 64, 32, 1 << 17
 #: Rows and columns of the matrices that a task holds at a time.
 CHUNK = (256, 512)
 TINY = 1e-12
+#: Ranges of neighbours that a task takes one after the other.
+COLUMNS = 64
 
 
 def series_arrays(df: DataFrame, cols: list[str], by=BY) -> DataFrame:
@@ -369,20 +371,103 @@ def propagate(scores: DataFrame, edges: DataFrame, *, p: str = "p", alpha: float
     """Blend each log-odds with the |w|-normalised sum of its neighbours' log-odds.
 
     A series without neighbours is blended with zero, that is pulled toward 0.5.
-    Edges without a position apply at every origin.
+    Edges without a position apply at every origin, edges without some columns of ``by`` to all their values.
     """
     if not 0.0 <= alpha <= 1.0:
         raise ValueError("alpha must be between 0 and 1")
     keys = [*by, "position"]
-    on = keys if "position" in edges.columns else list(by)
     z = scores.select(*keys, F.col("series_id").alias("j"), logit(F.col(p)).alias("_z"))
     e = mirror(edges).where(F.col("w").isNotNull())
-    n = z.join(e, [*on, "j"]).groupBy(*keys, F.col("i").alias("series_id")).agg(
-        F.sum(F.col("w") * F.col("_z")).alias("_num"), F.sum(F.abs("w")).alias("_den"))
+    if "position" in edges.columns:
+        n = z.join(e, [*[c for c in keys if c in edges.columns], "j"]).groupBy(*keys, F.col("i").alias("series_id")).agg(
+            F.sum(F.col("w") * F.col("_z")).alias("_num"), F.sum(F.abs("w")).alias("_den"))
+    else:
+        n = _neighbour_sums(z, e, keys)
     j = scores.join(n, [*keys, "series_id"], "left")
     return _blend(j, p, alpha, out)
 
 
+def _neighbour_sums(z: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of w z and |w| over the neighbours of each series, for edges that hold at every period (and candidate).
+
+    A score is a column of a matrix of series by periods and candidates, so the sums are products of the graph with it.
+    The graph is cut into a fixed number of ranges of rows. Each gets every series' scores once and adds up its products
+    range by range of columns; an edge is sent once, whatever the number of periods and candidates.
+    """
+    own = [c for c in keys if c in e.columns]
+    place = [c for c in keys if c not in own]
+    # the columns: one row per period and candidate
+    columns = z.groupBy(*own).agg(F.array_sort(F.collect_set(F.struct(*place))).alias("_c")).select(
+        *own, F.size("_c").alias("_n"), F.posexplode("_c").alias("_m", "_c")).select(*own, "_n", "_m", *[F.col(f"_c.{c}").alias(c) for c in place])
+    cell = F.struct("_m", "_z")
+    rows = z.join(columns, [*own, *place]).groupBy(*own, "j").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(cell)).alias("_r"))
+    k, side = F.xxhash64(*own), lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    null = lambda t: F.lit(None).cast(t)
+    kind = e.schema["i"].dataType.simpleString()
+    scored = rows.select(k.alias("_k"), *own, F.explode(F.sequence(F.lit(0), F.lit(LEFT - 1))).alias("bi"), side("j", COLUMNS).alias("bj"), F.lit(0).alias("tag"),
+                         null(kind).alias("i"), F.col("j").cast(kind).alias("j"), null("double").alias("w"), "_n", F.col("_r._m").alias("_m"), F.col("_r._z").alias("_z"))
+    linked = e.select(k.alias("_k"), *own, side("i", LEFT).alias("bi"), side("j", COLUMNS).alias("bj"), F.lit(1).alias("tag"),
+                      "i", "j", F.col("w").cast("double").alias("w"), null("int").alias("_n"), null("array<int>").alias("_m"), null("array<double>").alias("_z"))
+    # a stated number: adaptive execution would put few bytes into one task, but products cost far more than their bytes
+    both = scored.unionByName(linked).repartition(4 * LEFT, "_k", "bi").sortWithinPartitions("_k", "bi", "bj", "tag")
+
+    def sums(held, at):
+        # held: frames of one range of rows and one of columns; at: what the range of rows has so far
+        d = pd.concat(held, ignore_index=True)
+        s, edge = d[d["tag"] == 0], d[d["tag"] == 1]
+        if not len(s) or not len(edge):
+            return
+        m = int(s["_n"].iloc[0])
+        value, known = np.zeros((len(s), m)), np.zeros((len(s), m))
+        r = np.repeat(np.arange(len(s)), [len(v) for v in s["_m"]])
+        c, v = np.concatenate(s["_m"].to_list()).astype(int), np.concatenate(s["_z"].to_list()).astype(float)
+        known[r, c] = 1.0
+        value[r, c] = np.where(np.isnan(v), 0.0, v)
+        to = pd.Index(s["j"]).get_indexer(edge["j"])
+        edge, to = edge[to >= 0], to[to >= 0]
+        code, ids = pd.factorize(edge["i"])
+        w, size, x = np.zeros((len(ids), len(s))), np.zeros((len(ids), len(s))), edge["w"].to_numpy()
+        fine = np.isfinite(x)
+        np.add.at(w, (code[fine], to[fine]), x[fine])
+        np.add.at(size, (code[fine], to[fine]), np.abs(x[fine]))
+        num, den = w @ value, size @ known
+        for a, b, v in zip(code[~fine], to[~fine], x[~fine]):
+            on = known[b] > 0
+            num[a, on] += v * value[b, on]
+            den[a, on] += abs(v)
+        for name, a, b in zip(ids, num, den):
+            if name in at:
+                at[name][0] += a
+                at[name][1] += b
+            else:
+                at[name] = [a, b]
+
+    def left(head, at):
+        for name, (a, b) in at.items():
+            q = np.flatnonzero(b != 0)
+            yield pd.DataFrame({**{c: head[c] for c in own}, "series_id": name, "_m": q.astype("int32"), "_num": a[q], "_den": b[q]})
+
+    def task(batches):
+        held, at, now, head = [], {}, None, None
+        for pdf in batches:
+            for key, part in pdf.groupby(["_k", "bi", "bj"], sort=False):
+                if key != now and held:
+                    sums(held, at)
+                    held = []
+                    if key[:2] != now[:2]:
+                        yield from left(head, at)
+                        at = {}
+                now, head = key, part.iloc[0]
+                held.append(part)
+        if held:
+            sums(held, at)
+            yield from left(head, at)
+
+    types = ", ".join(f"`{c}` {e.schema[c].dataType.simpleString()}" for c in own)
+    made = both.mapInPandas(task, f"{types}, series_id {kind}, _m int, _num double, _den double")
+    return made.join(columns.drop("_n"), [*own, "_m"]).select(*keys, "series_id", "_num", "_den")
+
+
 def _blend(j, p, alpha, out):
     near = F.coalesce(div(F.col("_num"), F.col("_den")), F.lit(0.0))
     q = sigmoid((1.0 - alpha) * logit(F.col(p)) + alpha * near)
@@ -491,15 +576,15 @@ def rolling_pca(panel: DataFrame, *, k: int = 60, n: int = 2, min_obs: int = 24,
 
     def loads(batches):
         for pdf in batches:
-            rows = []
-            for _, r in pdf.iterrows():
-                x = np.asarray(r["_d"], dtype=float)[None, :]
-                for q in r["parts"]:
-                    ok, w = _standard(x, k, q["position"] - 1, min_obs)
-                    if ok[0] and q["sigma"] > 1e-12:
-                        rows.append((*[r[c] for c in names], r["series_id"], q["position"], q["component"],
-                                     float(w[0] @ np.asarray(q["u"]) / q["sigma"])))
-            yield pd.DataFrame(rows, columns=[*names, "series_id", "position", "component", "loading"])
+            for key, g in pdf.groupby(names):
+                # a panel's components are the same in all its rows; all series of the batch meet them together
+                x, ids, at, w = np.vstack(g["_d"].to_numpy()).astype(float), g["series_id"].to_numpy(), None, None
+                for q in sorted(g["parts"].iloc[0], key=lambda q: q["position"]):
+                    if q["position"] != at:
+                        at, (ok, w) = q["position"], _standard(x, k, q["position"] - 1, min_obs)
+                    if q["sigma"] > 1e-12 and len(w):
+                        yield pd.DataFrame({**dict(zip(names, key)), "series_id": ids[ok], "position": np.int32(at), "component": np.int32(q["component"]),
+                                            "loading": w @ np.asarray(q["u"], dtype=float) / q["sigma"]})
 
     load = both.mapInPandas(loads, f"{keys}, series_id string, position int, component int, loading double")
     pivot = load.groupBy(*names, "position", "component").agg(

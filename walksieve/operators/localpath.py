@@ -76,4 +76,6 @@ def fit_local_path(rows: DataFrame, sets: dict[str, list[str]], cs: list[float],
                 made += [(*head, int(pos[r]), name, c, None if np.isnan(v) else float(v), int(m)) for r, v, m in zip(at, values[i], n)]
         return pd.DataFrame(made, columns=[*by, "series_id", "position", "feature_set", "c", "p_local", "local_rows"])
 
+    # a stated number: adaptive execution would put few bytes into one task, but fits cost far more than their bytes
+    d = d.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "series_id")
     return d.groupBy(*by, "series_id").applyInPandas(task, f"{keys}, feature_set string, c double, p_local double, local_rows int")

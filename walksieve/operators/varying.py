@@ -26,6 +26,8 @@ from ..functions.columns import BY
 from .models import _panel, causal_medians
 
 _BLOCK = 64
+#: Origins whose designs a task holds at a time: they stay in its cache, and early origins leave out the rows after them.
+_ORIGINS = 8
 
 
 @dataclass(frozen=True)
@@ -138,15 +140,15 @@ class VaryingFit:
         def task(batches):
             model = _Model(sent.value)
             for pdf in _series(batches):
-                for config, _, fits, z, u, own in model.solved(pdf, lag):
+                for config, _, rows_, _, fits, z, u, own in model.solved(pdf, lag):
                     at = {o: i for i, o in enumerate(fits.origins.tolist())}
-                    hit = [(r, at[p]) for r, p in enumerate(pdf["position"].tolist()) if lo <= p <= hi and p in at]
+                    hit = [(r, at[p]) for r, p in enumerate(pdf["position"].to_numpy()[rows_].tolist()) if lo <= p <= hi and p in at]
                     if not hit:
                         continue
                     r, o = np.array(hit).T
                     e = (z[o, r] * fits.beta[o]).sum(1) + (0.0 if u is None else (u[o, r] * own[o]).sum(1))
-                    got = pdf.iloc[r][[*by, "series_id", "position"]].copy()
-                    got["config"], got["_y"], got[out] = config.name, pdf["_y"].to_numpy()[r], np.clip(1.0 / (1.0 + np.exp(-e)), 1e-6, 1 - 1e-6)
+                    got = pdf.iloc[rows_[r]][[*by, "series_id", "position"]].copy()
+                    got["config"], got["_y"], got[out] = config.name, pdf["_y"].to_numpy()[rows_[r]], np.clip(1.0 / (1.0 + np.exp(-e)), 1e-6, 1 - 1e-6)
                     yield got
 
         keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*by, "series_id", "position"))
@@ -168,7 +170,7 @@ class VaryingFit:
             model = _Model(sent.value)
             for pdf in _series(batches):
                 head, made = [str(pdf[c].iloc[0]) for c in by], []
-                for config, _, fits, _, u, own in model.solved(pdf, lag):
+                for config, _, _, _, fits, _, u, own in model.solved(pdf, lag):
                     if u is not None:
                         terms = (["effect"] if config.effect else []) + list(config.slopes)
                         made += [(config.name, *head, int(o), str(pdf["series_id"].iloc[0]), t, float(v)) for o, g in zip(fits.origins, own) for t, v in zip(terms, g)]
@@ -196,26 +198,29 @@ class _Model:
         return np.where(gone > 0, 0.0, x), gone
 
     def solved(self, pdf, lag, only=None):
-        """Per configuration of the rows' panel: its fits, the rows' design, the series' part of it and the series' coefficients."""
+        """Per configuration of the rows' panel and few origins: their places among the fits, the rows up to the last of them,
+        labels and weights, the fits, the rows' design, the series' part of it and the series' coefficients."""
         k = pdf["_k"].iloc[0]
         x, gone = self.raw(pdf)
         y, pos = pdf["_y"].to_numpy(dtype=float), pdf["position"].to_numpy()
         known = np.isfinite(y)
+        yy = np.where(known, y, 0.0)
         for name, config in self.configs.items():
-            fits = self.fits.get((name, k))
+            whole = self.fits.get((name, k))
             if only is not None:
-                fits = fits.some(only[name, k]) if fits is not None and (name, k) in only else None
-            if fits is None or not len(fits.origins):
-                continue
-            z = _design(fits, x, gone, self.at[name], self.flagged[name])
-            u = own = None
-            use = (pos[None] <= fits.origins[:, None] - lag - 1) & known[None]
-            yy = np.where(known, y, 0.0)
-            w = np.where(use, np.where(yy[None] > 0.5, fits.weights[:, 1:], fits.weights[:, :1]), 0.0)
-            if config.varies:
-                u = z[:, :, self.slopes[name]]
-                own = _own(np.einsum("ond,od->on", z, fits.beta), u, yy[None], w, config.c)
-            yield config, (yy, w), fits, z, u, own
+                whole = whole.some(only[name, k]) if whole is not None and (name, k) in only else None
+            for start in range(0, 0 if whole is None else len(whole.origins), _ORIGINS):
+                places = slice(start, start + _ORIGINS)
+                fits = whole.some(places)
+                r = np.flatnonzero(pos <= fits.origins.max())
+                z = _design(fits, x[r], gone[r], self.at[name], self.flagged[name])
+                u = own = None
+                use = (pos[r][None] <= fits.origins[:, None] - lag - 1) & known[r][None]
+                w = np.where(use, np.where(yy[r][None] > 0.5, fits.weights[:, 1:], fits.weights[:, :1]), 0.0)
+                if config.varies:
+                    u = z[:, :, self.slopes[name]]
+                    own = _own(np.einsum("ond,od->on", z, fits.beta), u, yy[r][None], w, config.c)
+                yield config, places, r, (yy[r], w), fits, z, u, own
 
 
 def _prepared(rows: DataFrame, cols, y: str, by) -> DataFrame:
@@ -378,7 +383,9 @@ def _iterate(spark, data, cols, flags, configs, centres, fits, lag, max_iter, to
             model, held = _Model(sent.value), {}
             for pdf in _series(batches, 0 if whole else 512):
                 k = pdf["_k"].iloc[0]
-                for config, (yy, w), f, z, u, own in model.solved(pdf, lag, only):
+                for config, places, _, (yy, w), f, z, u, own in model.solved(pdf, lag, only):
+                    if not w.any():
+                        continue
                     e = np.einsum("ond,od->on", z, f.beta)
                     if u is not None:
                         e = e + np.einsum("onp,op->on", u, own)
@@ -393,19 +400,36 @@ def _iterate(spark, data, cols, flags, configs, centres, fits, lag, max_iter, to
                         h = h - np.matmul(cross, np.linalg.solve(block, cross.transpose(0, 2, 1)))
                         loss = loss + (own * own).sum(1) / (2 * config.c)
                     i, j = np.triu_indices(z.shape[2])
-                    sums = np.concatenate([h[:, i, j], g, loss[:, None]], axis=1)
                     key = (config.name, k)
-                    held[key] = held[key] + sums if key in held else sums
+                    if key not in held:
+                        held[key] = np.zeros((len(only[key]), len(i) + z.shape[2] + 1))
+                    held[key][places] += np.concatenate([h[:, i, j], g, loss[:, None]], axis=1)
             out = [row for (name, k), sums in held.items() for o, v in zip(only[name, k], sums) for row in _blocks((name, k, int(o)), v)]
             if out:
                 yield pd.DataFrame(out, columns=["config", "_k", "origin", "at", "v"])
 
-        got = _summed(data.mapInPandas(task, "config string, _k string, origin int, at int, v array<double>"), ["config", "_k", "origin"])
-        for (name, k, i), v in _whole(got, ["config", "_k", "origin"]).items():  # one set of sums per fit
-            f, key = fits[name, k], (name, k, i)
-            d = f.beta.shape[1]
-            pen = _penalty(configs[name], d)
-            loss = v[-1] + 0.5 * float(pen @ f.beta[i] ** 2)
+        def solve(key, pdf):
+            # the matrix stays here: the driver gets a loss and a step
+            configs, fits = sent.value[2], sent.value[4]
+            v = pdf.sort_values("at")[[f"v{i}" for i in range(_BLOCK)]].to_numpy(dtype=float).ravel()
+            v, beta = v[~np.isnan(v)], fits[key[0], key[1]].beta[key[2]]
+            d = len(beta)
+            pen = _penalty(configs[key[0]], d)
+            h = np.zeros((d, d))
+            h[np.triu_indices(d)] = v[: d * (d + 1) // 2]
+            h = h + np.triu(h, 1).T + np.diag(pen)
+            try:
+                step = np.linalg.solve(h, v[d * (d + 1) // 2:-1] - pen * beta)
+            except np.linalg.LinAlgError:  # matters only if the fit is to go on from here
+                step = np.full(d, np.nan)
+            return pd.DataFrame({"config": [key[0]], "_k": [key[1]], "origin": [key[2]], "loss": [v[-1] + 0.5 * float(pen @ beta ** 2)], "step": [step]})
+
+        of = ["config", "_k", "origin"]
+        # a fit's sums meet in one task
+        sums = _summed(data.mapInPandas(task, "config string, _k string, origin int, at int, v array<double>").repartition(*of), of)
+        got = sums.groupBy(*of).applyInPandas(solve, "config string, _k string, origin int, loss double, step array<double>").toArrow()
+        for name, k, i, loss, step in zip(*[got[c].to_pylist() for c in (*of, "loss", "step")]):  # one step per fit
+            f, key, step = fits[name, k], (name, k, i), np.array(step)
             at = (name, k, int(f.origins[i]))
             if key in last and loss > last[key][0] + 1e-9 * (1 + abs(last[key][0])):
                 before, beta, step = last[key]
@@ -413,10 +437,8 @@ def _iterate(spark, data, cols, flags, configs, centres, fits, lag, max_iter, to
                 f.beta[i] = beta + step / 2
                 ended[at] = (turn, float(np.abs(step / 2).max()), False)
                 continue
-            h = np.zeros((d, d))
-            h[np.triu_indices(d)] = v[: d * (d + 1) // 2]
-            h = h + np.triu(h, 1).T + np.diag(pen)
-            step = np.linalg.solve(h, v[d * (d + 1) // 2:-1] - pen * f.beta[i])
+            if np.isnan(step).any():
+                raise np.linalg.LinAlgError(f"singular matrix in the fit {at}")
             last[key] = (loss, f.beta[i].copy(), step)
             f.beta[i] = f.beta[i] + step
             done = bool(np.abs(step).max() < tol)

@@ -29,9 +29,7 @@ def _mixed(df: DataFrame, w) -> DataFrame:
 def selected(scored: DataFrame, edges: DataFrame, prior: DataFrame, *, k: int, alpha: float = 0.35, w_prior: float = 0.5, by=(*BY, "candidate")) -> DataFrame:
     """Calls of every candidate: its score spread over the graph, blended with the prior, the k best per period."""
     by = list(by)
-    names = scored.select(*by).distinct()
-    own = [c for c in by if c in edges.columns]
-    g = E.propagate(scored, edges.join(F.broadcast(names), own), p="p", alpha=alpha, out="p_up_raw", by=by)
+    g = E.propagate(scored, edges, p="p", alpha=alpha, out="p_up_raw", by=by)
     keys = [*[c for c in by if c in prior.columns], "position", "series_id"]
     b = G.prior_blend(g.join(prior, keys, "left"), w=w_prior)
     return H.top_k(b.withColumn("ready", F.col("prior").isNotNull()), "p_up", k, by=by)
