@@ -1,6 +1,7 @@
 """Walk-forward models with series' own slopes against one dense fit."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from walksieve.operators import models, varying
@@ -115,3 +116,14 @@ def test_the_driver_gets_steps_not_matrices(spark, monkeypatch):
     per_fit = [t.nbytes / t.num_rows for t in got if "origin" in t.column_names]
     # seven coefficients, a loss and keys; the triangle of the matrix alone has 28 numbers
     assert per_fit and max(per_fit) < 160 and all(x.converged for x in fit.report(spark).collect())
+
+
+def test_designs_are_held_for_few_origins():
+    origins = np.arange(3, 83)
+    k, ones = len(origins), np.ones((80, 1))
+    fits = varying._Fits(origins, 0 * ones, 0 * ones, ones, np.zeros((k, 0)), np.ones((k, 0)), np.ones((k, 2)), np.zeros((k, 2)))
+    model = varying._Model((["a"], [], {"m": Config("m", ("a",), (), True)}, {"main": np.zeros(1)}, {("m", "main"): fits}))
+    rows = pd.DataFrame({"a": np.linspace(-1, 1, 82), "_k": "main", "_y": np.arange(82) % 2 * 1.0, "position": np.arange(1, 83)})
+    seen = [(origins[places].tolist(), z.shape[1]) for _, places, _, _, _, z, _, _ in model.solved(rows, 1)]
+    assert [o for part, _ in seen for o in part] == origins.tolist()
+    assert all(len(part) <= 40 and n == part[-1] for part, n in seen)  # no rows after a block's last origin

@@ -40,6 +40,8 @@ def causal_medians(rows: DataFrame, cols: list[str], lo: int, hi: int, *, lag: i
     inside = lambda r: (F.col("_below") <= r) & (r < F.col("_below") + F.col("_c"))
     hit = known.where(inside(F.col("_lo")) | inside(F.col("_hi")))
     j = b.join(hit, [*k, "_b"]).where(F.col("position") <= F.col("origin") - lag - 1)
+    # a stated number: a row here is few bytes, and adaptive execution would sort those of all origins in one task
+    j = j.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *k, "origin", "_b")
     r = F.col("_below") + F.row_number().over(Window.partitionBy(*k, "origin", "_b").orderBy("x")) - 1
     return j.withColumn("_r", r).where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi"))).groupBy(*k, "origin").agg(
         F.avg("x").alias("median"))

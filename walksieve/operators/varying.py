@@ -27,7 +27,7 @@ from .models import _panel, causal_medians
 
 _BLOCK = 64
 #: Origins whose designs a task holds at a time: they stay in its cache, and early origins leave out the rows after them.
-_ORIGINS = 8
+_ORIGINS = 20
 
 
 @dataclass(frozen=True)
@@ -395,8 +395,9 @@ def _iterate(spark, data, cols, flags, configs, centres, fits, lag, max_iter, to
                     g = np.einsum("ond,on->od", z, w * (yy[None] - mu))
                     loss = (w * (np.logaddexp(0.0, e) - yy[None] * e)).sum(1)
                     if u is not None:
-                        cross = np.matmul((z * curve).transpose(0, 2, 1), u)
-                        block = np.matmul((u * curve).transpose(0, 2, 1), u) + np.eye(u.shape[2]) / config.c
+                        at = model.slopes[config.name]  # the series' part of the design is some of its columns
+                        cross = h[:, :, at]
+                        block = cross[:, at] + np.eye(u.shape[2]) / config.c
                         h = h - np.matmul(cross, np.linalg.solve(block, cross.transpose(0, 2, 1)))
                         loss = loss + (own * own).sum(1) / (2 * config.c)
                     i, j = np.triu_indices(z.shape[2])
