@@ -101,7 +101,8 @@ def cap():
 def ledger(s, d):
     def build():
         names = [c.name for c in ablation.family_models(uptrend.UPTREND, X.FAMILIES)]
-        scored = ablation.rescored(adapted(s, d).where(F.col("position") > GRAPH), ablated(s, d), E.frozen_graph(brand_table(s, d), upto=GRAPH), names)
+        # the study reads the scores in many branches
+        scored = memo("rescored", s, d, lambda: ablation.rescored(adapted(s, d).where(F.col("position") > GRAPH), ablated(s, d), E.frozen_graph(brand_table(s, d), upto=GRAPH), names))
         return ablation.study(scored, {**WINDOWS, **INTERNAL}, ["early_tuning", "late_tuning", "validation"], k=LO, cap=cap(), adapt=ADAPT,
                               bands={"core": (1, 5), "middle": (6, 6), "tail": (7, 8)})
     return memo("ablation_ledger", s, d, build)

@@ -409,10 +409,10 @@ def _iterate(spark, data, cols, flags, configs, centres, fits, lag, max_iter, to
             if out:
                 yield pd.DataFrame(out, columns=["config", "_k", "origin", "at", "v"])
 
-        def solve(key, pdf):
+        def solved(key, parts, sent=sent):
             # the matrix stays here: the driver gets a loss and a step
             configs, fits = sent.value[2], sent.value[4]
-            v = pdf.sort_values("at")[[f"v{i}" for i in range(_BLOCK)]].to_numpy(dtype=float).ravel()
+            v = np.concatenate(parts).ravel()
             v, beta = v[~np.isnan(v)], fits[key[0], key[1]].beta[key[2]]
             d = len(beta)
             pen = _penalty(configs[key[0]], d)
@@ -423,12 +423,27 @@ def _iterate(spark, data, cols, flags, configs, centres, fits, lag, max_iter, to
                 step = np.linalg.solve(h, v[d * (d + 1) // 2:-1] - pen * beta)
             except np.linalg.LinAlgError:  # matters only if the fit is to go on from here
                 step = np.full(d, np.nan)
-            return pd.DataFrame({"config": [key[0]], "_k": [key[1]], "origin": [key[2]], "loss": [v[-1] + 0.5 * float(pen @ beta ** 2)], "step": [step]})
+            return (*key, v[-1] + 0.5 * float(pen @ beta ** 2), step)
+
+        def solve(batches):
+            now, parts = None, []
+            for pdf in batches:
+                v, out = pdf[[f"v{i}" for i in range(_BLOCK)]].to_numpy(dtype=float), []
+                for r, key in enumerate(zip(pdf["config"], pdf["_k"], pdf["origin"])):
+                    if key != now and parts:
+                        out.append(solved(now, parts))
+                        parts = []
+                    now = key
+                    parts.append(v[r])
+                if out:
+                    yield pd.DataFrame(out, columns=["config", "_k", "origin", "loss", "step"])
+            if parts:
+                yield pd.DataFrame([solved(now, parts)], columns=["config", "_k", "origin", "loss", "step"])
 
         of = ["config", "_k", "origin"]
         # a fit's sums meet in one task
         sums = _summed(data.mapInPandas(task, "config string, _k string, origin int, at int, v array<double>").repartition(*of), of)
-        got = sums.groupBy(*of).applyInPandas(solve, "config string, _k string, origin int, loss double, step array<double>").toArrow()
+        got = sums.sortWithinPartitions(*of, "at").mapInPandas(solve, "config string, _k string, origin int, loss double, step array<double>").toArrow()
         for name, k, i, loss, step in zip(*[got[c].to_pylist() for c in (*of, "loss", "step")]):  # one step per fit
             f, key, step = fits[name, k], (name, k, i), np.array(step)
             at = (name, k, int(f.origins[i]))

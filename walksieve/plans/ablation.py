@@ -30,12 +30,11 @@ def family_models(base: list[str], families: dict[str, list[str]], **kw) -> list
 
 def rescored(scores: DataFrame, models: DataFrame, edges: DataFrame, names: list[str], *, p: str = "p", alpha: float = 0.35, w_prior: float = 0.5,
              w_group: float = 0.25) -> DataFrame:
-    """The scored panel once per configuration with its model score, spread over the graph, blended with the prior and the group signal."""
+    """The scored panel once per configuration of `names` with its model score, spread over the graph, blended with the prior and the group signal."""
     keys = [*BY, "position", "series_id"]
     kept = scores.drop("p_up_raw", "p_graph", "p_up", "p_select", "base_up_rank", "accepted", "ready")
     d = models.select(*keys, "config", F.col(p).alias("_p")).join(kept, keys)
-    graph = edges.withColumn("config", F.explode(F.array(*[F.lit(n) for n in names])))  # one copy per configuration
-    d = E.propagate(d, graph, p="_p", alpha=alpha, out="p_up_raw", by=BYC).withColumn("p_graph", F.col("p_up_raw"))
+    d = E.propagate(d.where(F.col("config").isin(names)), edges, p="_p", alpha=alpha, out="p_up_raw", by=BYC).withColumn("p_graph", F.col("p_up_raw"))
     d = G.logit_add(G.prior_blend(d, w=w_prior), p="p_up", signal="group_relative_logit", w=w_group, out="p_select")
     return d.withColumn("ready", F.col("prior").isNotNull() & F.col("p_up_raw").isNotNull()).drop("_p")
 
