@@ -382,45 +382,42 @@ def propagate(scores: DataFrame, edges: DataFrame, *, p: str = "p", alpha: float
         n = z.join(e, [*[c for c in keys if c in edges.columns], "j"]).groupBy(*keys, F.col("i").alias("series_id")).agg(
             F.sum(F.col("w") * F.col("_z")).alias("_num"), F.sum(F.abs("w")).alias("_den"))
     else:
-        n = _neighbour_sums(z, e, keys)
+        own, place = [c for c in keys if c in e.columns], [c for c in keys if c not in e.columns]
+        at = scores.withColumn("_m", F.xxhash64(*place))
+        return _blend(at.join(_neighbour_sums(z, e, own, place), [*own, "_m", "series_id"], "left").drop("_m").select(*scores.columns, "_num", "_den"), p, alpha, out)
     j = scores.join(n, [*keys, "series_id"], "left")
     return _blend(j, p, alpha, out)
 
 
-def _neighbour_sums(z: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
+def _neighbour_sums(z: DataFrame, e: DataFrame, own: list[str], place: list[str]) -> DataFrame:
     """Sums of w z and |w| over the neighbours of each series, for edges that hold at every period (and candidate).
 
     A score is a column of a matrix of series by periods and candidates, so the sums are products of the graph with it.
     The graph is cut into a fixed number of ranges of rows. Each gets every series' scores once and adds up its products
-    range by range of columns; an edge is sent once, whatever the number of periods and candidates.
+    range by range of columns; an edge is sent once, whatever the number of periods and candidates. Periods and candidates
+    are told apart by 64 bits, `_m`.
     """
-    own = [c for c in keys if c in e.columns]
-    place = [c for c in keys if c not in own]
-    # the columns: one row per period and candidate
-    columns = z.groupBy(*own).agg(F.array_sort(F.collect_set(F.struct(*place))).alias("_c")).select(
-        *own, F.size("_c").alias("_n"), F.posexplode("_c").alias("_m", "_c")).select(*own, "_n", "_m", *[F.col(f"_c.{c}").alias(c) for c in place])
-    cell = F.struct("_m", "_z")
-    rows = z.join(columns, [*own, *place]).groupBy(*own, "j").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(cell)).alias("_r"))
+    rows = z.groupBy(*own, "j").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(*place).alias("_m"), "_z"))).alias("_r"))
     k, side = F.xxhash64(*own), lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
     null = lambda t: F.lit(None).cast(t)
     kind = e.schema["i"].dataType.simpleString()
     scored = rows.select(k.alias("_k"), *own, F.explode(F.sequence(F.lit(0), F.lit(LEFT - 1))).alias("bi"), side("j", COLUMNS).alias("bj"), F.lit(0).alias("tag"),
-                         null(kind).alias("i"), F.col("j").cast(kind).alias("j"), null("double").alias("w"), "_n", F.col("_r._m").alias("_m"), F.col("_r._z").alias("_z"))
+                         null(kind).alias("i"), F.col("j").cast(kind).alias("j"), null("double").alias("w"), F.col("_r._m").alias("_m"), F.col("_r._z").alias("_z"))
     linked = e.select(k.alias("_k"), *own, side("i", LEFT).alias("bi"), side("j", COLUMNS).alias("bj"), F.lit(1).alias("tag"),
-                      "i", "j", F.col("w").cast("double").alias("w"), null("int").alias("_n"), null("array<int>").alias("_m"), null("array<double>").alias("_z"))
+                      "i", "j", F.col("w").cast("double").alias("w"), null("array<bigint>").alias("_m"), null("array<double>").alias("_z"))
     # a stated number: adaptive execution would put few bytes into one task, but products cost far more than their bytes
     both = scored.unionByName(linked).repartition(4 * LEFT, "_k", "bi").sortWithinPartitions("_k", "bi", "bj", "tag")
 
-    def sums(held, at):
-        # held: frames of one range of rows and one of columns; at: what the range of rows has so far
+    def sums(held, at, places):
+        # held: frames of one range of rows and one of columns; at: what the range of rows has so far; places: number of each period and candidate
         d = pd.concat(held, ignore_index=True)
         s, edge = d[d["tag"] == 0], d[d["tag"] == 1]
         if not len(s) or not len(edge):
             return
-        m = int(s["_n"].iloc[0])
-        value, known = np.zeros((len(s), m)), np.zeros((len(s), m))
         r = np.repeat(np.arange(len(s)), [len(v) for v in s["_m"]])
-        c, v = np.concatenate(s["_m"].to_list()).astype(int), np.concatenate(s["_z"].to_list()).astype(float)
+        code, found = pd.factorize(np.concatenate(s["_m"].to_list()))
+        c, v = np.array([places.setdefault(x, len(places)) for x in found.tolist()])[code], np.concatenate(s["_z"].to_list()).astype(float)
+        value, known = np.zeros((len(s), len(places))), np.zeros((len(s), len(places)))
         known[r, c] = 1.0
         value[r, c] = np.where(np.isnan(v), 0.0, v)
         to = pd.Index(s["j"]).get_indexer(edge["j"])
@@ -437,35 +434,36 @@ def _neighbour_sums(z: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
             den[a, on] += abs(v)
         for name, a, b in zip(ids, num, den):
             if name in at:
-                at[name][0] += a
-                at[name][1] += b
+                for old, more, i in zip(at[name], (a, b), (0, 1)):
+                    more[:len(old)] += old
+                    at[name][i] = more
             else:
                 at[name] = [a, b]
 
-    def left(head, at):
+    def left(head, at, places):
+        m = np.array(list(places), dtype="int64")
         for name, (a, b) in at.items():
             q = np.flatnonzero(b != 0)
-            yield pd.DataFrame({**{c: head[c] for c in own}, "series_id": name, "_m": q.astype("int32"), "_num": a[q], "_den": b[q]})
+            yield pd.DataFrame({**{c: head[c] for c in own}, "series_id": name, "_m": m[q], "_num": a[q], "_den": b[q]})
 
     def task(batches):
-        held, at, now, head = [], {}, None, None
+        held, at, places, now, head = [], {}, {}, None, None
         for pdf in batches:
             for key, part in pdf.groupby(["_k", "bi", "bj"], sort=False):
                 if key != now and held:
-                    sums(held, at)
+                    sums(held, at, places)
                     held = []
                     if key[:2] != now[:2]:
-                        yield from left(head, at)
-                        at = {}
+                        yield from left(head, at, places)
+                        at, places = {}, {}
                 now, head = key, part.iloc[0]
                 held.append(part)
         if held:
-            sums(held, at)
-            yield from left(head, at)
+            sums(held, at, places)
+            yield from left(head, at, places)
 
     types = ", ".join(f"`{c}` {e.schema[c].dataType.simpleString()}" for c in own)
-    made = both.mapInPandas(task, f"{types}, series_id {kind}, _m int, _num double, _den double")
-    return made.join(columns.drop("_n"), [*own, "_m"]).select(*keys, "series_id", "_num", "_den")
+    return both.mapInPandas(task, f"{types}, series_id {kind}, _m bigint, _num double, _den double")
 
 
 def _blend(j, p, alpha, out):
