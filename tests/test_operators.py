@@ -360,6 +360,18 @@ def test_mean_correlation_forms_no_pairs_of_series_without_gaps():
         assert sum(c.size for _, _, c, _ in G._matrices(a, b, 8, full=False)) == 50 + 49
 
 
+def test_edges_form_each_pair_about_once():
+    x = np.random.default_rng(0).normal(size=(640, 30))
+    x[::7, 4] = np.nan
+    first = np.arange(640) + 1
+    for _, a, b in G._windows(x, x, 20, 8, (20, 20)):
+        got = np.zeros((640, 640), int)
+        for i, j, c, _ in G._matrices(a, b, 8, first=first):
+            got[np.ix_(i, j)] += np.isfinite(c)
+        r, q = np.triu_indices(640, 1)
+        assert (got[r, q] == 1).all() and got.sum() < 0.65 * 640 * 640  # both orders of every pair were formed before
+
+
 def test_tasks_of_a_panel_follow_its_filled_rows(spark, monkeypatch):
     monkeypatch.setattr(P, "TASK_ROWS", 1000)
     # two facts a series, ninety periods each: few bytes before the calendar is filled

@@ -17,6 +17,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .features import _diff, _ret
 LEAST, LEFT, RIGHT = 64, 32, 1 << 17
 #: Rows and columns of the matrices that a task holds at a time.
 CHUNK = (256, 512)
+#: Rows at a time where only the pairs of a series with later ones are formed.
+HALF = 64
 TINY = 1e-12
 #: Ranges of neighbours that a task takes one after the other.
 COLUMNS = 64
@@ -129,15 +132,18 @@ def _windows(x: np.ndarray, y: np.ndarray, k: int, min_pairs: int, origins=None)
         yield t, _Window(x[:, w], ux[w], uy[w]), _Window(y[:, w], uy[w], ux[w])
 
 
-def _matrices(x: _Window, y: _Window, min_pairs: int, full: bool = True):
+def _matrices(x: _Window, y: _Window, min_pairs: int, full: bool = True, first: np.ndarray | None = None):
     """(left rows, right rows, correlations, counts); too few pairs or no variation give NaN. Without ``full``, only pairs with a gap.
 
     The product of a unit vector with any values is their covariance over its places, up to the values' deviation over
-    these places; that is formed once per set of places.
+    these places; that is formed once per set of places. With ``first``, the first right row that each left one needs
+    (rising), right rows before those of a chunk are left out.
     """
-    xf, xg = _chunks(x.full, CHUNK[0]), _chunks(x.gaps, CHUNK[0])
+    size = CHUNK[0] if first is None else HALF
+    xf, xg = _chunks(x.full, size), _chunks(x.gaps, size)
     per_x = [x.per_kind(y.kinds, i) for i in xf]  # right rows with gaps against full left rows
     cut = lambda c, n: (c if np.isscalar(n) else np.where(n < min_pairs, np.nan, c))
+    after = lambda rows, i: 0 if first is None else int(np.searchsorted(rows, first[i[0]]))
     for start in range(0, len(y.kind), CHUNK[1]):
         in_chunk = lambda rows: rows[np.searchsorted(rows, start):np.searchsorted(rows, start + CHUNK[1])]
         yf, yg = in_chunk(y.full), in_chunk(y.gaps)
@@ -145,19 +151,23 @@ def _matrices(x: _Window, y: _Window, min_pairs: int, full: bool = True):
             if full and x.shared >= min_pairs:
                 zy = y.z[yf]
                 for i in xf:
-                    yield i, yf, _bounded(x.z[i] @ zy.T), x.shared
-            if xg:
+                    if (a := after(yf, i)) < len(yf):
+                        yield i, yf[a:], _bounded(x.z[i] @ zy[a:].T), x.shared
+            if any(after(yf, i) < len(yf) for i in xg):
                 per_y, y0 = y.per_kind(x.kinds, yf), y.x0[yf]
                 for i in xg:
-                    n = x.n[i][:, None]
-                    yield i, yf, _bounded(cut((x.z[i] @ y0.T) * per_y[x.kind[i]], n)), n
+                    if (a := after(yf, i)) < len(yf):
+                        n = x.n[i][:, None]
+                        yield i, yf[a:], _bounded(cut((x.z[i] @ y0[a:].T) * per_y[x.kind[i], a:], n)), n
         if len(yg):
             zy, n = y.z[yg], y.n[yg][None, :]
             for i, per in zip(xf, per_x):
-                yield i, yg, _bounded(cut((x.x0[i] @ zy.T) * per[y.kind[yg]].T, n)), n
+                if (a := after(yg, i)) < len(yg):
+                    yield i, yg[a:], _bounded(cut((x.x0[i] @ zy[a:].T) * per[y.kind[yg[a:]]].T, n[:, a:])), n[:, a:]
             for i in xg:
-                c, m = _masked(x.x0[i], x.m[i], y.x0[yg], y.m[yg])
-                yield i, yg, _bounded(cut(c, m)), m
+                if (a := after(yg, i)) < len(yg):
+                    c, m = _masked(x.x0[i], x.m[i], y.x0[yg[a:]], y.m[yg[a:]])
+                    yield i, yg[a:], _bounded(cut(c, m)), m
 
 
 def _bounded(c):
@@ -173,10 +183,12 @@ def _without_self(c, place, i, j):
 
 
 def _run(arrays, blocks, by, left, right, fn, schema):
-    """Apply ``fn(ids_i, left arrays, ids_j, right arrays) -> frames`` to every tile."""
+    """Apply ``fn(ids_i, left arrays, ids_j, right arrays) -> columns`` (lists, arrays or Arrow arrays by name) to every tile."""
     keys = ", ".join(f"{k} string" for k in by)
     out = f"{keys}, {schema}"
     names = [c.strip().split(" ")[0] for c in out.split(",")]
+    kind = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    types = pa.schema([(c, kind[t]) for c, t in (x.strip().split(" ") for x in out.split(","))])
     stacked = lambda parts, c: np.vstack([v for p in parts for v in p[c]]).astype(float)
 
     def made(parts):
@@ -189,12 +201,14 @@ def _run(arrays, blocks, by, left, right, fn, schema):
         with np.errstate(all="ignore"), warnings.catch_warnings():
             warnings.simplefilter("ignore", RuntimeWarning)  # means of series without values
             for res in fn(ids[0], {c: stacked(l, c) for c in left}, ids[1], {c: stacked(r, c) for c in right}):
-                if len(res):
-                    yield res.assign(**{c: head[c] for c in by})[names]
+                n = len(next(iter(res.values())))
+                if n:
+                    res = {c: pa.repeat(pa.scalar(head[c], pa.string()), n) for c in by} | res
+                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, types.field(c).type) for c, v in ((c, res[c]) for c in names)], schema=types)
 
     def task(batches):
         held, now = [], None
-        for pdf in batches:
+        for pdf in (b.to_pandas() for b in batches):
             for key, own in pdf.groupby(["_k", "bi", "bj"], sort=False):
                 if key != now and held:
                     yield from made(held)
@@ -204,7 +218,7 @@ def _run(arrays, blocks, by, left, right, fn, schema):
         if held:
             yield from made(held)
 
-    return _tiles(arrays, blocks, by, left, right).mapInPandas(task, out)
+    return _tiles(arrays, blocks, by, left, right).mapInArrow(task, out)
 
 
 def pair_corr(values: DataFrame, col: str, *, k: int = 60, min_pairs: int = 24, lead: str | None = None,
@@ -217,12 +231,13 @@ def pair_corr(values: DataFrame, col: str, *, k: int = 60, min_pairs: int = 24,
     other = lead or col
 
     def fn(ids_i, a, ids_j, b):
+        first = np.searchsorted(ids_j, ids_i, side="right") if lead is None else None
+        place, names_i, names_j = pd.Index(ids_j).get_indexer(ids_i), pa.array(ids_i, pa.string()), pa.array(ids_j, pa.string())
         for t, x, y in _windows(a[col], b[other], k, min_pairs, origins):
-            for i, j, c, n in _matrices(x, y, min_pairs):
-                order = ids_i[i][:, None] < ids_j[j][None, :] if lead is None else ids_i[i][:, None] != ids_j[j][None, :]
-                r, q = np.nonzero(np.isfinite(c) & order)
-                yield pd.DataFrame({"position": np.full(len(r), t + 1, "int32"), "i": ids_i[i][r], "j": ids_j[j][q], "w": c[r, q],
-                                    "n": np.broadcast_to(n, c.shape)[r, q].astype("int64")})
+            for i, j, c, n in _matrices(x, y, min_pairs, first=first):
+                r, q = np.nonzero(np.isfinite(c) & (j >= first[i][:, None] if lead is None else j != place[i][:, None]))
+                yield {"position": np.full(len(r), t + 1, "int32"), "i": names_i.take(pa.array(i[r])), "j": names_j.take(pa.array(j[q])), "w": c[r, q],
+                       "n": np.broadcast_to(n, c.shape)[r, q].astype("int64")}
 
     arrays = series_arrays(values, sorted({col, other}), by)
     return _run(arrays, blocks or grid(values), by, [col], [other], fn, "position int, i string, j string, w double, n bigint")
@@ -266,7 +281,7 @@ def _top_candidates(values, col, other, aux, k, min_pairs, top, blocks, by):
             i, r = np.nonzero(np.isfinite(best_w))
             j = best_j[i, r]
             d = {"position": np.full(len(i), t + 1, "int32"), "series_id": ids_i[i], "peer": ids_j[j], "w": best_w[i, r]}
-            yield pd.DataFrame(d | {name: b[name][j, t] for name in aux["carry"]})
+            yield d | {name: b[name][j, t] for name in aux["carry"]}
 
     cols = sorted({col, other, *aux["carry"], *aux["required"]})
     right = sorted({other, *aux["carry"], *aux["required"]})
@@ -335,7 +350,7 @@ def average_pair_corr(panel: DataFrame, *, k: int = 12, min_obs: int = 8, min_se
                 c = _without_self(c, place, i, j)
                 ok = np.isfinite(c)
                 s, n = s + float(c[ok].sum()), n + int(ok.sum())
-            yield pd.DataFrame({"position": np.array([t + 1], "int32"), "s": [s], "n": np.array([n], "int64")})
+            yield {"position": [t + 1], "s": [s], "n": [n]}
 
     parts = _run(series_arrays(p, ["_r"], by), blocks or grid(p), by, ["_r"], ["_r"], fn, "position int, s double, n bigint")
     m = parts.groupBy(*by, "position").agg(div(F.sum("s"), F.sum("n")).alias("average_correlation"))
@@ -495,7 +510,7 @@ def graph_overlay(panel: DataFrame, scores: DataFrame, *, p: str = "p_up_raw", k
                 num[i] += w @ z[j]
                 den[i] += np.abs(w).sum(axis=1)
             q = np.flatnonzero(den > 0)
-            yield pd.DataFrame({"position": np.full(len(q), t + 1, "int32"), "series_id": ids_i[q], "num": num[q], "den": den[q]})
+            yield {"position": np.full(len(q), t + 1, "int32"), "series_id": ids_i[q], "num": num[q], "den": den[q]}
 
     parts = _run(series_arrays(d, ["_r", "_z"], by), blocks or grid(panel), by, ["_r"], ["_r", "_z"], fn,
                  "position int, series_id string, num double, den double")
