@@ -372,6 +372,28 @@ def test_edges_form_each_pair_about_once():
         assert (got[r, q] == 1).all() and got.sum() < 0.65 * 640 * 640  # both orders of every pair were formed before
 
 
+def test_strongest_peers_are_those_of_all_pairs_but_few_pairs_are_computed():
+    from walksieve.operators.strongest import strongest
+
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(3000, 70))
+    y[rng.random(y.shape) < 0.002] = np.nan
+    y[rng.random(3000) < 0.4, -1] = np.nan
+    y[:, 0], y[5], y[6, :30], y[8], y[9] = np.nan, 3.0, 1.0, y[7], -y[7]
+    y[10, 2:] = np.nan
+    x, place, gone = y[:60], np.arange(60), rng.random(y.shape) < 0.1
+    counts = {}
+    for t, w, j in strongest(x, y, k=60, min_pairs=24, top=3, place=place, gone=gone, counts=counts):
+        if t % 12 == 9:
+            d = pd.DataFrame(y[:, max(0, t - 59):t + 1].T)
+            for i in (0, 5, 6, 7, 10, 30, 59):
+                c = d.corrwith(d[i]).abs().where((d.notna() & d[[i]].notna().to_numpy()).sum() >= 24).where(~gone[:, t]).drop(i).dropna().round(10)
+                best = c.sort_index().sort_values(ascending=False, kind="stable")[:3]
+                assert np.isfinite(w[i]).sum() == len(best)
+                assert np.allclose(np.abs(w[i][:len(best)]), best, atol=1e-9) and j[i][:len(best)].tolist() == best.index.tolist()
+    assert counts["computed"] < 0.1 * counts["bounded"] and counts["bounded"] < 60 * 3000 * 13  # 46 origins of all pairs before
+
+
 def test_tasks_of_a_panel_follow_its_filled_rows(spark, monkeypatch):
     monkeypatch.setattr(P, "TASK_ROWS", 1000)
     # two facts a series, ninety periods each: few bytes before the calendar is filled

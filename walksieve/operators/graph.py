@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import BY, clip, div, flag, logit, sigmoid
 from ..functions.ordering import pct_rank as _pct_rank
 from .features import _diff, _ret
+from .strongest import strongest
 
 #: Series of a left range at least, left ranges at most, series of a right range at most.
 LEAST, LEFT, RIGHT = 64, 32, 1 << 17
@@ -243,44 +244,17 @@ def pair_corr(values: DataFrame, col: str, *, k: int = 60, min_pairs: int = 24,
     return _run(arrays, blocks or grid(values), by, [col], [other], fn, "position int, i string, j string, w double, n bigint")
 
 
-def _stronger(best_w, best_j, rows, cols, c, top: int):
-    """Update the ``top`` largest |corr| of some rows, in falling order, by a matrix of more columns; ties go to the smaller column."""
-    s = np.abs(c)
-    bar = np.nan_to_num(np.abs(best_w[rows, -1]), nan=0.0)
-    hit = np.flatnonzero(np.fmax.reduce(s, axis=1) >= bar)
-    if not len(hit):
-        return
-    own = np.nan_to_num(s[hit], nan=-1.0)
-    bar = bar[hit]
-    if own.shape[1] > top:
-        bar = np.maximum(bar, np.partition(own, -top, axis=1)[:, -top])
-    r, q = np.nonzero(own >= bar[:, None])
-    at = rows[hit]
-    row = np.concatenate([np.repeat(np.arange(len(hit)), top), r])
-    w, j = np.concatenate([best_w[at].ravel(), c[hit[r], q]]), np.concatenate([best_j[at].ravel(), cols[q]])
-    order = np.lexsort((j, -np.nan_to_num(np.abs(w), nan=-1.0), row))
-    first = np.searchsorted(row[order], np.arange(len(hit)))
-    pick = order[first[:, None] + np.arange(top)]
-    best_w[at], best_j[at] = w[pick], j[pick]
-
-
 def _top_candidates(values, col, other, aux, k, min_pairs, top, blocks, by):
     """Each tile's strongest peers of i, with the peer's own values at that period."""
     def fn(ids_i, a, ids_j, b):
-        place = pd.Index(ids_j).get_indexer(ids_i)
-        for t, x, y in _windows(a[col], b[other], k, min_pairs):
-            best_w, best_j = np.full((len(ids_i), top), np.nan), np.zeros((len(ids_i), top), int)
-            gone = np.zeros(len(ids_j), bool)
-            for name in aux["required"]:
-                gone |= ~np.isfinite(b[name][:, t])
-            for i, j, c, _ in _matrices(x, y, min_pairs):
-                c = _without_self(c, place, i, j)
-                if gone[j].any():
-                    c[:, gone[j]] = np.nan
-                _stronger(best_w, best_j, i, j, c, top)
+        place, names_i, names_j = pd.Index(ids_j).get_indexer(ids_i), pa.array(ids_i, pa.string()), pa.array(ids_j, pa.string())
+        gone = np.zeros(b[other].shape, bool)
+        for name in aux["required"]:
+            gone |= ~np.isfinite(b[name])
+        for t, best_w, best_j in strongest(a[col], b[other], k=k, min_pairs=min_pairs, top=top, place=place, gone=gone):
             i, r = np.nonzero(np.isfinite(best_w))
             j = best_j[i, r]
-            d = {"position": np.full(len(i), t + 1, "int32"), "series_id": ids_i[i], "peer": ids_j[j], "w": best_w[i, r]}
+            d = {"position": np.full(len(i), t + 1, "int32"), "series_id": names_i.take(pa.array(i)), "peer": names_j.take(pa.array(j)), "w": best_w[i, r]}
             yield d | {name: b[name][j, t] for name in aux["carry"]}
 
     cols = sorted({col, other, *aux["carry"], *aux["required"]})
