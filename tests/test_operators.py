@@ -394,6 +394,22 @@ def test_strongest_peers_are_those_of_all_pairs_but_few_pairs_are_computed():
     assert counts["computed"] < 0.1 * counts["bounded"] and counts["bounded"] < 60 * 3000 * 13  # 46 origins of all pairs before
 
 
+def test_equal_series_are_one_node_and_each_has_its_first_peers(spark, monkeypatch):
+    p, df = make_panel(spark, n_series=5)
+    many = p.join(spark.range(7).select(F.col("id").cast("string").alias("_c")).crossJoin(spark.range(1))).drop("id").withColumn(
+        "series_id", F.concat("series_id", F.lit("-"), "_c")).drop("_c")
+    sent, tiles = [], G._tiles
+    monkeypatch.setattr(G, "_tiles", lambda arrays, *a: sent.append((arrays.count(), a[-1].count())) or tiles(arrays, *a))
+    values = many.withColumn("_d", X._diff(0)).withColumn("up", F.col("_d"))
+    got = G._top_candidates(values.select("panel_id", "series_id", "position", "_d", "up"), "_d", "_d",
+                            {"carry": ["up"], "required": []}, 30, 12, 3, 2, ("panel_id",)).where("position = 45").toPandas()
+    assert sent == [(5, 20)]  # 35 series went to both sides before
+    assert len(got) == 35 * 3
+    for name, own in got.sort_values("rank").groupby("series_id"):
+        first = [f"{name[:-2]}-{c}" for c in range(7) if f"{name[:-2]}-{c}" != name][:3]
+        assert own["peer"].tolist() == first and np.allclose(own["w"], 1.0) and own["rank"].tolist() == [1, 2, 3]
+
+
 def test_tasks_of_a_panel_follow_its_filled_rows(spark, monkeypatch):
     monkeypatch.setattr(P, "TASK_ROWS", 1000)
     # two facts a series, ninety periods each: few bytes before the calendar is filled

@@ -18,7 +18,7 @@ import warnings
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import BY, clip, div, flag, logit, sigmoid
@@ -51,19 +51,22 @@ def grid(df: DataFrame) -> tuple[int, int]:
     return max(1, min(LEFT, -(-n // LEAST))), max(1, -(-n // RIGHT))
 
 
-def _tiles(arrays: DataFrame, blocks: tuple[int, int] | int, by, left: list[str], right: list[str]) -> DataFrame:
-    """Send each series to every tile it takes part in, with the arrays that side needs, tiles together and in order."""
+def _tiles(arrays: DataFrame, blocks: tuple[int, int] | int, by, left: list[str], right: list[str], others: DataFrame | None = None) -> DataFrame:
+    """Send each series to every tile it takes part in, with the arrays that side needs, tiles together and in order.
+
+    Series on the right are those of ``others``, if given.
+    """
     names = sorted(set(left) | set(right))
     blocks = (blocks, blocks) if isinstance(blocks, int) else blocks
 
-    def side(tag, used, own, other, n_own, n_other):
+    def side(rows, tag, used, own, other, n_own, n_other):
         null = F.lit(None).cast("array<double>")
-        return arrays.select(
+        return rows.select(
             F.xxhash64(*by).alias("_k"), *by, "series_id", F.lit(tag).alias("side"),
             F.pmod(F.xxhash64("series_id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
             *[(F.col(c) if c in used else null).alias(c) for c in names])
 
-    both = side("L", left, "bi", "bj", *blocks).unionByName(side("R", right, "bj", "bi", *blocks[::-1]))
+    both = side(arrays, "L", left, "bi", "bj", *blocks).unionByName(side(arrays if others is None else others, "R", right, "bj", "bi", *blocks[::-1]))
     # a stated number: adaptive execution would put few bytes into one task, but a tile costs far more than its bytes
     return both.repartition(4 * blocks[0] * blocks[1], "_k", "bi", "bj").sortWithinPartitions("_k", "bi", "bj", "side", "series_id")
 
@@ -183,7 +186,7 @@ def _without_self(c, place, i, j):
     return c
 
 
-def _run(arrays, blocks, by, left, right, fn, schema):
+def _run(arrays, blocks, by, left, right, fn, schema, others=None):
     """Apply ``fn(ids_i, left arrays, ids_j, right arrays) -> columns`` (lists, arrays or Arrow arrays by name) to every tile."""
     keys = ", ".join(f"{k} string" for k in by)
     out = f"{keys}, {schema}"
@@ -219,7 +222,7 @@ def _run(arrays, blocks, by, left, right, fn, schema):
         if held:
             yield from made(held)
 
-    return _tiles(arrays, blocks, by, left, right).mapInArrow(task, out)
+    return _tiles(arrays, blocks, by, left, right, others).mapInArrow(task, out)
 
 
 def pair_corr(values: DataFrame, col: str, *, k: int = 60, min_pairs: int = 24, lead: str | None = None,
@@ -245,13 +248,17 @@ def pair_corr(values: DataFrame, col: str, *, k: int = 60, min_pairs: int = 24,
 
 
 def _top_candidates(values, col, other, aux, k, min_pairs, top, blocks, by):
-    """Each tile's strongest peers of i, with the peer's own values at that period."""
+    """Strongest peers of i by rank, with the peer's own values at that period.
+
+    Series with equal values are one node on the left. On the right each history has its first ``top + 1`` series, as no
+    other can come before these. A node's first ``top + 1`` peers hold the first ``top`` of each of its series, without itself.
+    """
     def fn(ids_i, a, ids_j, b):
-        place, names_i, names_j = pd.Index(ids_j).get_indexer(ids_i), pa.array(ids_i, pa.string()), pa.array(ids_j, pa.string())
+        nobody, names_i, names_j = np.full(len(ids_i), -1), pa.array(ids_i, pa.string()), pa.array(ids_j, pa.string())
         gone = np.zeros(b[other].shape, bool)
         for name in aux["required"]:
             gone |= ~np.isfinite(b[name])
-        for t, best_w, best_j in strongest(a[col], b[other], k=k, min_pairs=min_pairs, top=top, place=place, gone=gone):
+        for t, best_w, best_j in strongest(a[col], b[other], k=k, min_pairs=min_pairs, top=top + 1, place=nobody, gone=gone):
             i, r = np.nonzero(np.isfinite(best_w))
             j = best_j[i, r]
             d = {"position": np.full(len(i), t + 1, "int32"), "series_id": names_i.take(pa.array(i)), "peer": names_j.take(pa.array(j)), "w": best_w[i, r]}
@@ -260,9 +267,16 @@ def _top_candidates(values, col, other, aux, k, min_pairs, top, blocks, by):
     cols = sorted({col, other, *aux["carry"], *aux["required"]})
     right = sorted({other, *aux["carry"], *aux["required"]})
     schema = "position int, series_id string, peer string, w double" + "".join(f", {n} double" for n in aux["carry"])
-    cand = _run(series_arrays(values, cols, by), blocks or grid(values), by, [col], right, fn, schema)
-    w = Window.partitionBy(*by, "position", "series_id").orderBy(F.abs("w").desc(), F.col("peer").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(top))
+    nodes = series_arrays(values, cols, by).groupBy(*by, *cols).agg(F.sort_array(F.collect_list("series_id")).alias("_ids"))
+    lefts = nodes.select(*by, F.get("_ids", F.lit(0)).alias("series_id"), *cols)
+    rights = nodes.select(*by, F.explode(F.slice("_ids", 1, top + 1)).alias("series_id"), *cols)
+    cand = _run(lefts, blocks or grid(values), by, [col], right, fn, schema, rights)
+    best = cand.groupBy(*by, "position", F.col("series_id").alias("_node")).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.abs("w")).alias("_o"), "peer", "w", *aux["carry"]))), 1, top + 1).alias("_best"))
+    members = nodes.select(*by, F.get("_ids", F.lit(0)).alias("_node"), F.explode("_ids").alias("series_id"))
+    own = best.join(members, [*by, "_node"]).select(
+        *by, "position", "series_id", F.posexplode(F.slice(F.filter("_best", lambda x: x["peer"] != F.col("series_id")), 1, top)).alias("_at", "_x"))
+    return own.select(*by, "position", "series_id", "_x.peer", "_x.w", *[f"_x.{n}" for n in aux["carry"]], (F.col("_at") + 1).alias("rank"))
 
 
 def peer_features(panel: DataFrame, *, k: int = 60, min_pairs: int = 24, top: int = 3, blocks=None, by=BY) -> DataFrame:
