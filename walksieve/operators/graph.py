@@ -4,8 +4,8 @@ Series travel as one row with their history (bounded by the calendar).  A grid o
 tiles pairs ranges of series on the left with ranges on the right; the grid has a
 fixed number of left ranges and a new right range per `RIGHT` series, so a series
 is sent a few dozen times whatever the number of pairs.  Within a tile the
-correlations of one origin are matrix products over chunks, reduced at once: to
-the strongest peers, to weighted sums, or to averages.  Pairs are therefore never
+correlations of one origin are matrix products over chunks, reduced at once to
+weighted sums or averages; the strongest peers come from bounds (`strongest`).  Pairs are therefore never
 rows of a shuffle unless the caller asks for the edges themselves, which leave
 chunk by chunk.  A tile costs the same for all series without inner gaps, so no
 series or period can overload a task.
@@ -270,10 +270,11 @@ def _top_candidates(values, col, other, aux, k, min_pairs, top, blocks, by):
     nodes = series_arrays(values, cols, by).groupBy(*by, *cols).agg(F.sort_array(F.collect_list("series_id")).alias("_ids"))
     lefts = nodes.select(*by, F.get("_ids", F.lit(0)).alias("series_id"), *cols)
     rights = nodes.select(*by, F.explode(F.slice("_ids", 1, top + 1)).alias("series_id"), *cols)
-    cand = _run(lefts, blocks or grid(values), by, [col], right, fn, schema, rights)
-    best = cand.groupBy(*by, "position", F.col("series_id").alias("_node")).agg(
+    # a stated number: a node's few bytes become the rows of all its series
+    cand = _run(lefts, blocks or grid(values), by, [col], right, fn, schema, rights).withColumnRenamed("series_id", "_node").repartition(4 * LEFT, *by, "_node")
+    best = cand.groupBy(*by, "position", "_node").agg(
         F.slice(F.sort_array(F.collect_list(F.struct((-F.abs("w")).alias("_o"), "peer", "w", *aux["carry"]))), 1, top + 1).alias("_best"))
-    members = nodes.select(*by, F.get("_ids", F.lit(0)).alias("_node"), F.explode("_ids").alias("series_id"))
+    members = nodes.select(*by, F.get("_ids", F.lit(0)).alias("_node"), "_ids").repartition(4 * LEFT, *by, "_node").select(*by, "_node", F.explode("_ids").alias("series_id"))
     own = best.join(members, [*by, "_node"]).select(
         *by, "position", "series_id", F.posexplode(F.slice(F.filter("_best", lambda x: x["peer"] != F.col("series_id")), 1, top)).alias("_at", "_x"))
     return own.select(*by, "position", "series_id", "_x.peer", "_x.w", *[f"_x.{n}" for n in aux["carry"]], (F.col("_at") + 1).alias("rank"))
